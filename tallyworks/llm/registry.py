@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_byte_bpe
+from .decontaminate import op1_decontaminate
+from .line_dedup import op8_line_dedup
 from .quality import op3_quality
 from .sharding import op9_sharding
 from .token_counts import op10_token_counts
@@ -16,10 +18,12 @@ from .url_rules import op6_url_rules
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_toxicity": op2_toxicity,
         "op3_quality": op3_quality,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_url_rules": op6_url_rules,
+        "op8_line_dedup": op8_line_dedup,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
     }
