@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_byte_bpe
 from .decontaminate import op1_decontaminate
 from .line_dedup import op8_line_dedup
+from .near_dedup import op7_minhash
 from .quality import op3_quality
 from .sharding import op9_sharding
 from .token_counts import op10_token_counts
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_url_rules": op6_url_rules,
+        "op7_minhash": op7_minhash,
         "op8_line_dedup": op8_line_dedup,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
