@@ -8,8 +8,8 @@
 3. A vector probes the lists that a link partner can lie in. A partner within
    distance r of q has another nearest centroid c only if q is within r of the
    plane between c and its own centroid; ``SLACK`` scales r here (1: provably
-   all lists; 0.6: a partner's offset, whose part along one direction has a
-   standard deviation of r / sqrt(dimension), is missed beyond 4.8 of those).
+   all lists; 0.45: a partner's offset, whose part along one direction has a
+   standard deviation of r / sqrt(dimension), is missed beyond 3.6 of those).
 4. Within a list, asymmetric distances come from one table per query and
    subspace; a pair is dropped if that distance less the stored code error is
    above r (never a true link). The rest is reranked by exact cosine.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import LONG_MAX, materialize, table
 from .graph import components
 
-THRESHOLD, SLACK = 0.93, 0.6
+THRESHOLD, SLACK = 0.93, 0.45
 #: Vectors that the index is fitted on, coarse lists, codes per subspace, subspaces, k-means rounds.
 SAMPLE, LISTS, CODES, PARTS, ROUNDS = 6_000, 64, 32, 8, 6
 #: Vectors of a block on either side.

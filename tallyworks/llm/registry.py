@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .bpe import op4_byte_bpe
 from .decontaminate import op1_decontaminate
+from .embedding_dedup import op5_embeddings
 from .line_dedup import op8_line_dedup
 from .near_dedup import op7_minhash
 from .quality import op3_quality
@@ -17,19 +20,63 @@ from .toxicity import op2_toxicity
 from .url_rules import op6_url_rules
 
 
+#: Links of equal labels by cosine, and the smallest id reachable.
+OP5 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM comp
+"""
+
+#: Exact Jaccard similarity over shared shingles, and the smallest id reachable.
+OP7 = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+), sized AS (SELECT doc_id, len(s) AS n, s FROM sets
+), items AS (SELECT doc_id, n, unnest(s) AS x FROM sized
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id
+), half AS (SELECT a, b FROM pairs WHERE 100 * c >= 85 * (n + m - c)
+), links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half
+), reach(a, b) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN comp USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_toxicity": op2_toxicity,
         "op3_quality": op3_quality,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_embeddings": op5_embeddings,
         "op6_url_rules": op6_url_rules,
         "op7_minhash": op7_minhash,
         "op8_line_dedup": op8_line_dedup,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_embeddings": OP5,
+        "op7_minhash": OP7,
+        **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
+    }
