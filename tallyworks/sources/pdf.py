@@ -1,0 +1,329 @@
+"""A small PDF reader on the standard library: embedded XML files, text layer and page images.
+
+It knows objects, object streams, Flate streams and ToUnicode maps, which is what invoices use. What
+it can't read counts as absent, so the next layer gets its turn. Encrypted files read as empty.
+"""
+
+from __future__ import annotations
+
+import re
+import struct
+import zlib
+
+from .files import BOM, decode
+
+#: Depth of a name tree, steps of a chain of references, pixels of the least image that is a page.
+TREE_DEPTH, REFERENCE_STEPS, LEAST_PIXELS = 8, 32, 200_000
+_SPACE, _DELIMITERS = b" \t\r\n\f\0", b"()<>[]{}/%"
+
+
+class Ref(tuple):
+    """(number, generation)."""
+
+
+class Name(str):
+    pass
+
+
+class Stream:
+    def __init__(self, info: dict, raw: bytes):
+        self.info, self.raw = info, raw
+
+
+class Parser:
+    """Values of PDF syntax from a position on."""
+
+    def __init__(self, data: bytes, at: int = 0):
+        self.data, self.at = data, at
+
+    def skip(self) -> None:
+        d = self.data
+        while self.at < len(d):
+            if d[self.at] in _SPACE:
+                self.at += 1
+            elif d[self.at] == 37:
+                while self.at < len(d) and d[self.at] not in b"\r\n":
+                    self.at += 1
+            else:
+                return
+
+    def word(self) -> bytes:
+        start, d = self.at, self.data
+        while self.at < len(d) and d[self.at] not in _SPACE and d[self.at] not in _DELIMITERS:
+            self.at += 1
+        return d[start : self.at]
+
+    def value(self):
+        self.skip()
+        d = self.data
+        if self.at >= len(d):
+            raise EOFError
+        two, one = d[self.at : self.at + 2], d[self.at : self.at + 1]
+        if two == b"<<":
+            self.at += 2
+            out: dict = {}
+            while True:
+                self.skip()
+                if d[self.at : self.at + 2] == b">>":
+                    self.at += 2
+                    return out
+                key = self.value()
+                out[key] = self.value()
+        if one == b"[":
+            self.at += 1
+            items: list = []
+            while True:
+                self.skip()
+                if d[self.at : self.at + 1] == b"]":
+                    self.at += 1
+                    return items
+                items.append(self.value())
+        if one == b"/":
+            self.at += 1
+            return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), self.word()).decode("latin-1"))
+        if one == b"(":
+            return self.literal()
+        if one == b"<":
+            end = d.index(b">", self.at)
+            text = re.sub(rb"[^0-9A-Fa-f]", b"", d[self.at + 1 : end])
+            self.at = end + 1
+            return bytes.fromhex((text + b"0" * (len(text) % 2)).decode())
+        if m := re.compile(rb"(\d+)\s+(\d+)\s+R(?![A-Za-z])").match(d, self.at):
+            self.at = m.end()
+            return Ref((int(m[1]), int(m[2])))
+        w = self.word()
+        if not w:
+            self.at += 1
+            return None
+        try:
+            return float(w) if b"." in w else int(w)
+        except ValueError:
+            return {b"true": True, b"false": False, b"null": None}.get(w, w)
+
+    def literal(self) -> bytes:
+        d, depth, out = self.data, 1, bytearray()
+        self.at += 1
+        while self.at < len(d):
+            c = d[self.at]
+            self.at += 1
+            if c == 92:
+                e = d[self.at : self.at + 1]
+                self.at += 1
+                if e in b"01234567" and e:
+                    m = re.compile(rb"[0-7]{1,3}").match(d, self.at - 1)
+                    self.at = m.end()
+                    out.append(int(m[0], 8) & 255)
+                elif e in (b"\r", b"\n"):
+                    self.at += e == b"\r" and d[self.at : self.at + 1] == b"\n"
+                else:
+                    out += {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}.get(e, e)
+                continue
+            depth += (c == 40) - (c == 41)
+            if not depth:
+                break
+            out.append(c)
+        return bytes(out)
+
+
+class Document:
+    def __init__(self, data: bytes):
+        if not data.startswith(b"%PDF"):
+            raise ValueError("不是 PDF")
+        self.objects: dict[int, object] = {}
+        for m in re.finditer(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b", data):
+            try:
+                p = Parser(data, m.end())
+                value = p.value()
+                p.skip()
+                if isinstance(value, dict) and data.startswith(b"stream", p.at):
+                    start = p.at + 6
+                    start += 2 if data.startswith(b"\r\n", start) else 1
+                    size = value.get("Length")
+                    end = start + size if isinstance(size, int) and data[start + size : start + size + 12].lstrip().startswith(b"endstream") else data.find(b"endstream", start)
+                    value = Stream(value, data[start : end if end >= 0 else len(data)])
+                self.objects[int(m[1])] = value
+            except (EOFError, ValueError, IndexError, AttributeError, RecursionError, TypeError):
+                continue
+        for s in [x for x in self.objects.values() if isinstance(x, Stream) and x.info.get("Type") == "ObjStm"]:
+            try:
+                body = self.content(s)
+                head = [int(x) for x in body[: self.get(s.info, "First")].split()]
+                for number, offset in zip(head[::2], head[1::2], strict=False):
+                    self.objects.setdefault(number, Parser(body, self.get(s.info, "First") + offset).value())
+            except (EOFError, ValueError, IndexError, TypeError, AttributeError, zlib.error):
+                continue
+
+    def resolve(self, x):
+        for _ in range(REFERENCE_STEPS):
+            if not isinstance(x, Ref):
+                return x
+            x = self.objects.get(x[0])
+        return x
+
+    def get(self, d, key: str):
+        d = self.resolve(d)
+        d = d.info if isinstance(d, Stream) else d
+        return self.resolve(d.get(key)) if isinstance(d, dict) else None
+
+    def content(self, s: Stream) -> bytes:
+        filters = self.get(s.info, "Filter")
+        data = s.raw
+        for f in filters if isinstance(filters, list) else [filters] if filters else []:
+            if self.resolve(f) != "FlateDecode":
+                raise ValueError(f"filter {f}")
+            data = zlib.decompressobj().decompress(data)
+        parms = self.get(s.info, "DecodeParms")
+        parms = self.resolve(parms[0]) if isinstance(parms, list) and parms else parms
+        if isinstance(parms, dict) and (self.resolve(parms.get("Predictor")) or 1) >= 10:
+            data = _unpredict(data, int(self.resolve(parms.get("Columns")) or 1))
+        return data
+
+    def pages(self) -> list[dict]:
+        return [x for _, x in sorted(self.objects.items()) if isinstance(x, dict) and x.get("Type") == "Page"]
+
+    def catalog(self) -> dict:
+        return next((x for x in self.objects.values() if isinstance(x, dict) and x.get("Type") == "Catalog"), {})
+
+
+def _unpredict(data: bytes, columns: int) -> bytes:
+    out, last = bytearray(), bytes(columns)
+    for at in range(0, len(data) - columns, columns + 1):
+        row = bytearray(data[at + 1 : at + 1 + columns])
+        if data[at] == 2:
+            row = bytearray((a + b) & 255 for a, b in zip(row, last, strict=True))
+        elif data[at] == 1:
+            for i in range(1, columns):
+                row[i] = (row[i] + row[i - 1]) & 255
+        out += row
+        last = bytes(row)
+    return bytes(out)
+
+
+def decode_attachment(content: bytes) -> str | None:
+    """Text of an attached file that looks like XML."""
+    return decode(content) if content.removeprefix(BOM).startswith(b"<") else None
+
+
+def embedded_xml(doc: Document) -> list[str]:
+    """XML files of the name tree, then of page annotations."""
+    specs: list = []
+
+    def walk(node, depth: int) -> None:
+        if depth <= TREE_DEPTH and isinstance(node, dict):
+            specs.extend((doc.get(node, "Names") or [])[1::2])
+            for kid in doc.get(node, "Kids") or []:
+                walk(doc.resolve(kid), depth + 1)
+
+    walk(doc.get(doc.get(doc.catalog(), "Names"), "EmbeddedFiles"), 0)
+    for page in doc.pages():
+        for note in doc.get(page, "Annots") or []:
+            if (fs := doc.get(note, "FS")) is not None:
+                specs.append(fs)
+    out = []
+    for spec in specs:
+        ef = doc.get(spec, "EF")
+        for key in ("F", "UF"):
+            s = doc.get(ef, key)
+            if isinstance(s, Stream):
+                try:
+                    text = decode_attachment(doc.content(s))
+                except (ValueError, zlib.error):
+                    continue
+                if text is not None:
+                    out.append(text)
+                    break
+    return out
+
+
+def _unicode_map(cmap: bytes) -> dict[bytes, str]:
+    out: dict[bytes, str] = {}
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            out[bytes.fromhex(a.decode())] = text(b)
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            for k in range(min(int(b, 16) - int(a, 16) + 1, 65536)):
+                code = (int(a, 16) + k).to_bytes(len(a) // 2, "big")
+                out[code] = text(f"{int(c, 16) + k:0{len(c)}x}".encode())
+    return out
+
+
+def page_text(doc: Document, page: dict) -> str:
+    """Shown strings of a page; a new line where the text position moves down."""
+    maps: dict[str, dict[bytes, str]] = {}
+    for name, font in (doc.get(doc.get(page, "Resources"), "Font") or {}).items():
+        s = doc.get(font, "ToUnicode")
+        if isinstance(s, Stream):
+            maps[name] = _unicode_map(doc.content(s))
+    contents = doc.get(page, "Contents")
+    streams = [doc.resolve(x) for x in contents] if isinstance(contents, list) else [contents]
+    data = b"\n".join(doc.content(s) for s in streams if isinstance(s, Stream))
+    out: list[str] = []
+    font: dict[bytes, str] | None = None
+
+    def shown(raw: bytes) -> str:
+        if not font:
+            return raw.decode("latin-1")
+        wide = max(map(len, font))
+        return "".join(font.get(raw[i : i + wide], "") for i in range(0, len(raw), wide))
+
+    p, stack = Parser(data), []
+    while True:
+        try:
+            v = p.value()
+        except (EOFError, ValueError, IndexError):
+            break
+        if not isinstance(v, bytes) or isinstance(v, Name):
+            stack.append(v)
+            continue
+        if v == b"Tf" and len(stack) >= 2:
+            font = maps.get(stack[-2])
+        elif v in (b"Tj", b"'", b'"') and stack and isinstance(stack[-1], bytes):
+            out.append(shown(stack[-1]))
+        elif v == b"TJ" and stack and isinstance(stack[-1], list):
+            out.append("".join(shown(x) for x in stack[-1] if isinstance(x, bytes)))
+        elif v in (b"Td", b"TD", b"T*", b"Tm", b"ET"):
+            out.append("\n")
+        elif v not in (b"BT", b"Tf"):
+            # strings and operators are both bytes here; a string waits for its operator
+            stack.append(v)
+            continue
+        stack.clear()
+    return re.sub(r"\n+", "\n", "".join(out)).strip()
+
+
+def page_images(doc: Document) -> list[dict]:
+    """The largest image of each page, {"data", "width", "height", "format"}; stamps and logos are too small to count."""
+    out = []
+    for page in doc.pages():
+        best = None
+        for ref in (doc.get(doc.get(page, "Resources"), "XObject") or {}).values():
+            s = doc.resolve(ref)
+            if not isinstance(s, Stream) or s.info.get("Subtype") != "Image":
+                continue
+            w, h = doc.get(s.info, "Width") or 0, doc.get(s.info, "Height") or 0
+            filters = doc.get(s.info, "Filter")
+            jpeg = (filters[-1] if isinstance(filters, list) and filters else filters) == "DCTDecode"
+            try:
+                data = s.raw if jpeg else doc.content(s)
+            except (ValueError, zlib.error):
+                continue
+            raw_ok = doc.get(s.info, "BitsPerComponent") == 8 and w * h and len(data) // (w * h) in (1, 3, 4)
+            if w * h >= LEAST_PIXELS and (jpeg or raw_ok) and (best is None or w * h > best["width"] * best["height"]):
+                best = {"data": data, "width": w, "height": h, "format": "jpeg" if jpeg else "raw"}
+        if best:
+            out.append(best)
+    return out
+
+
+def read_pdf(content: bytes) -> dict:
+    """{"xml": [text], "text", "images"}; raises ValueError for what is no PDF. A page whose text can't be read gives none."""
+    doc = Document(content)
+    texts = []
+    for page in doc.pages():
+        try:
+            texts.append(page_text(doc, page))
+        except (ValueError, TypeError, AttributeError, zlib.error, struct.error):
+            continue
+    return {"xml": embedded_xml(doc), "text": "\n".join(texts), "images": page_images(doc)}
