@@ -22,11 +22,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, worker_cache
 
 #: Pre-tokens in each of the two tables that a worker remembers: when the newer one is full it becomes
 #: the older one, and the words that come again move on to the next (ids don't change).
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NONE = 1 << 60
 
 
@@ -123,15 +123,13 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_made: dict[tuple[str, str], ByteBPE] = {}
-
-
 def coder(raw: bytes, pattern: str) -> ByteBPE:
     """One coder per worker process and vocabulary."""
+    made = worker_cache("bpe")
     key = (hashlib.sha256(raw).hexdigest(), pattern)
-    if key not in _made:
-        _made[key] = ByteBPE(raw, pattern)
-    return _made[key]
+    if key not in made:
+        made[key] = ByteBPE(raw, pattern)
+    return made[key]
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
@@ -142,24 +140,29 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
-def encode_documents(docs: DataFrame, vocabulary: tuple[bytes, str], text: str = "text") -> DataFrame:
-    """``docs`` with ids array<int> and n_tokens long; other columns stay, but for any with these names."""
-    keep = [c for c in docs.columns if c not in ("ids", "n_tokens")]
+def encode_documents(docs: DataFrame, vocabulary: tuple[bytes, str], text: str = "text", check: bool = False) -> DataFrame:
+    """``docs`` with ids array<int> and n_tokens long; other columns stay, but for any with these names.
+
+    check: also round_trip boolean, whether the ids decode to the text's bytes, in the same pass.
+    """
+    made = ["ids", "n_tokens", *["round_trip"] * check]
+    keep = [c for c in docs.columns if c not in made]
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(*sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [bpe.encode(x) for x in part.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())],
-                    [*part.schema.names, "ids", "n_tokens"],
-                )
-
-    return docs.select(*keep).mapInArrow(run, f"{schema}, ids array<int>, n_tokens long")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = part.column(text).to_pylist()
+                ids = [bpe.encode(x) for x in texts]
+                new = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
+                if check:
+                    new.append(pa.array([bpe.decode(i) == (x or "").encode() for i, x in zip(ids, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *made])
+
+    return docs.select(*keep).mapInArrow(run, f"{schema}, ids array<int>, n_tokens long" + ", round_trip boolean" * check)
 
 
 def decode_ids(df: DataFrame, vocabulary: tuple[bytes, str], ids: str = "ids") -> DataFrame:

@@ -84,3 +84,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * bound / n)))
     # at most about `bound` rows of two numbers: small enough to send to every task
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+
+
+_held: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks. A worker is reused by other operators, so only the last one's cache stays."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = {}
+    return _held[owner]

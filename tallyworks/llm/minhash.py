@@ -15,10 +15,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import worker_cache
+
 #: Words whose hashes a worker remembers at a time.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _ODD = np.random.default_rng(20240501).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_words: dict[bytes, int] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,13 +37,14 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    if len(_words) > REMEMBERED:
-        _words.clear()
+    known = worker_cache("minhash")
+    if len(known) > REMEMBERED:
+        known.clear()
     own = []
     for w in words:
-        h = _words.get(w)
+        h = known.get(w)
         if h is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w)
+            h = known[w] = xxhash.xxh3_64_intdigest(w)
         own.append(h)
     h = np.array(own, np.uint64)
     with np.errstate(over="ignore"):

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import public_vocabulary, read_ranks
-from .common import table
+from .common import table, worker_cache
 
 #: Trie nodes that a worker keeps at a time; the trie starts anew beyond it (counts don't change).
 NODES = 1_000_000
@@ -87,14 +87,12 @@ class ForwardTrie:
         return len(words), total
 
 
-_made: dict[tuple[str, str], ForwardTrie] = {}
-
-
 def trie(raw: bytes, pattern: str) -> ForwardTrie:
+    made = worker_cache("token_counts")
     key = (hashlib.sha256(raw).hexdigest(), pattern)
-    if key not in _made:
-        _made[key] = ForwardTrie(raw, pattern)
-    return _made[key]
+    if key not in made:
+        made[key] = ForwardTrie(raw, pattern)
+    return made[key]
 
 
 def count_tokens(df: DataFrame, vocabulary: tuple[bytes, str], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -41,7 +41,7 @@ TERMS = 3_000
 #: Words on each side of a match.
 WINDOW = 4
 #: Word verdicts that a worker remembers at a time.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Toxic rows, and share of them, that must hold a term, and least smoothed log odds of a term.
 LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 4, 0.006, 4.2
 #: Terms in a smaller share of the toxic rows match only as they are.
