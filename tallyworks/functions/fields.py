@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import RANKS, REVIEW_THRESHOLD, SOURCES
 from .money import clamp_confidence
+from .staging import let
 
 
 def threshold() -> Column:
@@ -52,12 +53,13 @@ def present(field: Column) -> Column:
 
 def merge_from(own: Column, other: Column) -> Column:
     """The newcomer wins iff it has a value and the incumbent has none, a lower rank, or equal rank and lower confidence."""
-    better = (
-        own["value"].isNull()
-        | (rank(other["source"]) > rank(own["source"]))
-        | ((rank(other["source"]) == rank(own["source"])) & (other["confidence"] > own["confidence"]))
-    )
-    return F.when(F.coalesce(present(other) & better, F.lit(False)), other).otherwise(own)
+
+    def pick(a: Column, b: Column) -> Column:
+        higher, equal = rank(b["source"]) > rank(a["source"]), rank(b["source"]) == rank(a["source"])
+        better = a["value"].isNull() | higher | (equal & (b["confidence"] > a["confidence"]))
+        return F.when(F.coalesce(present(b) & better, F.lit(False)), b).otherwise(a)
+
+    return let(own, lambda a: let(other, lambda b: pick(a, b)))
 
 
 def merge_all(*fields: Column) -> Column:

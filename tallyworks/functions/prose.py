@@ -28,7 +28,7 @@ def is_error(issue: Column) -> Column:
 
 def issue_messages(issues: Column) -> Column:
     """All messages in one cell."""
-    return F.coalesce(F.array_join(F.transform(issues, issue_message), "；"), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(issues, lambda i: issue_message(i)), "；"), F.lit(""))
 
 
 def match_field_label(field: Column) -> Column:

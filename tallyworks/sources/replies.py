@@ -39,6 +39,10 @@ ANSWER = T.StructType([T.StructField("类别", _TEXT), T.StructField("理由", _
 MONEY = ("amount_excl_tax", "tax", "total")
 
 
+def _mentions(texts: Column, name: str) -> Column:
+    return F.exists(texts, lambda t: t.contains(name))
+
+
 def apply_vision(invoices: DataFrame, reply: str) -> DataFrame:
     """Invoice rows with the reading in column ``reply`` merged in, and reply_error; fields the model is unsure of count half."""
     read = F.from_json(extract_json(F.col(reply)), SCHEMA, {"mode": "PERMISSIVE"})
@@ -49,7 +53,7 @@ def apply_vision(invoices: DataFrame, reply: str) -> DataFrame:
     for member, (field, said) in READING.items():
         value = meaningful(F.col(f"_r.{member}"))
         value = parse_money(value) if field in MONEY else value
-        sure = F.when(F.exists(unsure, lambda u, s=said: u.contains(s)), F.lit(base * 0.5)).otherwise(F.lit(base))
+        sure = F.when(_mentions(unsure, said), F.lit(base * 0.5)).otherwise(F.lit(base))
         parts[field] = merge_from(F.col(field), make_field(value, "vision", sure))
     parts["kind"] = F.coalesce("kind", kind_from_title(meaningful(F.col("_r.票种"))))
     item = lambda i: F.struct(
