@@ -7,9 +7,10 @@
    distance between it and what the codes stand for.
 3. A vector probes the lists that a link partner can lie in. A partner within
    distance r of q has another nearest centroid c only if q is within r of the
-   plane between c and its own centroid; ``SLACK`` scales r here (1: provably
-   all lists; 0.45: a partner's offset, whose part along one direction has a
-   standard deviation of r / sqrt(dimension), is missed beyond 3.6 of those).
+   plane between c and its own centroid. A partner's offset along one direction
+   has a standard deviation of r / sqrt(dimension), so ``SIGMAS`` of those stand
+   in for r where that is less. Up to 16 dimensions, or with slack=1, nothing can
+   be missed; at 64 a link at the threshold is found with a measured 0.999.
 4. Within a list, asymmetric distances come from one table per query and
    subspace; a pair is dropped if that distance less the stored code error is
    above r (never a true link). The rest is reranked by exact cosine.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import LONG_MAX, materialize, table
 from .graph import components
 
-THRESHOLD, SLACK = 0.93, 0.45
+THRESHOLD, SIGMAS = 0.93, 4.0
 #: Vectors that the index is fitted on, coarse lists, codes per subspace, subspaces, k-means rounds.
 SAMPLE, LISTS, CODES, PARTS, ROUNDS = 6_000, 64, 32, 8, 6
 #: Vectors of a block on either side.
@@ -104,6 +105,11 @@ def radius(threshold: float) -> float:
     return math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
 
 
+def reach_share(dim: int) -> float:
+    """The part of the radius that probes allow for."""
+    return min(1.0, SIGMAS / math.sqrt(dim))
+
+
 def _unit(raw: pa.Array, dim: int) -> np.ndarray:
     x = np.frombuffer(b"".join(v.as_py() for v in raw), np.float64).reshape(-1, dim)
     return x / np.sqrt((x**2).sum(1))[:, None]
@@ -174,7 +180,7 @@ def compare(base: list, queries: list, quant: Quantiser, of: int, same: bool, th
 
 
 def link_embeddings(
-    vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", slack: float = SLACK
+    vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", slack: float | None = None
 ) -> DataFrame:
     """(n node struct<id, hash>, n_links, c node): every row's direct links and the smallest node it reaches."""
     rows = materialize(classes(vectors, id_col, vec_col, label_col), "vectors")
@@ -182,7 +188,7 @@ def link_embeddings(
         rows.where("v is not null").groupBy("label", "dim", "v").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes"
     )
     per_dim = {r["dim"]: r["n"] for r in same.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    reach = slack * radius(threshold)
+    reach = lambda dim: (reach_share(dim) if slack is None else slack) * radius(threshold)
     quants: dict[int, Quantiser] = {}
     for dim, n in per_dim.items():
         sample = same.where(F.col("dim") == dim).where(F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1_000_000)) < F.lit(math.ceil(1_000_000 * min(1.0, SAMPLE / n))))
@@ -200,7 +206,7 @@ def link_embeddings(
                 own = quant.nearest(x)
                 codes, err = quant.encode(x, own)
                 # a pair is compared in the higher of its two lists
-                lists = [[int(c) for c in np.flatnonzero(p) if c >= o] for p, o in zip(quant.probes(x, own, reach), own, strict=True)]
+                lists = [[int(c) for c in np.flatnonzero(p) if c >= o] for p, o in zip(quant.probes(x, own, reach(dim)), own, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("label"), part.column("dim"), part.column("n"), part.column("copies"), pa.array([v.tobytes() for v in x], pa.binary()),
                      pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err, pa.float64()), pa.array(lists, pa.list_(pa.int32()))],
