@@ -5,6 +5,7 @@ rows of the held-out fold:
 
 1. Lexicon: words whose document frequency among toxic rows, short quotations
    left out, is far above that among clean rows (log likelihood ratio, odds).
+   Beginnings that many such words share are terms too ("stem*": any ending).
 2. Levenshtein automata of all terms are intersected with the trie of the
    lexicon: a state is the set of (trie node, edits so far) that a prefix can
    reach; states are made when first met and then cost one lookup a letter.
@@ -49,6 +50,10 @@ COMMON = 0.01
 #: Strength of a match inside quotation marks, and of one edit.
 QUOTED, EDITED = 0.25, 0.7
 QUOTES = "\"'“”„‟«»‹›‘’「」"
+#: Different neighbours that make half of a term's rows needless.
+ENOUGH_CONTEXTS = 20
+#: Letters that a stem can have.
+STEMS = (4, 5, 6, 7)
 #: Short quotations, which say little about who uses a word.
 QUOTED_SPAN = regex.compile(r"[\"“„«「][^\"”»」\n]{1,60}[\"”“»」]")
 EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
@@ -67,7 +72,11 @@ class LexiconAutomaton:
         self.exact = exact  # terms that allow no edit
         self.child: list[dict[str, int]] = [{}]
         self.term_at: list[int] = [-1]
+        # a stem, written with a star, takes any word that begins with it
+        self.stems = {t[:-1]: k for k, t in enumerate(terms) if t.endswith("*")}
         for k, term in enumerate(terms):
+            if term.endswith("*"):
+                continue
             node = 0
             for c in term:
                 if c not in self.child[node]:
@@ -143,11 +152,49 @@ class LexiconAutomaton:
                 return None
         return self.accepts[state]
 
+    def begins(self, word: str) -> tuple[int, int] | None:
+        """The stem that a word begins with, as (0, term number)."""
+        return next(((0, self.stems[word[:k]]) for k in STEMS if word[:k] in self.stems), None)
+
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").split()
 
 
+def learn_stems(rows: list[tuple[str | None, int]], toxic: Counter, clean: Counter, n: list[int]) -> dict[str, float]:
+    """Beginnings of words that many different words of toxic rows share and clean rows hardly use: stem -> log odds.
+
+    A stem of ``STEMS`` letters is made as long as it can be without losing a row; clean rows are counted at most too high.
+    """
+    own = {w for w in toxic if not clean[w]}
+    words: dict[str, set[str]] = {}
+    rows_of: Counter = Counter()
+    for text, y in rows:
+        if y:
+            found = own.intersection(map(fold, QUOTED_SPAN.sub(" ", text or "").split()))
+            rows_of.update({w[:k] for w in found for k in STEMS if len(w) > k})
+            for w in found:
+                for k in STEMS:
+                    if len(w) > k:
+                        words.setdefault(w[:k], set()).add(w)
+    likely = {p for p, a in rows_of.items() if a >= max(LEAST_ROWS, LEAST_SHARE * n[1]) and len(words[p]) >= 3}
+    against: Counter = Counter()
+    for w, b in clean.items():
+        for k in STEMS:
+            if w[:k] in likely:
+                against[w[:k]] += b
+    odds = {p: math.log((rows_of[p] + 0.5) / (n[1] - rows_of[p] + 1)) - math.log((against[p] + 0.5) / (max(n[0] - against[p], 0) + 1)) for p in likely}
+    good = {p for p, o in odds.items() if o > LEAST_ODDS}
+    out = {}
+    for p in sorted(good, key=len):
+        if any(p[:k] in out for k in STEMS if k < len(p)):
+            continue
+        while longer := [q for q in good if len(q) == len(p) + 1 and q.startswith(p) and words[q] == words[p]]:
+            p = longer[0]
+        out[p] = odds[p]
+    return out
+
+
 def learn_terms(rows: list[tuple[str | None, int]]) -> tuple[list[str], list[float], Counter, Counter]:
     """(terms, weights, words' toxic rows, words' clean rows), best terms first."""
     by = (Counter(), Counter())
@@ -167,8 +214,19 @@ def learn_terms(rows: list[tuple[str | None, int]]) -> tuple[list[str], list[flo
         g2 = 2 * (a * math.log(a / (n[1] * share)) + (b * math.log(b / (n[0] * share)) if b else 0))
         if odds > LEAST_ODDS and g2 > 10:
             found.append((-g2, w, odds))
-    found.sort()
-    return [w for _, w, _ in found[:TERMS]], [o for _, _, o in found[:TERMS]], by[1], by[0]
+    # copies of one text repeat a word between the same neighbours, users of a word don't
+    near: dict[str, set[tuple[str, str]]] = {w: set() for _, w, _ in found}
+    for text, y in rows:
+        if y:
+            words, seen = [fold(raw) for raw in words_of(QUOTED_SPAN.sub(" ", text or ""))], set()
+            for i, w in enumerate(words):
+                if w in near and w not in seen:
+                    seen.add(w)
+                    near[w].add((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
+    apart = lambda w: len(near[w]) >= max(LEAST_ROWS, min(0.5 * by[1][w], ENOUGH_CONTEXTS))
+    found = sorted(x for x in found if apart(x[1]))[:TERMS]
+    stems = learn_stems(rows, by[1], by[0], n)
+    return [w for _, w, _ in found] + [f"{p}*" for p in stems], [o for _, _, o in found] + list(stems.values()), by[1], by[0]
 
 
 class ToxicityModel:
@@ -220,7 +278,9 @@ class ToxicityModel:
         if len(word) < 3:
             return None
         found = auto.match(word)
-        return None if found and found[0] and word in self.clean else found
+        if found and found[0] and word in self.clean:
+            found = None
+        return found if found and not found[0] else auto.begins(word) or found
 
     def spans(self, text: str | None, auto: LexiconAutomaton, known: dict[str, tuple[int, int] | None] | None = None) -> list[tuple[int, str, int, bool, float]]:
         """(word position, term, edits, quoted, context score) of each match in a text."""

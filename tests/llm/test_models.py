@@ -137,3 +137,19 @@ def test_queries(spark, small):
     for q in (toxicity.op2_toxicity, quality.op3_quality):
         out = q(spark, small)
         assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == 200 and out.where("score is null or score < 0 or score > 1").isEmpty()
+
+
+def test_stems_and_copies():
+    """Endings that never came before count through their stem; words of copied texts are no terms."""
+    rng = np.random.default_rng(5)
+    endings = [f"{a}{b}" for a in "aeiou" for b in "klmnpr"]
+    rows = []
+    for k in range(600):
+        words = list(rng.choice(FINE, 40))
+        if k % 4 == 0:
+            words[7], words[21] = "grotb" + rng.choice(endings[:20]), "grotb" + rng.choice(endings[:20])
+        rows.append((" ".join(words), int(k % 4 == 0)))
+    rows += [(f"copied text zebulon qwixote {rows[0][0]} end of it", 1)] * 8
+    m = toxicity.ToxicityModel(rows)
+    assert "grotb*" in m.terms and not {"zebulon", "qwixote"} & set(m.terms)
+    assert m.score("you grotbur grotbup", m.automaton(), {}) > 0.5 and m.score("you grot", m.automaton(), {}) < 0.5
