@@ -6,6 +6,7 @@ One writer at a time. Methods that read return DataFrames; methods that write re
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Callable
 from typing import BinaryIO
 
@@ -54,6 +55,18 @@ class Workspace:
         self.set_setting(f"pref.{key}", value)
 
 
+    def get_ai_settings(self) -> dict:
+        """Stored settings of the optional model; anything unreadable counts as switched off."""
+        try:
+            found = json.loads(self.get_setting("ai") or "{}")
+        except ValueError:
+            found = {}
+        return {"vision_enabled": False, "suggest_enabled": False, **(found if isinstance(found, dict) else {})}
+
+    def set_ai_settings(self, settings: dict) -> None:
+        self.set_setting("ai", json.dumps(settings, ensure_ascii=False))
+
+
 class Ledger:
     def __init__(self, ws: Workspace):
         self.ws = ws
@@ -162,7 +175,7 @@ class Rules:
         self.ws = ws
 
     def list(self) -> DataFrame:
-        return self.ws.rules.read().orderBy(F.desc("priority"), "id")
+        return C.ordered(self.ws.rules.read())
 
     def _add(self, rules: DataFrame) -> int:
         """Appends rules under new ids; how many. A rule set is written by people, so it is numbered on the driver."""
@@ -189,8 +202,7 @@ class Rules:
 
     def restore_defaults(self) -> int:
         """Adds the built-in rules of which no equal category and conditions are left."""
-        key = lambda df: df.withColumn("_c", F.to_json("conditions"))
-        gone = key(C.seed_rules(self.ws.spark)).join(key(self.ws.rules.read()).select("category", "_c"), ["category", "_c"], "left_anti").drop("_c")
+        gone = C.missing_defaults(C.seed_rules(self.ws.spark), self.ws.rules.read())
         order = {(c, p, f): k for k, (c, p, f, _) in enumerate(C.SEEDS)}
         rows = sorted((r.asDict(True) for r in gone.collect()), key=lambda r: order[r["category"], r["priority"], r["conditions"][0]["field"]])
         return self._add(self.ws.spark.createDataFrame(rows, schema.RULE)) if rows else 0
@@ -200,8 +212,6 @@ class Rules:
 
     def export_json(self, path: str | None = None) -> str:
         """All rules as JSON text, written to a local file if one is named."""
-        import json
-
         text = json.dumps([r.asDict(True) for r in self.list().collect()], ensure_ascii=False, indent=2)
         if path:
             with open(path, "w", encoding="utf-8") as f:
@@ -210,8 +220,6 @@ class Rules:
 
     def import_json(self, text: str) -> int:
         """Adds the rules of a JSON text under new ids; how many. Conditions that can't be read never match."""
-        import json
-
         rows = []
         for r in json.loads(text):
             conditions = r.get("conditions")
@@ -267,6 +275,10 @@ class Reports:
     def preview(self, id_: int) -> dict:
         return R.preview(self.invoices(id_), self.ws.invoices.read())
 
+    def new(self, title: str) -> int:
+        """A new report that takes applicant and department from the newest."""
+        return self.save(R.new_report(self.ws.reports.read(), title))
+
     def export(self, id_: int, meta: xlsx.ReportMeta, out: str | BinaryIO) -> None:
         xlsx.workbook(self.invoices(id_), meta, out)
 

@@ -197,3 +197,23 @@ def type_ahead(categories: DataFrame, typed: str) -> tuple[DataFrame, bool]:
     """(categories that contain what was typed, whether it would be a new one)."""
     word = typed.strip()
     return categories.where(F.col("category").contains(word)), bool(word) and categories.where(F.col("category") == word).isEmpty()
+
+
+def disabled_count(rules: DataFrame) -> DataFrame:
+    """One row: rules that are switched off."""
+    return rules.agg(F.count_if(~F.col("enabled")).alias("disabled"))
+
+
+def missing_defaults(defaults: DataFrame, rules: DataFrame) -> DataFrame:
+    """The default rules of which no rule has the same category and conditions."""
+    keyed = lambda df: df.withColumn("_c", F.to_json("conditions"))
+    return keyed(defaults).join(keyed(rules).select("category", "_c"), ["category", "_c"], "left_anti").select(*defaults.columns)
+
+
+def ordered(rules: DataFrame) -> DataFrame:
+    return rules.orderBy(F.desc("priority"), F.asc_nulls_last("id"))
+
+
+def new_draft() -> dict:
+    """What the editor starts a rule from."""
+    return {"id": None, "name": "", "category": "", "priority": 150, "enabled": True, "conditions": [{"field": "taxCategory", "keywords": []}]}

@@ -132,3 +132,18 @@ def remove_from_report(bridge: DataFrame, report_id: int, invoice_id: int) -> Da
     """The bridge without one invoice of a report, positions closed up."""
     ids = [r["invoice_id"] for r in bridge.where(F.col("report_id") == report_id).orderBy("position").collect() if r["invoice_id"] != invoice_id]
     return set_report_invoices(bridge, report_id, ids)
+
+
+def can_export(invoices: DataFrame) -> bool:
+    return not invoices.isEmpty()
+
+
+def new_report(reports: DataFrame, title: str) -> dict:
+    """A report under a title, with applicant and department of the newest one."""
+    last = reports.orderBy(F.desc("created_at")).limit(1).collect()
+    return {"id": None, "title": title, "note": "", **{n: (last[0][n] if last else "") or "" for n in ("applicant", "department")}}
+
+
+def computed_total(net: Column, tax: Column) -> Column:
+    """Net and tax together, null unless both are there."""
+    return net + tax

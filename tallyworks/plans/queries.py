@@ -216,6 +216,39 @@ def chinese_capital(spark, sf_dir):
     return A.ledger(spark, sf_dir).select("id", "total_cents", money.chinese_capital("total_cents").alias("capital"))
 
 
+@query(
+    f"""WITH {INVOICES}, m AS (SELECT id, coalesce(number, '(无号码)') AS number, unnest([CASE WHEN number IS NULL THEN '缺少发票号码' END, CASE WHEN issued_on IS NULL THEN '缺少开票日期' END,
+    CASE WHEN total IS NULL AND (net IS NULL OR tax IS NULL) THEN '缺少价税合计' END]) AS message FROM inv) SELECT id, number, message FROM m WHERE message IS NOT NULL"""
+)
+def report_warnings(spark, sf_dir):
+    checked = validate.infer_and_check(A.invoices(spark, sf_dir), TODAY)
+    return reports.warnings(checked.withColumn("issues", F.filter("issues", lambda i: i["kind"] == "missingField"))).select("id", "number", "message")
+
+
+@query(f"WITH {LEDGER}, {BRIDGE}, {_KEYS} SELECT id, number_s AS number FROM bridge JOIN ledger ON id = invoice_id JOIN keys USING (dedup_key) WHERE report_id = 4 AND len(ids) > 1")
+def report_duplicates(spark, sf_dir):
+    rows = A.ledger(spark, sf_dir)
+    return reports.duplicates_of_report(reports.report_invoices(A.bridge(spark, sf_dir), rows, 4), rows)
+
+
+@query(f"WITH {INVOICES} SELECT id, net + tax AS computed FROM inv")
+def computed_total(spark, sf_dir):
+    return A.invoices(spark, sf_dir).select("id", reports.computed_total(F.col("amount_excl_tax.value"), F.col("tax.value")).alias("computed"))
+
+
+@query(
+    f"""WITH {INVOICES} SELECT id, coalesce(number, lpad(id::VARCHAR, 8, '0')) AS number, CASE WHEN number IS NOT NULL THEN 'pdfText' ELSE 'vision' END AS number_source,
+    coalesce(total, id * 100) AS total, (CASE WHEN total IS NOT NULL THEN 0.75::FLOAT ELSE 0.375::FLOAT END)::DOUBLE AS total_confidence FROM inv"""
+)
+def vision_reply(spark, sf_dir):
+    k = F.col("id").cast("string")
+    reply = F.concat(F.lit('结果 {"发票号码":"'), F.lpad(k, 8, "0"), F.lit('","价税合计":"¥'), k, F.lit('","税额":"无","看不清的字段":["价税合计"]} 完'))
+    got = replies.apply_vision(A.invoices(spark, sf_dir).withColumn("_reply", reply), "_reply")
+    return got.select(
+        "id", F.col("number.value").alias("number"), F.col("number.source").alias("number_source"), F.col("total.value").alias("total"), F.col("total.confidence").cast("double").alias("total_confidence")
+    )
+
+
 # --- rules -----------------------------------------------------------------------------------------
 
 
@@ -297,6 +330,33 @@ def priority_notes(spark, sf_dir):
     return rows.select("p_size", head.alias("head"), note["warn"].alias("warn"))
 
 
+@query(f"WITH {_seed_sql()} SELECT id, category, priority, row_number() OVER (ORDER BY priority DESC, id) AS place FROM seeds")
+def rules_ordered(spark, sf_dir):
+    """The rule list is bounded, so its places are numbered in one window."""
+    from pyspark.sql import Window
+
+    rules = classify.ordered(_seeds(spark))
+    place = F.row_number().over(Window.orderBy(F.desc("priority"), "id"))
+    return rules.select(F.col("id").cast("int").alias("id"), "category", "priority", place.cast("long").alias("place"))
+
+
+@query(f"WITH {_seed_sql()} SELECT id, category FROM seeds WHERE id % 3 <> 0")
+def restore_defaults(spark, sf_dir):
+    seeds = _seeds(spark)
+    return classify.missing_defaults(seeds, seeds.where("id % 3 = 0").drop("id")).select(F.col("id").cast("int").alias("id"), "category")
+
+
+@query(f"WITH {_seed_sql()} SELECT category, min(id) AS first FROM seeds GROUP BY category")
+def seed_categories(spark, sf_dir):
+    seeds = _seeds(spark)
+    return selection.first_seen(seeds, "category", "id").join(seeds.groupBy("category").agg(F.min("id").cast("int").alias("first")), "category")
+
+
+@query(f"WITH {_seed_sql()} SELECT count(*) FILTER (id % 4 = 0) AS disabled FROM seeds")
+def disabled_rules(spark, sf_dir):
+    return classify.disabled_count(_seeds(spark).withColumn("enabled", F.col("id") % 4 != 0))
+
+
 # --- money, fields, checks -------------------------------------------------------------------------
 
 

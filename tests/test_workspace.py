@@ -274,3 +274,18 @@ def test_ingest_events():
     assert end["tally"] == {"imported": 5, "needsReview": 0, "alreadyImported": 1, "failed": 0} and end["phase"] == "done" and ingest.IDLE["done"] == 0
     with pytest.raises(ValueError):
         ingest.reduce_ingest(s, {"type": "?"})
+
+
+def test_small_settings_and_drafts(spark, ws):
+    from tallyworks.operators import classify as C
+
+    assert ws.get_ai_settings()["vision_enabled"] is False
+    ws.set_ai_settings({"vision_enabled": True})
+    assert ws.get_ai_settings()["vision_enabled"] is True
+    ws.set_setting("ai", "{broken")
+    assert ws.get_ai_settings()["vision_enabled"] is False
+    ws.reporting.save({"title": "a", "applicant": "张", "department": "研发"})
+    fresh = ws.reporting.new("b")
+    r = ws.reports.read().where(F.col("id") == fresh).first()
+    assert (r["title"], r["applicant"], r["department"]) == ("b", "张", "研发") and not R.can_export(ws.reporting.invoices(r["id"]))
+    assert C.new_draft()["priority"] == 150
