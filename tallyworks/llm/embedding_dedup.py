@@ -195,7 +195,8 @@ def link_embeddings(
         table_ = sample.select("v").toArrow()
         if not table_.num_rows:  # the hash may pick none
             table_ = same.where(F.col("dim") == dim).select("v").limit(SAMPLE).toArrow()
-        quants[dim] = Quantiser(_unit(table_.column("v").combine_chunks(), dim))
+        # in the order of their bytes, so that every run fits the same index
+        quants[dim] = Quantiser(_unit(table_.sort_by("v").column("v").combine_chunks(), dim))
     sent = vectors.sparkSession.sparkContext.broadcast(quants)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -183,13 +183,13 @@ def learn_stems(rows: list[tuple[str | None, int]], toxic: Counter, clean: Count
         for k in STEMS:
             if w[:k] in likely:
                 against[w[:k]] += b
-    odds = {p: math.log((rows_of[p] + 0.5) / (n[1] - rows_of[p] + 1)) - math.log((against[p] + 0.5) / (max(n[0] - against[p], 0) + 1)) for p in likely}
+    odds = {p: math.log((rows_of[p] + 0.5) / (n[1] - rows_of[p] + 1)) - math.log((against[p] + 0.5) / (max(n[0] - against[p], 0) + 1)) for p in sorted(likely)}
     good = {p for p, o in odds.items() if o > LEAST_ODDS}
     out = {}
-    for p in sorted(good, key=len):
+    for p in sorted(good, key=lambda q: (len(q), q)):
         if any(p[:k] in out for k in STEMS if k < len(p)):
             continue
-        while longer := [q for q in good if len(q) == len(p) + 1 and q.startswith(p) and words[q] == words[p]]:
+        while longer := [q for q in sorted(good) if len(q) == len(p) + 1 and q.startswith(p) and words[q] == words[p]]:
             p = longer[0]
         out[p] = odds[p]
     return out
