@@ -8,7 +8,8 @@ fewer than ``LITERALS`` words besides slots say little, so those join by their
 real values instead.
 
 A document leaks an item when it has at least ``COVERAGE`` of the item's
-distinct windows and the slots agree: along one alignment (equal distance of
+distinct windows, or ``LONG`` of them (a run of 20 tokens of a long item), and
+the slots agree: along one alignment (equal distance of
 positions) each value of the item must stand for one value of the document, in
 at least ``CONSISTENT`` of the cases. A re-parameterised question changes its
 values consistently and is caught; an accidental template match is not.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import row_key, table
 
-WINDOW, LITERALS, SHORTEST, COVERAGE, CONSISTENT = 8, 4, 4, 0.5, 0.8
+WINDOW, LITERALS, SHORTEST, COVERAGE, LONG, CONSISTENT = 8, 4, 4, 0.5, 13, 0.8
 #: Most benchmark windows (24 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST = 500_000
 #: Unit words that make a slot after a number.
@@ -111,7 +112,7 @@ def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text
 
 def find_leaks(
     docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, coverage: float = COVERAGE, consistent: float = CONSISTENT,
+    window: int = WINDOW, coverage: float = COVERAGE, long: int = LONG, consistent: float = CONSISTENT,
 ) -> DataFrame:
     """(_d, _h, item, n_windows, n_matched, coverage, slots, agreement, first_at) of every leak."""
     windows, lengths, raw = benchmark_windows(bench, item, item_text, window)
@@ -142,7 +143,7 @@ def find_leaks(
                 "agreement": F.when(F.size("_slots") == 0, 1.0).otherwise(keys / F.size("_slots")),
             }
         )
-        .where((F.col("coverage") >= coverage) & (F.col("agreement") >= consistent))
+        .where(((F.col("coverage") >= coverage) | (F.col("n_matched") >= long)) & (F.col("agreement") >= consistent))
         .select("_d", "_h", F.col("_item").alias(item), "n_windows", "n_matched", "coverage", "slots", "agreement", "first_at")
     )
 
