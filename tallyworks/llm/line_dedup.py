@@ -147,27 +147,31 @@ def find_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "_h",
             F.transform("_x", lambda x: F.when(trim(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(trim(x)))).alias("_lines"),
             F.transform("_x", lambda x: F.length(trim(x))).alias("_lengths"),
-        ),
+        ).dropDuplicates(["_d", "_h"]),
         "lines",
     )
     held = seqs.select("_d", "_h", F.explode(F.array_distinct(F.arrays_zip("_lines", "_lengths"))).alias("_l")).select(
         "_d", "_h", F.col("_l._lines").alias("_line"), F.col("_l._lengths").alias("_n")
     ).where("_line <> 0")
     key = F.struct("_d", "_h")
-    first = held.groupBy("_line").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first <> _last").select(
-        "_line", F.col("_first._d").alias("_od"), F.col("_first._h").alias("_oh")
+    # written first: a join with a plain table, not an aggregate, lets a hot line be split over tasks
+    first = materialize(
+        held.groupBy("_line").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first <> _last").select(
+            "_line", F.col("_first._d").alias("_od"), F.col("_first._h").alias("_oh")
+        ),
+        "holders",
     )
-    pairs = (
+    pairs = materialize(
         held.join(first, "_line")
         .where("_d <> _od or _h <> _oh")
         .groupBy("_d", "_h", "_od", "_oh")
         .agg(F.sum("_n").alias("_shared"))
         .where(F.col("_shared") >= least)
-        .drop("_shared")
+        .drop("_shared"),
+        "pairs",
     )
-    once = seqs.groupBy("_d", "_h").agg(F.first("_lines").alias("_lines"), F.first("_lengths").alias("_lengths"))
-    earlier = once.select(F.col("_d").alias("_od"), F.col("_h").alias("_oh"), F.col("_lines").alias("_earlier"))
-    aligned = pairs.join(once, ["_d", "_h"]).join(earlier, ["_od", "_oh"]).mapInArrow(_align, f"_d bigint, _h bigint, _found {BLOCKS}")
+    earlier = seqs.select(F.col("_d").alias("_od"), F.col("_h").alias("_oh"), F.col("_lines").alias("_earlier"))
+    aligned = pairs.join(seqs, ["_d", "_h"]).join(earlier, ["_od", "_oh"]).mapInArrow(_align, f"_d bigint, _h bigint, _found {BLOCKS}")
     return (
         aligned.where(F.size("_found") > 0)
         .groupBy("_d", "_h")
