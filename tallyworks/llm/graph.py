@@ -1,6 +1,8 @@
 """Connected components by alternating large and small stars, as joins and pre-aggregated minima.
 
-Node ids may be of any type that Spark orders. Each round is written to the shared folder, so lineage
+Node ids may be of any type that Spark orders. The minima are written before edges meet them, so that
+both sides of that join are plain exchanges and a node of very many edges can be split over tasks (an
+aggregate under a join can't). Each round is written to the shared folder, so lineage
 stays short and a lost executor costs one round at most. Nothing is gathered on the driver but a
 count and a checksum of the edges.
 """
@@ -29,9 +31,9 @@ def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _distinct(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")))
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialize(_distinct(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))), "edges")
+        low = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), "least")
         small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(low.select("hi", F.col("m").alias("lo")))
         e = materialize(_distinct(small), "edges")
         now = _state(e)

@@ -119,7 +119,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str)
 
 def _confirm(edges: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
     """The (c, n) edges whose sets are similar enough."""
-    fan = edges.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    fan = materialize(edges.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts")), "fans")
     members = edges.join(fan, "c").select("c", F.pmod(F.xxhash64("n"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "n")
     centres = fan.select("c", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("c").alias("n"))
 
@@ -183,11 +183,13 @@ def _inside(edges: DataFrame, links: DataFrame, sizes: DataFrame, sets: DataFram
     nodes = family.join(piece, "node", "left").join(sizes, family["node"] == sizes["n"]).select(
         "f", F.col("node").alias("n"), F.coalesce("p", "node").alias("p"), "n_shingles"
     )
-    open_ = (
+    nodes = materialize(nodes, "families")
+    open_ = materialize(
         nodes.groupBy("f")
         .agg(F.count(F.lit(1)).alias("m"), F.min("p").alias("p0"), F.max("p").alias("p1"), F.sum("n_shingles").alias("w"))
         .where("m > 2 and p0 <> p1")
-        .select("f", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+        .select("f", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("nb")),
+        "open",
     )
     b = F.pmod(F.xxhash64("n"), F.col("nb")).cast("int")
     dealt = nodes.join(open_, "f").withColumn("b", b).select(
@@ -214,7 +216,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, hundredths: int = 80, id_col: s
         "classes",
     )
     banded = classes.select("n", F.explode("bands").alias("b"))
-    buckets = banded.groupBy("b").agg(F.min("n").alias("c"), F.max("n").alias("last")).where("c <> last").select("b", "c")
+    # written first: a join with a plain table, not an aggregate, lets a hot bucket be split over tasks
+    buckets = materialize(banded.groupBy("b").agg(F.min("n").alias("c"), F.max("n").alias("last")).where("c <> last").select("b", "c"), "buckets")
     edges = materialize(banded.join(buckets, "b").where("n <> c").select("c", "n").distinct(), "stars")
     nodes = edges.select("n").union(edges.select(F.col("c").alias("n"))).distinct()
     sets = _sets(docs, nodes, k, id_col, text_col)
