@@ -223,11 +223,12 @@ def link_embeddings(
     # base rows of a list in blocks; queries from other lists (and the list itself, block against block)
     size = indexed.groupBy("label", "dim", "own").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
     block = F.pmod(F.xxhash64("n"), F.col("nb")).cast("int")
-    asked = (
+    asked = materialize(
         indexed.select("label", "dim", "n", F.explode("probes").alias("own"))
         .groupBy("label", "dim", "own")
         .agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nq"))
-        .join(size, ["label", "dim", "own"])
+        .join(size, ["label", "dim", "own"]),
+        "asked",
     )
     key = ["label", "dim", "list", "i", "j"]
     payload = ["n", "copies", "v", "codes", "err", "own"]
