@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
 
 
 def score_documents(docs: DataFrame, model: QualityModel, carry: list[str]) -> DataFrame:
-    """The carried columns, score double and stats array<double> (in the order of NAMES) of every row."""
+    """The carried columns (but for any named like a result), score double and stats array<double> (in the order of NAMES)."""
+    carry = [c for c in carry if c not in ("score", "stats")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

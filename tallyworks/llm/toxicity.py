@@ -360,9 +360,10 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select(*keep).mapInArrow(run, f"{schema}, score double, hits array<struct<at: int, term: string, edits: int, quoted: boolean, context: double>>")
 
 
-def scores(docs: DataFrame, model: ToxicityModel, carry: list[str]) -> DataFrame:
-    """The carried columns and score, in one pass over the texts."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+def scores(docs: DataFrame, model: ToxicityModel, carry: list[str], out: str = "score") -> DataFrame:
+    """The carried columns (but for one named like the result) and the score, in one pass over the texts."""
+    keep = [c for c in carry if c != out]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,9 +371,9 @@ def scores(docs: DataFrame, model: ToxicityModel, carry: list[str]) -> DataFrame
         auto, known = m.automaton(), {}
         for batch in batches:
             score = [m.score(x.as_py(), auto, known) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*carry, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*keep, out])
 
-    return docs.select(*carry, F.col("text").alias("_scored")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(run, f"{schema}, `{out}` double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
