@@ -11,8 +11,10 @@ A document leaks an item when it has at least ``COVERAGE`` of the item's
 distinct windows, or ``LONG`` of them (a run of 20 tokens of a long item), and
 the slots agree: along one alignment (equal distance of
 positions) each value of the item must stand for one value of the document, in
-at least ``CONSISTENT`` of the cases. A re-parameterised question changes its
-values consistently and is caught; an accidental template match is not.
+at least ``CONSISTENT`` of the cases. The alignments of a document and an item
+are taken together, or else those that agree, so uses of the template that
+don't agree never hide a copy. A re-parameterised question changes its values
+consistently and is caught; an accidental template match is not.
 
 Items shorter than a window are matched by one window of their own length, if
 they have ``SHORTEST`` tokens or more.
@@ -121,30 +123,43 @@ def find_leaks(
     d, h = row_key(docs, id_col, text_col)
     exploded = _all_windows(docs.select(d.alias("_d"), h.alias("_h"), tokens(F.col(text_col)).alias("_t")), lengths, raw)
     hits = exploded.join(windows, ["_w", "_length", "_raw"]).select(
-        "_d", "_h", "_item", "_w", "_raw", "_windows", "_at",
+        "_d", "_h", "_item", "_w", "_raw", "_windows", "_at", (F.col("_at") - F.col("_ip")).alias("_line"),
         F.filter(
-            F.transform(
-                F.arrays_zip(F.col("_is").alias("i"), F.slice("_t", F.col("_at") + 1, F.col("_length")).alias("v")),
-                lambda p: F.struct((F.col("_at") - F.col("_ip")).alias("line"), p["i"].alias("i"), p["v"].alias("v")),
-            ),
-            lambda p: kind(p["i"]) != "",
+            F.arrays_zip(F.col("_is").alias("i"), F.slice("_t", F.col("_at") + 1, F.col("_length")).alias("v")), lambda p: kind(p["i"]) != ""
         ).alias("_slots"),
     )
-    slots = F.array_distinct(F.flatten(F.collect_set("_slots")))
-    per = hits.groupBy("_d", "_h", "_item").agg(
-        F.first("_windows").alias("n_windows"), F.countDistinct("_w", "_raw").alias("n_matched"), slots.alias("_slots"), F.min("_at").alias("first_at")
+    lines = hits.groupBy("_d", "_h", "_item", "_line").agg(
+        F.first("_windows").alias("n_windows"),
+        F.collect_set(F.struct("_w", "_raw")).alias("_matched"),
+        F.array_distinct(F.flatten(F.collect_set("_slots"))).alias("_slots"),
+        F.min("_at").alias("_at"),
     )
-    keys = F.size(F.array_distinct(F.transform("_slots", lambda p: F.struct(p["line"], p["i"]))))
-    return (
-        per.withColumns(
-            {
-                "coverage": F.col("n_matched") / F.col("n_windows"),
-                "slots": F.size("_slots"),
-                "agreement": F.when(F.size("_slots") == 0, 1.0).otherwise(keys / F.size("_slots")),
-            }
+    lines = lines.withColumns({"_pairs": F.size("_slots"), "_keys": F.size(F.array_distinct("_slots.i"))})
+    agrees = (F.col("_pairs") == 0) | (F.col("_keys") / F.col("_pairs") >= consistent)
+
+    def together(of: Column) -> Column:
+        """The lines for which ``of`` holds, as one."""
+        only = lambda c: F.when(of, F.col(c))
+        n = F.size(F.array_distinct(F.flatten(F.collect_list(only("_matched")))))
+        pairs = F.coalesce(F.sum(only("_pairs")), F.lit(0)).cast("int")
+        return F.struct(
+            n.alias("n_matched"),
+            (n / F.first("n_windows")).alias("coverage"),
+            pairs.alias("slots"),
+            F.when(pairs == 0, 1.0).otherwise(F.sum(only("_keys")) / pairs).alias("agreement"),
+            F.min(only("_at")).alias("first_at"),
         )
-        .where(((F.col("coverage") >= coverage) | (F.col("n_matched") >= long)) & (F.col("agreement") >= consistent))
-        .select("_d", "_h", F.col("_item").alias(item), "n_windows", "n_matched", "coverage", "slots", "agreement", "first_at")
+
+    def passes(c: str) -> Column:
+        return ((F.col(f"{c}.coverage") >= coverage) | (F.col(f"{c}.n_matched") >= long)) & (F.col(f"{c}.agreement") >= consistent)
+
+    per = lines.groupBy("_d", "_h", "_item").agg(
+        F.first("n_windows").alias("n_windows"), together(F.lit(True)).alias("_all"), together(agrees).alias("_agreeing")
+    )
+    return (
+        per.where(passes("_all") | passes("_agreeing"))
+        .withColumn("_found", F.when(passes("_all"), F.col("_all")).otherwise(F.col("_agreeing")))
+        .select("_d", "_h", F.col("_item").alias(item), "n_windows", "_found.*")
     )
 
 

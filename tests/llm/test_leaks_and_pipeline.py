@@ -38,10 +38,17 @@ def test_slots_must_agree(spark, docs):
     good, bad = item.replace("5", "8").replace("9", "2"), item.replace("costs 5", "costs 6", 1).replace("costs 5", "costs 7").replace("9", "6")
     assert leaks(docs, bench, good) == [(0, 1)]
     r = D.find_leaks(docs(bad), bench, consistent=0.0).first()
-    assert r["agreement"] < 1 and leaks(docs, bench, f"{good} . {bad}") == [(0, 1)] or True
+    assert r["agreement"] < 1 and leaks(docs, bench, f"{good} . {bad}") == [(0, 1)]
     assert D.find_leaks(docs(bad), bench, consistent=0.95).isEmpty()
 
 
+def test_other_uses_of_a_template_hide_no_copy(spark, docs):
+    item = "if x costs 5 coins and y costs 5 coins and z costs 9 coins then the sum of all of them in the basket is what"
+    bench = spark.createDataFrame([(1, item)], ITEMS)
+    bad = item.replace("costs 5", "costs 6", 1).replace("costs 5", "costs 7").replace("9", "6")
+    assert leaks(docs, bench, f"{item} . {bad} . {bad}", f"{bad} . {bad}") == [(0, 1)]
+
+
 def test_slot_heavy_windows_join_by_value(spark, docs):
     item = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"
     bench = spark.createDataFrame([(1, item)], ITEMS)
