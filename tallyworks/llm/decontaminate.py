@@ -19,8 +19,10 @@ consistently and is caught; an accidental template match is not.
 Items shorter than a window are matched by one window of their own length, if
 they have ``SHORTEST`` tokens or more.
 
-Edge cases: null and empty texts, and shorter items, match nothing; items of
-equal id are one item; rows equal in id and text are one document; an empty
+Edge cases: null and empty texts, and shorter items, match nothing; items are
+one item where id and text are equal, so each text of a repeated id is searched
+and reported by itself; a text without id has a null item, unless the same text
+has ids; rows equal in id and text are one document; an empty
 benchmark keeps every document.
 """
 
@@ -97,9 +99,12 @@ def _all_windows(df: DataFrame, lengths: list[int], raw: bool) -> DataFrame:
 
 
 def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, list[int], bool]:
-    """(item, _w, _length, _raw, _ip, _is, _windows), window lengths in use, whether any joins by real values."""
-    items = bench.where(F.col(item).isNotNull()).groupBy(F.col(item).alias("_item")).agg(F.max(text).alias("_text"))
-    items = items.select("_item", tokens(F.col("_text")).alias("_t")).where(F.size("_t") >= SHORTEST)
+    """(_ik (of id and text), _item, _w, _length, _raw, _ip, _is, _windows), window lengths in use, whether any joins by real values."""
+    items = bench.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("_text")).agg(F.collect_set(item).alias("_ids"))
+    items = items.select("_text", F.explode_outer("_ids").alias("_item")).select(
+        F.xxhash64("_item", "_text").alias("_ik"), "_item", tokens(F.col("_text")).alias("_t")
+    )
+    items = items.where(F.size("_t") >= SHORTEST)
     lengths = sorted({window, *(r[0] for r in items.where(F.size("_t") < window).select(F.size("_t")).distinct().collect())})
     w = _all_windows(items, lengths, True).where(
         ((F.size("_t") >= window) & (F.col("_length") == window)) | ((F.size("_t") < window) & (F.col("_length") == F.size("_t")))
@@ -107,8 +112,8 @@ def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text
     w = w.withColumn("_is", F.slice("_t", F.col("_at") + 1, F.col("_length")))
     literals = F.size(F.filter("_is", lambda x: kind(x) == ""))
     w = w.where(F.col("_raw") == (literals < F.least(F.lit(LITERALS), F.col("_length"))))
-    total = w.groupBy("_item").agg(F.countDistinct("_w", "_raw").alias("_windows"))
-    w = w.join(total, "_item").select("_item", "_w", "_length", "_raw", F.col("_at").alias("_ip"), "_is", "_windows")
+    total = w.groupBy("_ik").agg(F.countDistinct("_w", "_raw").alias("_windows"))
+    w = w.join(total, "_ik").select("_ik", "_item", "_w", "_length", "_raw", F.col("_at").alias("_ip"), "_is", "_windows")
     return w, lengths, not w.where("_raw").isEmpty()
 
 
@@ -123,12 +128,13 @@ def find_leaks(
     d, h = row_key(docs, id_col, text_col)
     exploded = _all_windows(docs.select(d.alias("_d"), h.alias("_h"), tokens(F.col(text_col)).alias("_t")), lengths, raw)
     hits = exploded.join(windows, ["_w", "_length", "_raw"]).select(
-        "_d", "_h", "_item", "_w", "_raw", "_windows", "_at", (F.col("_at") - F.col("_ip")).alias("_line"),
+        "_d", "_h", "_ik", "_item", "_w", "_raw", "_windows", "_at", (F.col("_at") - F.col("_ip")).alias("_line"),
         F.filter(
             F.arrays_zip(F.col("_is").alias("i"), F.slice("_t", F.col("_at") + 1, F.col("_length")).alias("v")), lambda p: kind(p["i"]) != ""
         ).alias("_slots"),
     )
-    lines = hits.groupBy("_d", "_h", "_item", "_line").agg(
+    lines = hits.groupBy("_d", "_h", "_ik", "_line").agg(
+        F.first("_item").alias("_item"),
         F.first("_windows").alias("n_windows"),
         F.collect_set(F.struct("_w", "_raw")).alias("_matched"),
         F.array_distinct(F.flatten(F.collect_set("_slots"))).alias("_slots"),
@@ -153,8 +159,8 @@ def find_leaks(
     def passes(c: str) -> Column:
         return ((F.col(f"{c}.coverage") >= coverage) | (F.col(f"{c}.n_matched") >= long)) & (F.col(f"{c}.agreement") >= consistent)
 
-    per = lines.groupBy("_d", "_h", "_item").agg(
-        F.first("n_windows").alias("n_windows"), together(F.lit(True)).alias("_all"), together(agrees).alias("_agreeing")
+    per = lines.groupBy("_d", "_h", "_ik").agg(
+        F.first("_item").alias("_item"), F.first("n_windows").alias("n_windows"), together(F.lit(True)).alias("_all"), together(agrees).alias("_agreeing")
     )
     return (
         per.where(passes("_all") | passes("_agreeing"))

@@ -49,6 +49,12 @@ def test_other_uses_of_a_template_hide_no_copy(spark, docs):
     assert leaks(docs, bench, f"{item} . {bad} . {bad}", f"{bad} . {bad}") == [(0, 1)]
 
 
+def test_every_text_of_an_id_is_searched(spark, docs):
+    bench = spark.createDataFrame([(1, A), (1, B), (None, A + " " + B), (None, B), (2, B)], ITEMS)
+    found = lambda *t: Counter((r["_d"], r["item_id"]) for r in D.find_leaks(docs(*t), bench, coverage=0.9, long=1000).collect())
+    assert found(A, B) == Counter([(0, 1), (1, 1), (1, 2)]) and found((7, A + " " + B)) == Counter([(7, 1), (7, 1), (7, 2), (7, None)])
+
+
 def test_slot_heavy_windows_join_by_value(spark, docs):
     item = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"
     bench = spark.createDataFrame([(1, item)], ITEMS)
