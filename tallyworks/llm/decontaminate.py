@@ -1,9 +1,10 @@
 """Benchmark decontamination by canonical templates; DataFrame functions only.
 
-Texts become template tokens: numbers, names (capitalised words that follow a
-lower-case word, so not at the start of a sentence) and units after numbers
-turn into typed slots, other words into lower case, punctuation goes. Windows
-of ``WINDOW`` tokens are hashed and joined with the benchmark's. Windows with
+Texts become template tokens: numbers, names and units after numbers turn into
+typed slots, other words into lower case, punctuation and layout go. A text is
+read in three ways: names are the capitalised words that follow a lower-case
+word (so not at the start of a sentence), or none (copies in other case), or
+all capitalised words (names that start a sentence). Windows of ``WINDOW`` tokens are hashed and joined with the benchmark's. Windows with
 fewer than ``LITERALS`` words besides slots say little, so those join by their
 real values instead.
 
@@ -28,6 +29,8 @@ benchmark keeps every document.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,18 +47,24 @@ UNITS = [
     "miles", "mile", "feet", "foot", "inches", "inch", "yards", "liters", "liter", "litres", "litre", "seconds", "second", "minutes", "minute",
     "hours", "hour", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "euros", "euro", "cents", "percent", "degrees",
 ]
-NAME, UNIT = "\u0002", "\u0003"
+NAME, UNIT, START = "\u0002", "\u0003", "\u0004"
 _NUMBER = r"[\p{Nd}]+(?:[.,][\p{Nd}]+)*"
 _WORD = r"[\p{L}][\p{L}\p{M}]*"
 
 
 def tokens(text: Column) -> Column:
-    """Tokens of a text in lower case; names and units carry a mark in front."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0002\u0003]", " ")
-    marked = F.regexp_replace(marked, r"(?<=\p{Ll}[,;]? )(?=\p{Lu}\p{Ll})", NAME)
+    """Tokens of a text in lower case; names, units and other capitalised words carry a mark in front."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\s\p{{Z}}{NAME}{UNIT}{START}]+", " ")
+    marked = F.regexp_replace(marked, r"(?<![\p{L}\p{M}])(?=\p{Lu}\p{Ll})", START)
+    marked = F.regexp_replace(marked, rf"(?<=\p{{Ll}}[,;]? ){START}", NAME)
     units = "|".join(sorted((u.replace("/", "\\/") for u in UNITS), key=len, reverse=True))
-    marked = F.regexp_replace(F.lower(marked), rf"(?<=\p{{Nd}} ?)({units})(?![\p{{L}}\p{{N}}])", f"{UNIT}$1")
-    return F.regexp_extract_all(marked, F.lit(rf"{NAME}?{_WORD}|{_NUMBER}|{UNIT}[^\s,;.!?)]+"), F.lit(0))
+    marked = F.regexp_replace(F.lower(marked), rf"(?<=\p{{Nd}} ?){START}?({units})(?![\p{{L}}\p{{N}}])", f"{UNIT}$1")
+    return F.regexp_extract_all(marked, F.lit(rf"[{NAME}{START}]?{_WORD}|{_NUMBER}|{UNIT}[^\s,;.!?)]+"), F.lit(0))
+
+
+def bare(token: Column) -> Column:
+    """The token without the mark of a capitalised word."""
+    return F.when(F.substring(token, 1, 1).isin(NAME, START), F.substring(token, 2, 2**31 - 1)).otherwise(token)
 
 
 def kind(token: Column) -> Column:
@@ -64,42 +73,51 @@ def kind(token: Column) -> Column:
     return F.when(c == NAME, "<name>").when(c == UNIT, "<unit>").when(c.between("0", "9") | c.rlike(r"\p{Nd}"), "<number>").otherwise("")
 
 
-def slot_hash(token: Column) -> Column:
-    """Hash of the template token."""
+def _slot_hash(marks: tuple[str, ...], token: Column) -> Column:
+    """Hash of the template token, where capitalised words of these marks are names."""
     c = F.substring(token, 1, 1)
-    word = F.xxhash64(token)
-    return (
-        F.when(c > "9", word)
-        .when(c == NAME, F.lit(2).cast("long"))
-        .when(c == UNIT, F.lit(3).cast("long"))
-        .otherwise(F.lit(1).cast("long"))
-    )
+    out = F.when(c > "9", F.xxhash64(token))
+    for mark in (NAME, START):
+        out = out.when(c == mark, F.lit(2).cast("long") if mark in marks else F.xxhash64(bare(token)))
+    return out.when(c == UNIT, F.lit(3).cast("long")).otherwise(F.lit(1).cast("long"))
+
+
+def _shown(marks: tuple[str, ...], token: Column) -> Column:
+    """The token, where capitalised words of these marks carry the mark of a name and others none."""
+    named = F.substring(token, 1, 1).isin(*marks) if marks else F.lit(False)
+    return F.when(named, F.concat(F.lit(NAME), bare(token))).otherwise(bare(token))
 
 
 def _windows(hashes: Column, length: int) -> Column:
     """Hash of every run of ``length``, in order."""
     starts = F.when(F.size(hashes) >= length, F.sequence(F.lit(0), F.size(hashes) - length))
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(length), *[F.get(hashes, i + k) for k in range(length)]))
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(length), F.slice(hashes, i + 1, F.lit(length))))
+
+
+#: Which capitalised words are names: those inside sentences, none, all. A text is read in each way, so neither
+#: case nor the place in a sentence decides.
+READINGS = ((NAME,), (), (NAME, START))
 
 
 def _all_windows(df: DataFrame, lengths: list[int], raw: bool) -> DataFrame:
-    """``df`` (with _t tokens) exploded to _length, _raw, _at, _w (hash) for windows of all lengths."""
-    df = df.withColumn("_hash", F.transform("_t", slot_hash))
+    """``df`` (with _t tokens) exploded to _length, _at, _read (hash in each reading; with raw one more, of the real values)."""
+    hashes = [f"_hash{k}" for k in range(len(READINGS))] + (["_own"] if raw else [])
+    df = df.withColumns({f"_hash{k}": F.transform("_t", partial(_slot_hash, m)) for k, m in enumerate(READINGS)})
     if raw:
-        df = df.withColumn("_own", F.transform("_t", lambda x: F.xxhash64(x)))
-    parts = []
+        df = df.withColumn("_own", F.transform("_t", lambda x: F.xxhash64(bare(x))))
+    out = None
     for n in lengths:
-        for own in (False, True) if raw else (False,):
-            w = df.select("*", F.posexplode(_windows(F.col("_own" if own else "_hash"), n)).alias("_at", "_w"))
-            parts.append(w.drop("_hash", "_own").withColumns({"_length": F.lit(n), "_raw": F.lit(own)}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        w = df.select("*", F.posexplode(F.arrays_zip(*[_windows(F.col(h), n).alias(h) for h in hashes])).alias("_at", "_z"))
+        w = w.select(*[c for c in df.columns if c not in hashes], F.lit(n).alias("_length"), "_at", F.array(*[F.col(f"_z.{h}") for h in hashes]).alias("_read"))
+        out = w if out is None else out.unionByName(w)
     return out
 
 
 def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, list[int], bool]:
-    """(_ik (of id and text), _item, _w, _length, _raw, _ip, _is, _windows), window lengths in use, whether any joins by real values."""
+    """(_ik (of id and text), _item, _w, _length, _key, _ip, _is, _windows), window lengths in use, whether any joins by real values.
+
+    A window has a row for each reading that hashes it differently (_w) and one name for all (_key).
+    """
     items = bench.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("_text")).agg(F.collect_set(item).alias("_ids"))
     items = items.select("_text", F.explode_outer("_ids").alias("_item")).select(
         F.xxhash64("_item", "_text").alias("_ik"), "_item", tokens(F.col("_text")).alias("_t")
@@ -109,12 +127,23 @@ def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text
     w = _all_windows(items, lengths, True).where(
         ((F.size("_t") >= window) & (F.col("_length") == window)) | ((F.size("_t") < window) & (F.col("_length") == F.size("_t")))
     )
-    w = w.withColumn("_is", F.slice("_t", F.col("_at") + 1, F.col("_length")))
-    literals = F.size(F.filter("_is", lambda x: kind(x) == ""))
-    w = w.where(F.col("_raw") == (literals < F.least(F.lit(LITERALS), F.col("_length"))))
-    total = w.groupBy("_ik").agg(F.countDistinct("_w", "_raw").alias("_windows"))
-    w = w.join(total, "_ik").select("_ik", "_item", "_w", "_length", "_raw", F.col("_at").alias("_ip"), "_is", "_windows")
-    return w, lengths, not w.where("_raw").isEmpty()
+    w = w.withColumn("_s", F.slice("_t", F.col("_at") + 1, F.col("_length")))
+    own = F.get("_read", F.lit(len(READINGS)))
+    rows = []
+    for k, marks in enumerate(READINGS):
+        shown = F.transform("_s", partial(_shown, marks))
+        few = F.size(F.filter(shown, lambda x: kind(x) == "")) < F.least(F.lit(LITERALS), F.col("_length"))
+        template = F.struct(F.get("_read", F.lit(k)).alias("w"), F.lit(False).alias("raw"), shown.alias("s"))
+        by_value = F.struct(own.alias("w"), F.lit(True).alias("raw"), shown.alias("s"))
+        if k:  # a row of its own only where the reading differs
+            rows.append(F.when(~few & (F.get("_read", F.lit(k)) != F.get("_read", F.lit(0))), template))
+        else:
+            rows.append(F.when(few, by_value).otherwise(template))
+    w = w.withColumn("_rows", F.array(*rows)).withColumn("_key", F.struct(F.col("_rows")[0]["w"].alias("w"), F.col("_rows")[0]["raw"].alias("raw")))
+    total = w.groupBy("_ik").agg(F.countDistinct("_key").alias("_windows"))
+    w = w.select("_ik", "_item", "_length", "_key", F.col("_at").alias("_ip"), F.explode(F.array_compact("_rows")).alias("_r")).join(total, "_ik")
+    w = w.select("_ik", "_item", F.col("_r.w").alias("_w"), "_length", "_key", "_ip", F.col("_r.s").alias("_is"), "_windows", F.col("_r.raw").alias("_raw"))
+    return w.drop("_raw"), lengths, not w.where("_raw").isEmpty()
 
 
 def find_leaks(
@@ -127,16 +156,20 @@ def find_leaks(
         windows = F.broadcast(windows)
     d, h = row_key(docs, id_col, text_col)
     exploded = _all_windows(docs.select(d.alias("_d"), h.alias("_h"), tokens(F.col(text_col)).alias("_t")), lengths, raw)
-    hits = exploded.join(windows, ["_w", "_length", "_raw"]).select(
-        "_d", "_h", "_ik", "_item", "_w", "_raw", "_windows", "_at", (F.col("_at") - F.col("_ip")).alias("_line"),
-        F.filter(
-            F.arrays_zip(F.col("_is").alias("i"), F.slice("_t", F.col("_at") + 1, F.col("_length")).alias("v")), lambda p: kind(p["i"]) != ""
+    exploded = exploded.select("_d", "_h", "_t", "_length", "_at", F.explode(F.array_distinct("_read")).alias("_w"))
+    hits = exploded.join(windows, ["_w", "_length"]).select(
+        "_d", "_h", "_ik", "_item", "_key", "_windows", "_at", (F.col("_at") - F.col("_ip")).alias("_line"),
+        F.transform(
+            F.filter(
+                F.arrays_zip(F.col("_is").alias("i"), F.slice("_t", F.col("_at") + 1, F.col("_length")).alias("v")), lambda p: kind(p["i"]) != ""
+            ),
+            lambda p: F.struct(bare(p["i"]).alias("i"), bare(p["v"]).alias("v")),
         ).alias("_slots"),
     )
     lines = hits.groupBy("_d", "_h", "_ik", "_line").agg(
         F.first("_item").alias("_item"),
         F.first("_windows").alias("n_windows"),
-        F.collect_set(F.struct("_w", "_raw")).alias("_matched"),
+        F.collect_set("_key").alias("_matched"),
         F.array_distinct(F.flatten(F.collect_set("_slots"))).alias("_slots"),
         F.min("_at").alias("_at"),
     )

@@ -55,6 +55,16 @@ def test_every_text_of_an_id_is_searched(spark, docs):
     assert found(A, B) == Counter([(0, 1), (1, 1), (1, 2)]) and found((7, A + " " + B)) == Counter([(7, 1), (7, 1), (7, 2), (7, None)])
 
 
+def test_case_layout_and_sentence_starts(spark, docs):
+    names = "today Anna gives old Bernd some pears while young Clara gives poor Dieter more plums and then Emil asks dear Frida how many fruits"
+    starts = "Alice has 3 red pens in the box. Bob gives 4 pens to her now. Carol takes 2 pens out again. Dave asks how many are left"
+    bench = spark.createDataFrame([(1, names), (2, starts)], ITEMS)
+    other = starts.replace("Alice", "Nina").replace("Bob", "Otto").replace("Carol", "Paula").replace("Dave", "Quint").replace("3", "8")
+    texts = [names, names.lower(), names.upper(), names.title(), names.replace(" ", "\n"), names.replace(" ", "  \t"), starts.lower(), other, other.replace(" ", "\u00a0\n"),
+        starts.replace("Bob", "Alice").replace("pens", "of")]
+    assert leaks(docs, bench, *texts) == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2), (7, 2), (8, 2)]
+
+
 def test_slot_heavy_windows_join_by_value(spark, docs):
     item = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"
     bench = spark.createDataFrame([(1, item)], ITEMS)
