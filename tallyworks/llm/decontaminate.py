@@ -5,8 +5,10 @@ typed slots, other words into lower case, punctuation and layout go. A text is
 read in three ways: names are the capitalised words that follow a lower-case
 word (so not at the start of a sentence), or none (copies in other case), or
 all capitalised words (names that start a sentence). Windows of ``WINDOW`` tokens are hashed and joined with the benchmark's. Windows with
-fewer than ``LITERALS`` words besides slots say little, so those join by their
-real values instead.
+fewer than ``LITERALS`` words besides slots say little, so those count where their real
+values are equal, or where the document holds the whole item along that
+alignment: all tokens in order, slots one-to-one. Windows without any word join
+by their values only.
 
 A document leaks an item when it has at least ``COVERAGE`` of the item's
 distinct windows, or ``LONG`` of them (a run of 20 tokens of a long item), and
@@ -113,8 +115,9 @@ def _all_windows(df: DataFrame, lengths: list[int], raw: bool) -> DataFrame:
     return out
 
 
-def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, list[int], bool]:
-    """(_ik (of id and text), _item, _w, _length, _key, _ip, _is, _windows), window lengths in use, whether any joins by real values.
+def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame, list[int], bool]:
+    """(_ik (of id and text), _item, _w, _length, _key, _ip, _n (tokens of the item), _thin (few words), _is, _windows), (_whole_ik, _it) of all
+    items, window lengths in use, whether any window joins by real values.
 
     A window has a row for each reading that hashes it differently (_w) and one name for all (_key).
     """
@@ -129,21 +132,39 @@ def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text
     )
     w = w.withColumn("_s", F.slice("_t", F.col("_at") + 1, F.col("_length")))
     own = F.get("_read", F.lit(len(READINGS)))
-    rows = []
+    rows, words, few = [], [], []
     for k, marks in enumerate(READINGS):
-        shown = F.transform("_s", partial(_shown, marks))
-        few = F.size(F.filter(shown, lambda x: kind(x) == "")) < F.least(F.lit(LITERALS), F.col("_length"))
-        template = F.struct(F.get("_read", F.lit(k)).alias("w"), F.lit(False).alias("raw"), shown.alias("s"))
-        by_value = F.struct(own.alias("w"), F.lit(True).alias("raw"), shown.alias("s"))
-        if k:  # a row of its own only where the reading differs
-            rows.append(F.when(~few & (F.get("_read", F.lit(k)) != F.get("_read", F.lit(0))), template))
-        else:
-            rows.append(F.when(few, by_value).otherwise(template))
-    w = w.withColumn("_rows", F.array(*rows)).withColumn("_key", F.struct(F.col("_rows")[0]["w"].alias("w"), F.col("_rows")[0]["raw"].alias("raw")))
+        shown, hashed = F.transform("_s", partial(_shown, marks)), F.get("_read", F.lit(k))
+        words.append(F.size(F.filter(shown, lambda x: kind(x) == "")))
+        few.append(words[k] < F.least(F.lit(LITERALS), F.col("_length")))
+        # a row of its own only where the reading differs
+        differs = F.lit(True) if not k else hashed != F.get("_read", F.lit(0))
+        rows.append(F.when((words[k] > 0) & differs, F.struct(hashed.alias("w"), few[k].alias("thin"), F.lit(False).alias("raw"), shown.alias("s"))))
+    none = words[READINGS.index(())] == 0
+    rows.append(F.when(none, F.struct(own.alias("w"), F.lit(False).alias("thin"), F.lit(True).alias("raw"), F.transform("_s", bare).alias("s"))))
+    w = w.withColumns({"_rows": F.array_compact(F.array(*rows)), "_key": F.struct(few[0].alias("few"), F.when(few[0], own).otherwise(F.get("_read", F.lit(0))).alias("w"))})
     total = w.groupBy("_ik").agg(F.countDistinct("_key").alias("_windows"))
-    w = w.select("_ik", "_item", "_length", "_key", F.col("_at").alias("_ip"), F.explode(F.array_compact("_rows")).alias("_r")).join(total, "_ik")
-    w = w.select("_ik", "_item", F.col("_r.w").alias("_w"), "_length", "_key", "_ip", F.col("_r.s").alias("_is"), "_windows", F.col("_r.raw").alias("_raw"))
-    return w.drop("_raw"), lengths, not w.where("_raw").isEmpty()
+    w = w.select("_ik", "_item", "_length", "_key", F.col("_at").alias("_ip"), F.size("_t").alias("_n"), F.explode("_rows").alias("_r")).join(total, "_ik")
+    raw = not w.where("_r.raw").isEmpty()
+    w = w.select("_ik", "_item", F.col("_r.w").alias("_w"), "_length", "_key", "_ip", "_n", F.col("_r.thin").alias("_thin"), F.col("_r.s").alias("_is"), "_windows")
+    return w, items.select(F.col("_ik").alias("_whole_ik"), F.col("_t").alias("_it")), lengths, raw
+
+
+def _slot(token: Column) -> Column:
+    """The slot's type, where every capitalised word is a name."""
+    return F.when(F.substring(token, 1, 1) == START, "<name>").otherwise(kind(token))
+
+
+def _pairs(i: str, v: str, slots: bool = False) -> Column:
+    """Pairs of tokens without marks; all of them, or those that are slots."""
+    pairs = F.arrays_zip(F.col(i).alias("i"), F.col(v).alias("v"))
+    pairs = F.filter(pairs, lambda p: _slot(p["i"]) != "") if slots else pairs
+    return F.transform(pairs, lambda p: F.struct(bare(p["i"]).alias("i"), bare(p["v"]).alias("v")))
+
+
+def _one_to_one(pairs: Column) -> Column:
+    n = F.size(F.array_distinct(pairs))
+    return (n == F.size(F.array_distinct(pairs["i"]))) & (n == F.size(F.array_distinct(pairs["v"])))
 
 
 def find_leaks(
@@ -151,14 +172,14 @@ def find_leaks(
     window: int = WINDOW, coverage: float = COVERAGE, long: int = LONG, consistent: float = CONSISTENT,
 ) -> DataFrame:
     """(_d, _h, item, n_windows, n_matched, coverage, slots, agreement, first_at) of every leak."""
-    windows, lengths, raw = benchmark_windows(bench, item, item_text, window)
+    windows, items, lengths, raw = benchmark_windows(bench, item, item_text, window)
     if windows.count() <= BROADCAST:
-        windows = F.broadcast(windows)
+        windows, items = F.broadcast(windows), F.broadcast(items)
     d, h = row_key(docs, id_col, text_col)
     exploded = _all_windows(docs.select(d.alias("_d"), h.alias("_h"), tokens(F.col(text_col)).alias("_t")), lengths, raw)
     exploded = exploded.select("_d", "_h", "_t", "_length", "_at", F.explode(F.array_distinct("_read")).alias("_w"))
     hits = exploded.join(windows, ["_w", "_length"]).select(
-        "_d", "_h", "_ik", "_item", "_key", "_windows", "_at", (F.col("_at") - F.col("_ip")).alias("_line"),
+        "_d", "_h", "_ik", "_item", "_key", "_windows", "_thin", "_at", "_n", "_t", (F.col("_at") - F.col("_ip")).alias("_line"),
         F.transform(
             F.filter(
                 F.arrays_zip(F.col("_is").alias("i"), F.slice("_t", F.col("_at") + 1, F.col("_length")).alias("v")), lambda p: kind(p["i"]) != ""
@@ -166,11 +187,24 @@ def find_leaks(
             lambda p: F.struct(bare(p["i"]).alias("i"), bare(p["v"]).alias("v")),
         ).alias("_slots"),
     )
+    # a window of few words counts by its real values, or where the whole item is there
+    hits = hits.withColumn("_counts", ~F.col("_thin") | F.forall("_slots", lambda p: p["i"] == p["v"]))
+    hits = hits.withColumn("_there", F.when(~F.col("_counts") & (F.col("_line") >= 0), F.slice("_t", F.greatest("_line", F.lit(0)) + 1, F.col("_n")))).drop("_t")
+    # the key of other windows meets no item and is spread
+    hits = hits.withColumn("_whole_ik", F.when(F.col("_there").isNotNull(), F.col("_ik")).otherwise(F.xxhash64("_d", "_h", "_at"))).join(items, "_whole_ik", "left")
+    fits = F.forall(
+        F.arrays_zip(F.col("_it").alias("i"), F.col("_there").alias("v")),
+        lambda p: (bare(p["i"]) == bare(p["v"])) | ((_slot(p["i"]) != "") & (_slot(p["i"]) == _slot(p["v"]))),
+    )
+    whole = (F.size("_there") == F.col("_n")) & fits & _one_to_one(_pairs("_it", "_there", True))
+    hits = hits.withColumn("_whole", F.when(F.col("_there").isNotNull() & F.col("_it").isNotNull(), F.coalesce(whole, F.lit(False))).otherwise(False))
+    hits = hits.where("_counts or _whole")
     lines = hits.groupBy("_d", "_h", "_ik", "_line").agg(
         F.first("_item").alias("_item"),
         F.first("_windows").alias("n_windows"),
-        F.collect_set("_key").alias("_matched"),
-        F.array_distinct(F.flatten(F.collect_set("_slots"))).alias("_slots"),
+        F.collect_set(F.when(F.col("_counts"), F.col("_key"))).alias("_matched"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("_counts"), F.col("_slots"))))).alias("_slots"),
+        F.max(F.when(F.col("_whole"), F.size(F.array_distinct(_pairs("_it", "_there", True))))).alias("_whole"),
         F.min("_at").alias("_at"),
     )
     lines = lines.withColumns({"_pairs": F.size("_slots"), "_keys": F.size(F.array_distinct("_slots.i"))})
@@ -192,12 +226,21 @@ def find_leaks(
     def passes(c: str) -> Column:
         return ((F.col(f"{c}.coverage") >= coverage) | (F.col(f"{c}.n_matched") >= long)) & (F.col(f"{c}.agreement") >= consistent)
 
+    one = F.lit(1.0)
+    held = F.struct(
+        F.first("n_windows").cast("int").alias("n_matched"), one.alias("coverage"), F.max("_whole").alias("slots"), one.alias("agreement"),
+        F.min(F.when(F.col("_whole").isNotNull(), F.col("_line"))).alias("first_at"),
+    )
     per = lines.groupBy("_d", "_h", "_ik").agg(
-        F.first("_item").alias("_item"), F.first("n_windows").alias("n_windows"), together(F.lit(True)).alias("_all"), together(agrees).alias("_agreeing")
+        F.first("_item").alias("_item"),
+        F.first("n_windows").alias("n_windows"),
+        together(F.lit(True)).alias("_all"),
+        together(agrees).alias("_agreeing"),
+        held.alias("_held"),
     )
     return (
-        per.where(passes("_all") | passes("_agreeing"))
-        .withColumn("_found", F.when(passes("_all"), F.col("_all")).otherwise(F.col("_agreeing")))
+        per.where(passes("_all") | passes("_agreeing") | F.col("_held.slots").isNotNull())
+        .withColumn("_found", F.when(passes("_all"), F.col("_all")).when(passes("_agreeing"), F.col("_agreeing")).otherwise(F.col("_held")))
         .select("_d", "_h", F.col("_item").alias(item), "n_windows", "_found.*")
     )
 

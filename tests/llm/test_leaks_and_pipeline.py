@@ -71,6 +71,14 @@ def test_slot_heavy_windows_join_by_value(spark, docs):
     assert leaks(docs, bench, item, " ".join(str(k) for k in range(40, 70)), f"x {item} y") == [(0, 1), (2, 1)]
 
 
+def test_short_and_number_heavy_items_by_template(spark, docs):
+    bench = spark.createDataFrame([(1, "What is 17 times 23?"), (2, "Solve 3 x + 5 = 20"), (3, "Convert 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20")], ITEMS)
+    run = " ".join(str(k) for k in range(40, 60))
+    texts = ["now what is 18 times 46 then", "what is 17 times 23", "what is 5 times 5", "what is 5 by 6", "please solve 4 x + 6 = 30", "solve 4 x + 6", f"Convert {run}",
+        " ".join(f"Convert {run}".split()[:12] + ["and"] + run.split()[12:])]
+    assert leaks(docs, bench, *texts) == [(0, 1), (1, 1), (4, 2), (6, 3)]
+
+
 def test_windows_against_brute_force(spark, docs):
     """Texts without slots: coverage is the share of the item's distinct runs of eight words."""
     words = "amber birch cedar daisy elder fern grape holly iris jade kelp lily maple nettle olive pine".split()
