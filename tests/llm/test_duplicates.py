@@ -208,8 +208,18 @@ def test_patience():
         a, b = rng.integers(1, 6, rng.integers(0, 14)).tolist(), rng.integers(1, 6, rng.integers(0, 14)).tolist()
         pairs = L.patience(a, b)
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
-    assert L.blocks([5, 0, 6], [5, 0, 6, 0], [30, 0, 2, 0]) == [(0, 3)]
-    assert L.blocks([5, 9, 6], [5, 8, 6], [30, 0, 2]) == [(0, 1)]  # the short run stays
+
+
+def test_seeds_and_owners():
+    long, other = "a line of more than twenty characters", "another line of such a length"
+    assert [s[1:] for s in L.seeds(f"{long}\n\n{other}\r\n")] == [(0, 1, 1), (2, 1, 0)]
+    assert L.seeds(long)[0] == L.seeds(f"  {long}\r")[0] and L.seeds(None) == L.seeds("\n \n") == L.seeds("too short\nstill") == []
+    assert [s[1:] for s in L.seeds("ten chars.\n\nten chars.\nx")] == [(0, 3, 0), (0, 4, 0)]  # from the first line on; up to the last
+    spots = [(0, 1, 1, (5, 0), 0, 2, 0), (1, 1, 2, (5, 0), 4, 2, 0), (2, 1, 3, (5, 0), 2, 2, 1), (4, 1, 1, (5, 0), 0, 2, 2), (7, 2, 9, (4, 0), 0, 7, 1)]
+    for rounds in (0, 1, 8):  # the rounds decide nothing
+        assert L.owners(spots, rounds) == [(0, 7, 5), (7, 2, 4)]
+    assert L.owners([(0, 2, 1, (5, 0), 0, 9, 0), (1, 2, 2, (6, 0), 0, 3, 0)]) == [(0, 1, 5), (1, 2, 6)]  # the rarer seed's holder first
+    assert L.owners([]) == []
 
 
 def line(k):
@@ -249,6 +259,85 @@ def test_line_dedup_keys_and_columns(docs):
     assert L.dedup_lines(df.limit(0)).count() == 0
 
 
+def passages(texts, least=L.LEAST):
+    """Of each document, the lines of every run of at least ``least`` characters that any earlier document holds: all pairs, all runs."""
+    rows = {k: [(i, x.strip()) for i, x in enumerate((t or "").split("\n")) if x.strip()] for k, t in texts.items()}
+    gone = {}
+    for k in sorted(texts):
+        own, gone[k] = rows[k], set()
+        for e in sorted(texts):
+            if e >= k:
+                break
+            theirs = rows[e]
+            for p in range(len(own)):
+                for q in range(len(theirs)):
+                    if p and q and own[p - 1][1] == theirs[q - 1][1]:
+                        continue  # not the start of a longest run
+                    n = 0
+                    while p + n < len(own) and q + n < len(theirs) and own[p + n][1] == theirs[q + n][1]:
+                        n += 1
+                    if n and sum(len(own[p + j][1]) for j in range(n)) >= least:
+                        gone[k] |= {own[p + j][0] for j in range(n)}
+        for (i, _), (j, _) in zip(own, own[1:], strict=False):  # blank lines go with the lines around them
+            gone[k] |= set(range(i, j)) if {i, j} <= gone[k] else set()
+    return gone
+
+
+def dropped(rows):
+    return {r["doc_id"]: {i for b in r["blocks"] or [] for i in range(b["at"], b["at"] + b["lines"])} for r in rows}
+
+
+def test_every_shared_passage_goes(docs):
+    """200 corpora of their own letters each, lines of 1 to 30 characters, against all pairs and all runs."""
+    rng = np.random.default_rng(11)
+    texts, groups = {}, []
+    for c in range(200):
+        letters = [chr(0x4E00 + 30 * c + k) for k in range(8)]
+        lines = [x * int(rng.integers(1, 31 if c % 2 else 12)) for x in letters] + ["", " "]
+        ids = range(len(texts), len(texts) + int(rng.integers(2, 7)))
+        for k in ids:
+            own = [lines[j] for j in rng.integers(0, len(lines), rng.integers(0, 13))]
+            if k > ids[0] and rng.random() < 0.4:  # a piece of an earlier document, passages in another order or again
+                src = texts[int(rng.integers(ids[0], k))].split("\n")
+                a = int(rng.integers(0, len(src)))
+                own = src[a:] + own + src[: a + 1]
+            texts[k] = "\n".join(own)
+        groups.append(ids)
+    got = dropped(L.dedup_lines(docs(*texts.items())).collect())
+    for ids in groups:
+        part = {k: texts[k] for k in ids}
+        assert {k: got[k] for k in ids} == passages(part), ids
+        # nothing that one alignment of whole documents would delete is left
+        for k in ids:
+            own = [x.strip() for x in texts[k].split("\n")]
+            for e in range(ids[0], k):
+                number = {"": 0}
+                a, b = ([number.setdefault(x, len(number)) for x in t] for t in ([x.strip() for x in texts[e].split("\n")], own))
+                run = []
+                for i, j in [*L.patience(a, b), (-9, -9)]:
+                    if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
+                        full = [y for _, y in run if own[y]]
+                        assert sum(len(own[y]) for y in full) < L.LEAST or set(full) <= got[k]
+                        run = []
+                    run.append((i, j))
+
+
+def test_passages_of_lines_that_others_held_first(docs):
+    """No line of the passage is new in either document, their order is."""
+    a, b, c = "first short line", "second short line", "third short one"
+    texts = {0: a, 1: b, 2: c, 3: f"{a}\n{b}\n{c}", 4: f"own words\n{a}\n\n{b}\n{c}", 5: f"{c}\n{b}\n{a}", 6: f"{line(1)}\n{line(2)}", 7: f"{line(2)}\n{line(1)}\n{line(2)}"}
+    got = dropped(L.dedup_lines(docs(*texts.items())).collect())
+    assert got == {0: set(), 1: set(), 2: set(), 3: set(), 4: {1, 2, 3, 4}, 5: set(), 6: set(), 7: {0, 1, 2}} == passages(texts)
+
+
+def test_many_lines_and_reversed_order(docs):
+    n = 3000
+    whole = [line(k) for k in range(n)]
+    texts = {0: "\n".join(whole), 1: "\n".join(whole[::-1]), 2: "\n".join(["x y"] * n), 3: "\n".join(["x y"] * n), 4: "z" * 1_000_000, 5: "q\n" + "z" * 1_000_000}
+    got = dropped(L.dedup_lines(docs(*texts.items())).collect())
+    assert [len(got[k]) for k in range(6)] == [0, n, 0, n, 0, 1]
+
+
 def test_rare_lines_only_pair_with_their_first_holder(docs):
     """Pairs grow with the rows of a line's group, not with their square."""
     df = docs(*[f"{line(1)}\n{line(100 + k)}" for k in range(50)])
