@@ -63,7 +63,7 @@ def held_out(doc_id: Column) -> Column:
 
 def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
     return (
-        F.coalesce(df[id_col].cast("long"), F.lit(LONG_MAX)),
+        F.coalesce(df[id_col].try_cast("long"), F.lit(LONG_MAX)),
         F.xxhash64(F.coalesce(df[text_col], F.lit(""))),
     )
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination by canonical templates; DataFrame functions only.
 
-Texts become template tokens: numbers, names and units after numbers turn into
+Texts become template tokens: numbers (digits or words), names and units after numbers turn into
 typed slots, other words into lower case, punctuation and layout go. A text is
 read in three ways: names are the capitalised words that follow a lower-case
 word (so not at the start of a sentence), or none (copies in other case), or
@@ -13,19 +13,23 @@ by their values only.
 A document leaks an item when it has at least ``COVERAGE`` of the item's
 distinct windows, or ``LONG`` of them (a run of 20 tokens of a long item), and
 the slots agree: along one alignment (equal distance of
-positions) each value of the item must stand for one value of the document, in
-at least ``CONSISTENT`` of the cases. The alignments of a document and an item
+positions) each value of the item must stand for one value of the document, and
+the other way round, in at least ``CONSISTENT`` of the cases. The alignments of a document and an item
 are taken together, or else those that agree, so uses of the template that
 don't agree never hide a copy. A re-parameterised question changes its values
 consistently and is caught; an accidental template match is not.
 
-Items shorter than a window are matched by one window of their own length, if
-they have ``SHORTEST`` tokens or more.
+Items shorter than a window are matched by one window of their own length; those
+under ``SHORTEST`` tokens only by their real values, and one-token items only by
+documents that are nothing else.
 
-Edge cases: null and empty texts, and shorter items, match nothing; items are
+Documents are read once for the hashes, which carry no text, and the few that
+meet a window once more for its values.
+
+Edge cases: null and empty texts match nothing; items are
 one item where id and text are equal, so each text of a repeated id is searched
 and reported by itself; a text without id has a null item, unless the same text
-has ids; rows equal in id and text are one document; an empty
+has ids; rows equal in id and text are one document; a doc_id that is no number counts as null; an empty
 benchmark keeps every document.
 """
 
@@ -36,10 +40,10 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import materialize, row_key, table
 
 WINDOW, LITERALS, SHORTEST, COVERAGE, LONG, CONSISTENT = 8, 4, 4, 0.5, 13, 0.8
-#: Most benchmark windows (24 bytes each) that are broadcast; more are joined by a shuffle.
+#: Most benchmark windows, and most ids of documents with hits, that are broadcast; more are joined by a shuffle.
 BROADCAST = 500_000
 #: Unit words that make a slot after a number.
 UNITS = [
@@ -49,18 +53,25 @@ UNITS = [
     "miles", "mile", "feet", "foot", "inches", "inch", "yards", "liters", "liter", "litres", "litre", "seconds", "second", "minutes", "minute",
     "hours", "hour", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "euros", "euro", "cents", "percent", "degrees",
 ]
+#: Number words that are slots.
+NUMBERS = [
+    "zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million",
+]
 NAME, UNIT, START = "\u0002", "\u0003", "\u0004"
 _NUMBER = r"[\p{Nd}]+(?:[.,][\p{Nd}]+)*"
-_WORD = r"[\p{L}][\p{L}\p{M}]*"
+_WORD = r"[\p{L}][\p{L}\p{M}]*+"
 
 
 def tokens(text: Column) -> Column:
     """Tokens of a text in lower case; names, units and other capitalised words carry a mark in front."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\s\p{{Z}}{NAME}{UNIT}{START}]+", " ")
-    marked = F.regexp_replace(marked, r"(?<![\p{L}\p{M}])(?=\p{Lu}\p{Ll})", START)
-    marked = F.regexp_replace(marked, rf"(?<=\p{{Ll}}[,;]? ){START}", NAME)
+    gap = rf"\s\p{{Z}}{NAME}{UNIT}{START}"
+    # the characters looked for come first and what must stand before them is checked then: far fewer tries
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{gap}&&[^ ]][{gap}]*+| [{gap}]++", " ")
+    marked = F.regexp_replace(marked, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{M}])", START)
+    marked = F.regexp_replace(marked, rf"{START}(?<=\p{{Ll}}[,;]? {START})", NAME)
     units = "|".join(sorted((u.replace("/", "\\/") for u in UNITS), key=len, reverse=True))
-    marked = F.regexp_replace(F.lower(marked), rf"(?<=\p{{Nd}} ?){START}?({units})(?![\p{{L}}\p{{N}}])", f"{UNIT}$1")
+    marked = F.regexp_replace(F.lower(marked), rf"(\p{{Nd}} ?){START}?({units})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
     return F.regexp_extract_all(marked, F.lit(rf"[{NAME}{START}]?{_WORD}|{_NUMBER}|{UNIT}[^\s,;.!?)]+"), F.lit(0))
 
 
@@ -72,16 +83,18 @@ def bare(token: Column) -> Column:
 def kind(token: Column) -> Column:
     """'' for a word, else the slot's type."""
     c = F.substring(token, 1, 1)
-    return F.when(c == NAME, "<name>").when(c == UNIT, "<unit>").when(c.between("0", "9") | c.rlike(r"\p{Nd}"), "<number>").otherwise("")
+    number = c.between("0", "9") | bare(token).isin(NUMBERS) | c.rlike(r"\p{Nd}")
+    return F.when(c == UNIT, "<unit>").when(number, "<number>").when(c == NAME, "<name>").otherwise("")
 
 
 def _slot_hash(marks: tuple[str, ...], token: Column) -> Column:
     """Hash of the template token, where capitalised words of these marks are names."""
     c = F.substring(token, 1, 1)
-    out = F.when(c > "9", F.xxhash64(token))
+    number = F.lit(1).cast("long")
+    out = F.when(c > "9", F.when(token.isin(NUMBERS), number).otherwise(F.xxhash64(token)))
     for mark in (NAME, START):
-        out = out.when(c == mark, F.lit(2).cast("long") if mark in marks else F.xxhash64(bare(token)))
-    return out.when(c == UNIT, F.lit(3).cast("long")).otherwise(F.lit(1).cast("long"))
+        out = out.when(c == mark, F.when(bare(token).isin(NUMBERS), number).otherwise(F.lit(2).cast("long") if mark in marks else F.xxhash64(bare(token))))
+    return out.when(c == UNIT, F.lit(3).cast("long")).otherwise(number)
 
 
 def _shown(marks: tuple[str, ...], token: Column) -> Column:
@@ -90,29 +103,30 @@ def _shown(marks: tuple[str, ...], token: Column) -> Column:
     return F.when(named, F.concat(F.lit(NAME), bare(token))).otherwise(bare(token))
 
 
-def _windows(hashes: Column, length: int) -> Column:
-    """Hash of every run of ``length``, in order."""
-    starts = F.when(F.size(hashes) >= length, F.sequence(F.lit(0), F.size(hashes) - length))
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(length), F.slice(hashes, i + 1, F.lit(length))))
-
-
 #: Which capitalised words are names: those inside sentences, none, all. A text is read in each way, so neither
 #: case nor the place in a sentence decides.
 READINGS = ((NAME,), (), (NAME, START))
 
 
 def _all_windows(df: DataFrame, lengths: list[int], raw: bool) -> DataFrame:
-    """``df`` (with _t tokens) exploded to _length, _at, _read (hash in each reading; with raw one more, of the real values)."""
+    """``df`` (with _t tokens) with a row for each place and length: _length, _at, _read (hash in each reading; with raw one more, of the real values).
+
+    Places are exploded before windows are hashed, so that the hashes are generated code and each text is read once.
+    """
     hashes = [f"_hash{k}" for k in range(len(READINGS))] + (["_own"] if raw else [])
-    df = df.withColumns({f"_hash{k}": F.transform("_t", partial(_slot_hash, m)) for k, m in enumerate(READINGS)})
+    made = df.withColumns({f"_hash{k}": F.transform("_t", partial(_slot_hash, m)) for k, m in enumerate(READINGS)})
     if raw:
-        df = df.withColumn("_own", F.transform("_t", lambda x: F.xxhash64(bare(x))))
-    out = None
-    for n in lengths:
-        w = df.select("*", F.posexplode(F.arrays_zip(*[_windows(F.col(h), n).alias(h) for h in hashes])).alias("_at", "_z"))
-        w = w.select(*[c for c in df.columns if c not in hashes], F.lit(n).alias("_length"), "_at", F.array(*[F.col(f"_z.{h}") for h in hashes]).alias("_read"))
-        out = w if out is None else out.unionByName(w)
-    return out
+        made = made.withColumn("_own", F.transform("_t", lambda x: F.xxhash64(bare(x))))
+    at = made.withColumn("_at", F.explode(F.when(F.size("_t") >= min(lengths), F.sequence(F.lit(0), F.size("_t") - min(lengths)))))
+
+    def window(n: int) -> Column:
+        reads = [F.xxhash64(F.lit(n), F.slice(F.col(h), F.col("_at") + 1, F.lit(n))) for h in hashes]
+        return F.struct(F.lit(n).alias("_length"), F.array(*reads).alias("_read"))
+
+    if len(lengths) == 1 < lengths[0]:
+        return at.select(*df.columns, "_at", F.inline(F.array(window(lengths[0]))))
+    fits = [F.when((F.col("_at") + n <= F.size("_t")) & (F.lit(n > 1) | (F.size("_t") == 1)), window(n)) for n in lengths]
+    return at.select(*df.columns, "_at", F.explode(F.array(*fits)).alias("_z")).where("_z is not null").select(*df.columns, "_at", "_z.*")
 
 
 def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame, list[int], bool]:
@@ -125,13 +139,14 @@ def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text
     items = items.select("_text", F.explode_outer("_ids").alias("_item")).select(
         F.xxhash64("_item", "_text").alias("_ik"), "_item", tokens(F.col("_text")).alias("_t")
     )
-    items = items.where(F.size("_t") >= SHORTEST)
+    items = items.where(F.size("_t") > 0)
     lengths = sorted({window, *(r[0] for r in items.where(F.size("_t") < window).select(F.size("_t")).distinct().collect())})
     w = _all_windows(items, lengths, True).where(
         ((F.size("_t") >= window) & (F.col("_length") == window)) | ((F.size("_t") < window) & (F.col("_length") == F.size("_t")))
     )
     w = w.withColumn("_s", F.slice("_t", F.col("_at") + 1, F.col("_length")))
     own = F.get("_read", F.lit(len(READINGS)))
+    short = F.col("_length") < F.least(F.lit(SHORTEST), F.lit(window))
     rows, words, few = [], [], []
     for k, marks in enumerate(READINGS):
         shown, hashed = F.transform("_s", partial(_shown, marks)), F.get("_read", F.lit(k))
@@ -139,8 +154,8 @@ def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text
         few.append(words[k] < F.least(F.lit(LITERALS), F.col("_length")))
         # a row of its own only where the reading differs
         differs = F.lit(True) if not k else hashed != F.get("_read", F.lit(0))
-        rows.append(F.when((words[k] > 0) & differs, F.struct(hashed.alias("w"), few[k].alias("thin"), F.lit(False).alias("raw"), shown.alias("s"))))
-    none = words[READINGS.index(())] == 0
+        rows.append(F.when((words[k] > 0) & ~short & differs, F.struct(hashed.alias("w"), few[k].alias("thin"), F.lit(False).alias("raw"), shown.alias("s"))))
+    none = (words[READINGS.index(())] == 0) | short
     rows.append(F.when(none, F.struct(own.alias("w"), F.lit(False).alias("thin"), F.lit(True).alias("raw"), F.transform("_s", bare).alias("s"))))
     w = w.withColumns({"_rows": F.array_compact(F.array(*rows)), "_key": F.struct(few[0].alias("few"), F.when(few[0], own).otherwise(F.get("_read", F.lit(0))).alias("w"))})
     total = w.groupBy("_ik").agg(F.countDistinct("_key").alias("_windows"))
@@ -152,7 +167,8 @@ def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text
 
 def _slot(token: Column) -> Column:
     """The slot's type, where every capitalised word is a name."""
-    return F.when(F.substring(token, 1, 1) == START, "<name>").otherwise(kind(token))
+    named = (F.substring(token, 1, 1) == START) & ~bare(token).isin(NUMBERS)
+    return F.when(named, "<name>").otherwise(kind(token))
 
 
 def _pairs(i: str, v: str, slots: bool = False) -> Column:
@@ -176,20 +192,33 @@ def find_leaks(
     if windows.count() <= BROADCAST:
         windows, items = F.broadcast(windows), F.broadcast(items)
     d, h = row_key(docs, id_col, text_col)
-    exploded = _all_windows(docs.select(d.alias("_d"), h.alias("_h"), tokens(F.col(text_col)).alias("_t")), lengths, raw)
-    exploded = exploded.select("_d", "_h", "_t", "_length", "_at", F.explode(F.array_distinct("_read")).alias("_w"))
-    hits = exploded.join(windows, ["_w", "_length"]).select(
-        "_d", "_h", "_ik", "_item", "_key", "_windows", "_thin", "_at", "_n", "_t", (F.col("_at") - F.col("_ip")).alias("_line"),
+    texts = docs.select(d.alias("_d"), h.alias("_h"), F.col(text_col).alias("_text"))
+    exploded = _all_windows(texts.select("_d", "_h", tokens(F.col("_text")).alias("_t")), lengths, raw)
+    # every other reading only where it differs from all before it
+    reads = [F.get("_read", F.lit(k)) for k in range(len(READINGS) + raw)]
+    other = [F.when(~r.isin(reads[:k]), r) if k else r for k, r in enumerate(reads)]
+    exploded = exploded.select("_d", "_h", "_length", "_at", F.explode(F.array(*other)).alias("_w")).where("_w is not null")
+    line = F.col("_at") - F.col("_ip")
+    met = materialize(exploded.join(windows, ["_w", "_length"]).withColumn("_line", line), "met")
+    # values are read from the documents met, each once; what is sliced is written, so no row carries a whole text
+    keys = met.select("_d", "_h").distinct()
+    if keys.count() <= BROADCAST:
+        keys = F.broadcast(keys)
+    read = texts.join(keys, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select("_d", "_h", tokens(F.col("_text")).alias("_t"))
+    inside = F.when(F.col("_thin") & (F.col("_line") >= 0), F.slice("_t", F.greatest("_line", F.lit(0)) + 1, F.col("_n")))
+    hits = materialize(
+        met.join(read, ["_d", "_h"]).select(*met.columns, F.slice("_t", F.col("_at") + 1, F.col("_length")).alias("_v"), inside.alias("_there")), "hits"
+    )
+    hits = hits.select(
+        "_d", "_h", "_ik", "_item", "_key", "_windows", "_thin", "_at", "_n", "_there", "_line",
         F.transform(
-            F.filter(
-                F.arrays_zip(F.col("_is").alias("i"), F.slice("_t", F.col("_at") + 1, F.col("_length")).alias("v")), lambda p: kind(p["i"]) != ""
-            ),
+            F.filter(F.arrays_zip(F.col("_is").alias("i"), F.col("_v").alias("v")), lambda p: kind(p["i"]) != ""),
             lambda p: F.struct(bare(p["i"]).alias("i"), bare(p["v"]).alias("v")),
         ).alias("_slots"),
     )
     # a window of few words counts by its real values, or where the whole item is there
     hits = hits.withColumn("_counts", ~F.col("_thin") | F.forall("_slots", lambda p: p["i"] == p["v"]))
-    hits = hits.withColumn("_there", F.when(~F.col("_counts") & (F.col("_line") >= 0), F.slice("_t", F.greatest("_line", F.lit(0)) + 1, F.col("_n")))).drop("_t")
+    hits = hits.withColumn("_there", F.when(~F.col("_counts"), F.col("_there")))
     # the key of other windows meets no item and is spread
     hits = hits.withColumn("_whole_ik", F.when(F.col("_there").isNotNull(), F.col("_ik")).otherwise(F.xxhash64("_d", "_h", "_at"))).join(items, "_whole_ik", "left")
     fits = F.forall(
@@ -207,7 +236,9 @@ def find_leaks(
         F.max(F.when(F.col("_whole"), F.size(F.array_distinct(_pairs("_it", "_there", True))))).alias("_whole"),
         F.min("_at").alias("_at"),
     )
-    lines = lines.withColumns({"_pairs": F.size("_slots"), "_keys": F.size(F.array_distinct("_slots.i"))})
+    # one item value for one document value and the other way round
+    both = F.least(F.size(F.array_distinct("_slots.i")), F.size(F.array_distinct("_slots.v")))
+    lines = lines.withColumns({"_pairs": F.size("_slots"), "_keys": both})
     agrees = (F.col("_pairs") == 0) | (F.col("_keys") / F.col("_pairs") >= consistent)
 
     def together(of: Column) -> Column:

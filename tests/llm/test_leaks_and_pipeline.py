@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -29,7 +30,7 @@ def test_copies_and_reparameterised(docs, bench):
         f"Some words before. {A} and after", A.upper(), B.replace(",", ";").replace(" ", "  "), other, f"intro text {SHORT} outro", " ".join(B.split()[:8]) + " and then quite other things happen in this text",
         "a train of thought leaves the station of reason at noon", None, "", "tiny",
     ]
-    assert leaks(docs, bench, *texts) == [(0, 1), (1, 1), (2, 2), (3, 1), (4, 3)]
+    assert leaks(docs, bench, *texts) == [(0, 1), (1, 1), (2, 2), (3, 1), (4, 3), (9, 4)]
 
 
 def test_slots_must_agree(spark, docs):
@@ -79,6 +80,74 @@ def test_short_and_number_heavy_items_by_template(spark, docs):
     assert leaks(docs, bench, *texts) == [(0, 1), (1, 1), (4, 2), (6, 3)]
 
 
+def test_items_of_any_length(spark, docs):
+    """Under four tokens the real values count; one token only where a document is nothing else."""
+    bench = spark.createDataFrame([(1, "Name the capital"), (2, "Tiny"), (3, "7 times"), (4, "?!")], ITEMS)
+    texts = ["please name  the\ncapital, now", "Name a capital", "tiny.", "a tiny thing", "it is 7 times more", "it is 8 times more", "?!"]
+    assert leaks(docs, bench, *texts) == [(0, 1), (2, 2), (4, 3)]
+
+
+def test_word_problems(spark, docs):
+    tom = "Tom has 5 apples. Ann gives him 3 more. How many apples has Tom now?"
+    crates = "a farmer packs two crates with pears and seven crates with plums, how many crates does the farmer pack"
+    bench = spark.createDataFrame([(1, tom), (2, crates)], ITEMS)
+    texts = [tom, "Bob has 7 apples. Eve gives him 4 more. How many apples has Bob now?", "Bob has 7 apples. Bob gives him 7 more. How many apples has Eve now?",
+        crates.replace("two", "9").replace("seven", "four"), crates.replace("two", "Twelve"), crates.replace("pears", "x").replace("plums", "y").replace("how", "z")]
+    assert leaks(docs, bench, *texts) == [(0, 1), (1, 1), (3, 2), (4, 2)]
+
+
+def test_agreement_goes_both_ways(spark, docs):
+    item = "if x costs 5 coins and y costs 6 coins and z costs 9 coins then the sum of all of them in the basket is what"
+    bench = spark.createDataFrame([(1, item)], ITEMS)
+    same = item.replace("5", "7").replace("6", "7").replace("9", "7")
+    assert leaks(docs, bench, same, item.replace("5", "70").replace("6", "5").replace("9", "6")) == [(1, 1)]
+
+
+def test_templates_against_brute_force(spark, docs):
+    """Items of words and numbers: windows, coverage and agreement, recomputed with plain sets over all pairs of places."""
+    rng = random.Random(4)
+    words = "amber birch cedar daisy elder fern grape holly iris jade kelp lily maple nettle olive pine".split()
+    draw = lambda n: " ".join(str(rng.randint(10, 14)) if k % 3 == 2 and rng.random() < 0.7 else rng.choice(words) for k in range(n))
+    items = {k: draw(rng.randint(8, 24)) for k in range(12)}
+    texts = {}
+    for d in range(90):
+        src = items[rng.randrange(12)].split()
+        a = rng.randint(0, len(src) // 2)
+        swap = {str(v): str(rng.randint(10, 14)) for v in range(10, 15)}
+        piece = [swap.get(x, x) if rng.random() < 0.9 else str(rng.randint(10, 14)) if x in swap else x for x in src[a:]]
+        texts[d] = " ".join([*words[: rng.randint(0, 3)], *piece, *(src if d % 9 == 0 else []), "end"])
+
+    def windows(text):
+        own = text.split()
+        return [(i, tuple("#" if x.isdigit() else x for x in own[i : i + 8]), [x for x in own[i : i + 8] if x.isdigit()]) for i in range(len(own) - 7)]
+
+    want = []
+    for d, t in texts.items():
+        for k, x in items.items():
+            keys, lines = {w for _, w, _ in windows(x)}, {}
+            for p, w, v in windows(x):
+                for q, u, z in windows(t):
+                    if w == u:
+                        got, pairs = lines.setdefault(q - p, (set(), set()))
+                        got.add(w)
+                        pairs.update(zip(v, z, strict=True))
+            each = [(g, len(ps), min(len({a for a, _ in ps}), len({b for _, b in ps}))) for g, ps in lines.values()]
+            for part in (each, [e for e in each if not e[1] or e[2] / e[1] >= 0.8]):
+                found, n, ok = set().union(*(g for g, _, _ in part)), sum(e[1] for e in part), sum(e[2] for e in part)
+                if (len(found) >= 0.5 * len(keys) or len(found) >= 13) and found and (not n or ok / n >= 0.8):
+                    want.append((d, k))
+                    break
+    assert leaks(docs, spark.createDataFrame(list(items.items()), ITEMS), *texts.items()) == sorted(want) and 30 < len(want) < 150
+
+
+def test_long_texts_and_odd_ids(spark, docs):
+    bench = spark.createDataFrame([(1, A)], ITEMS)
+    long = "word " * 60_000 + A + " 7 km" * 60_000
+    assert leaks(docs, bench, long, "x" * 1_000_000, "1" * 300_000) == [(0, 1)]
+    df = spark.createDataFrame([("a", A), ("5", A), (None, "none")], "doc_id string, text string")
+    assert sorted(r["_d"] for r in D.find_leaks(df, bench).collect()) == [5, 9223372036854775807] and [r["text"] for r in D.drop_leaks(df, bench).collect()] == ["none"]
+
+
 def test_windows_against_brute_force(spark, docs):
     """Texts without slots: coverage is the share of the item's distinct runs of eight words."""
     words = "amber birch cedar daisy elder fern grape holly iris jade kelp lily maple nettle olive pine".split()
@@ -94,7 +163,10 @@ def test_rows_and_native_plan(spark, docs, bench, monkeypatch):
     kept = D.drop_leaks(df, bench)
     assert kept.columns == df.columns and Counter(r["text"] for r in kept.collect()) == Counter(["clean", "clean too", None])
     assert D.drop_leaks(df, bench.limit(0)).count() == 6 and D.find_leaks(df.limit(0), bench).isEmpty()
-    plan = D.find_leaks(df, bench)._jdf.queryExecution().executedPlan().toString()
+    with monkeypatch.context() as m:  # one plan, without the tables in between
+        m.setattr(D, "materialize", lambda x, *_: x)
+        whole = D.find_leaks(df, bench)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
     monkeypatch.setattr(D, "BROADCAST", 0)
     assert sorted((r["_d"], r["item_id"]) for r in D.find_leaks(df.where("doc_id is not null"), bench).collect()) == [(1, 1)]
