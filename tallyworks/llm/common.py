@@ -68,11 +68,12 @@ def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(doc_id, text, label) of at most about ``bound`` labelled training rows, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, most_bytes: int = 1 << 28) -> DataFrame:
+    """(doc_id, text, label) of at most about ``bound`` labelled training rows and ``most_bytes`` bytes of text, chosen by hashes.
 
     Rows of the held-out fold, with a null label or a null id never enter. A document labelled more
-    than once takes its largest label.
+    than once takes its largest label; rows equal in id and text count once, so neither an id of very
+    many rows nor a repeated row goes beyond the bounds.
     """
     rows = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -83,7 +84,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     if n > bound:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * bound / n)))
     # at most about `bound` rows of two numbers: small enough to send to every task
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    own = docs.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_h")).join(F.broadcast(rows), "doc_id")
+    size = own.select("_h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).distinct().agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    share = min(1.0, bound / max(1, size["n"]), most_bytes / max(1, size["b"] or 0))
+    if share < 1:
+        own = own.where(F.pmod(F.xxhash64("_h"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share)))
+    return own.dropDuplicates(["doc_id", "_h"]).select("doc_id", "text", "label")
 
 
 _held: dict[str, dict] = {}

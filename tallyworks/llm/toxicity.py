@@ -8,13 +8,19 @@ rows of the held-out fold:
    Beginnings that many such words share are terms too ("stem*": any ending).
 2. Levenshtein automata of all terms are intersected with the trie of the
    lexicon: a state is the set of (trie node, edits so far) that a prefix can
-   reach; states are made when first met and then cost one lookup a letter.
-   Terms of 5 letters or more allow one edit, of 12 or more two.
+   reach; states are made when first met and then cost one lookup a letter. A
+   stem's node accepts whatever follows. Every term of 4 letters or more allows one
+   edit, of 12 or more two, however rare it is. What an edit is worth is learned
+   for each length: half of the clean rows tell which words are words of their
+   own, the other half how often such matches still occur in clean rows.
 3. Each match gets a score from its context window (words on either side, and
    whether quotation marks surround it), so that quoting a term counts less
    than using it; window weights are learned too.
 4. A logistic model over sums of the match scores gives the document's score.
 
+Scripts without blanks (Chinese, Japanese, Thai and others) are read as the
+overlapping pairs of their letters.
+
 Edge cases: null, empty and wordless texts have no matches and get the model's
 score for none; without labels of both kinds the model scores 0 everywhere;
 repeated rows get equal scores; null ids count as held out by their (empty)
@@ -24,6 +30,8 @@ id's checksum; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +41,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, table
+from .common import held_out, labelled_sample, table, worker_cache
 
 #: Most labelled training rows that the model is fitted on.
 SAMPLE = 10_000
@@ -45,10 +53,8 @@ WINDOW = 4
 REMEMBERED = 200_000
 #: Toxic rows, and share of them, that must hold a term, and least smoothed log odds of a term.
 LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 4, 0.006, 4.2
-#: Terms in a smaller share of the toxic rows match only as they are.
-COMMON = 0.01
-#: Strength of a match inside quotation marks, and of one edit.
-QUOTED, EDITED = 0.25, 0.7
+#: Strength of a match inside quotation marks; share of a term's strength that one edit leaves before any is seen, and rows that outweigh that guess.
+QUOTED, EDITED, GUESS = 0.25, 0.7, 10
 QUOTES = "\"'“”„‟«»‹›‘’「」"
 #: Different neighbours that make half of a term's rows needless.
 ENOUGH_CONTEXTS = 20
@@ -56,6 +62,8 @@ ENOUGH_CONTEXTS = 20
 STEMS = (4, 5, 6, 7)
 #: Short quotations, which say little about who uses a word.
 QUOTED_SPAN = regex.compile(r"[\"“„«「][^\"”»」\n]{1,60}[\"”“»」]")
+#: Letters of scripts without blanks.
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
 EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 
 
@@ -67,24 +75,22 @@ def fold(raw: str) -> str:
 class LexiconAutomaton:
     """All words within the allowed edits of a lexicon term."""
 
-    def __init__(self, terms: list[str], exact: frozenset[str] = frozenset()):
+    def __init__(self, terms: list[str]):
         self.terms = terms
-        self.exact = exact  # terms that allow no edit
         self.child: list[dict[str, int]] = [{}]
         self.term_at: list[int] = [-1]
-        # a stem, written with a star, takes any word that begins with it
-        self.stems = {t[:-1]: k for k, t in enumerate(terms) if t.endswith("*")}
+        self.stem_at: list[int] = [-1]
         for k, term in enumerate(terms):
-            if term.endswith("*"):
-                continue
             node = 0
-            for c in term:
+            for c in term.removesuffix("*"):
                 if c not in self.child[node]:
                     self.child[node][c] = len(self.child)
                     self.child.append({})
                     self.term_at.append(-1)
+                    self.stem_at.append(-1)
                 node = self.child[node][c]
-            self.term_at[node] = k
+            # a stem, written with a star, takes any word that begins with it
+            (self.stem_at if term.endswith("*") else self.term_at)[node] = k
         self.reach = [0] * len(self.child)  # most edits that any term below a node allows
         for node in range(len(self.child) - 1, -1, -1):
             own = self.edits(self.terms[self.term_at[node]]) if self.term_at[node] >= 0 else 0
@@ -92,15 +98,16 @@ class LexiconAutomaton:
         self._start()
 
     def edits(self, term: str) -> int:
-        return 0 if len(term) < 5 or term in self.exact else 1 if len(term) < 12 else 2
+        return 0 if len(term) < 4 else 1 if len(term) < 12 else 2
 
     def _start(self) -> None:
         self.ids: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
+        self.sets: list[tuple[frozenset, int]] = []
         self.next: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []
-        self.dead = self._state({})
-        self.root = self._state(self._closed({0: 0}))
+        self.stems: list[int] = []
+        self.dead = self._state({}, -1)
+        self.root = self._state(self._closed({0: 0}), self.stem_at[0])
 
     def _closed(self, at: dict[int, int]) -> dict[int, int]:
         """With the letters of terms that the word leaves out."""
@@ -115,14 +122,16 @@ class LexiconAutomaton:
                     todo.append((x, e + 1))
         return at
 
-    def _state(self, at: dict[int, int]) -> int:
-        key = frozenset(at.items())
+    def _state(self, at: dict[int, int], stem: int) -> int:
+        """The state of these nodes, below the accepting subtree of a stem (-1: none)."""
+        key = frozenset([*at.items(), (-1, stem)])
         if key not in self.ids:
             self.ids[key] = len(self.sets)
-            self.sets.append(key)
+            self.sets.append((frozenset(at.items()), stem))
             self.next.append({})
-            ends = [(e, self.term_at[n]) for n, e in key if self.term_at[n] >= 0 and e <= self.edits(self.terms[self.term_at[n]])]
-            self.accepts.append(min(ends) if ends else None)
+            ends = [(e, self.term_at[n]) for n, e in at.items() if self.term_at[n] >= 0 and e <= self.edits(self.terms[self.term_at[n]])]
+            best = min(ends, default=None)
+            self.accepts.append((0, stem) if stem >= 0 and (best is None or best[0]) else best)
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -132,16 +141,19 @@ class LexiconAutomaton:
             if e <= self.reach[node] and at.get(node, 99) > e:
                 at[node] = e
 
-        for node, e in self.sets[state]:
+        nodes, stem = self.sets[state]
+        for node, e in nodes:
             put(node, e + 1)  # a letter too many
             for x, n in self.child[node].items():
                 put(n, e if x == c else e + 1)
-        to = self._state(self._closed(at))
+                if x == c and not e and stem < 0:
+                    stem = self.stem_at[n]
+        to = self._state(self._closed(at), stem)
         self.next[state][c] = to
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(edits, term number) of the nearest term, or None; ties go to the term listed first."""
+        """(edits, term number) of the nearest term, or None; a stem stands behind an exact term, ties go to the term listed first."""
         if len(self.sets) > 200_000:
             self._start()
         state, dead = self.root, self.dead
@@ -152,13 +164,19 @@ class LexiconAutomaton:
                 return None
         return self.accepts[state]
 
-    def begins(self, word: str) -> tuple[int, int] | None:
-        """The stem that a word begins with, as (0, term number)."""
-        return next(((0, self.stems[word[:k]]) for k in STEMS if word[:k] in self.stems), None)
-
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").split()
+    """What white space leaves of a text; runs of a script without blanks as their overlapping pairs."""
+    text = text or ""
+    if text.isascii() or not UNSPACED.search(text):
+        return text.split()
+    pairs = lambda m: " " + " ".join(m[0][i : i + 2] for i in range(max(1, len(m[0]) - 1))) + " "
+    return UNSPACED.sub(pairs, text).split()
+
+
+def shortest(word: str) -> int:
+    """Letters that a term of this script has at least."""
+    return 2 if UNSPACED.match(word) else 3
 
 
 def learn_stems(rows: list[tuple[str | None, int]], toxic: Counter, clean: Counter, n: list[int]) -> dict[str, float]:
@@ -171,7 +189,7 @@ def learn_stems(rows: list[tuple[str | None, int]], toxic: Counter, clean: Count
     rows_of: Counter = Counter()
     for text, y in rows:
         if y:
-            found = own.intersection(map(fold, QUOTED_SPAN.sub(" ", text or "").split()))
+            found = own.intersection(map(fold, words_of(QUOTED_SPAN.sub(" ", text or ""))))
             rows_of.update({w[:k] for w in found for k in STEMS if len(w) > k})
             for w in found:
                 for k in STEMS:
@@ -207,7 +225,7 @@ def learn_terms(rows: list[tuple[str | None, int]]) -> tuple[list[str], list[flo
     found = []
     for w, a in by[1].items():
         b = by[0][w]
-        if a < max(LEAST_ROWS, LEAST_SHARE * n[1]) or len(w) < 3:
+        if a < max(LEAST_ROWS, LEAST_SHARE * n[1]) or len(w) < shortest(w):
             continue
         odds = math.log((a + 0.5) / (n[1] - a + 1)) - math.log((b + 0.5) / (n[0] - b + 1))
         share = (a + b) / (n[0] + n[1])
@@ -233,22 +251,22 @@ class ToxicityModel:
     """Plain data that travels to the tasks: terms, weights, clean neighbours, context weights, logistic weights."""
 
     def __init__(self, rows: list[tuple[str | None, int]]):
+        self.id = uuid.uuid4().hex
         self.terms, self.weights, toxic, clean = learn_terms(rows)
         self.constant = not self.terms
-        self.exact: frozenset[str] = frozenset()
+        self.weight = dict(zip(self.terms, self.weights, strict=True))
+        self.worth: dict[tuple[int, int], float] = {}
         self.context: dict[str, float] = {}
         self.beta = np.zeros(1)
         self.clean: set[str] = set()
         if self.constant:
             return
-        n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
-        self.exact = frozenset(w for w in self.terms if toxic[w] < COMMON * n1)
         auto = self.automaton()
-        own = set(self.terms)
-        # words near a term that clean rows use as well as toxic ones are words of their own
-        for w, b in clean.items():
-            if w not in own and (toxic[w] + 0.5) / n1 < 4 * (b + 0.5) / n0 and auto.match(w):
-                self.clean.add(w)
+        # every word of the sample that is near a term, once
+        near = {w: m for w in {*toxic, *clean} if len(w) >= shortest(w) and (m := auto.match(w))}
+        self._edits(rows, near)
+        n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+        self.clean = self._own_words(toxic, clean, n1, n0, near)
         known: dict[str, tuple[int, int] | None] = {}
         self._context(rows, auto, known)
         x = np.array([self.features(text, auto, known) for text, _ in rows])
@@ -256,7 +274,42 @@ class ToxicityModel:
         self.beta = logistic(x, y, 0.1)
 
     def automaton(self) -> LexiconAutomaton:
-        return LexiconAutomaton(self.terms, self.exact)
+        return LexiconAutomaton(self.terms)
+
+    def _own_words(self, toxic: Counter, clean: Counter, n1: int, n0: int, near: dict[str, tuple[int, int]]) -> set[str]:
+        """Words near a term that clean rows use as well as toxic ones."""
+        return {w for w, m in near.items() if m[0] and clean[w] and (toxic[w] + 0.5) / n1 < 4 * (clean[w] + 0.5) / n0}
+
+    def _edits(self, rows: list[tuple[str | None, int]], near: dict[str, tuple[int, int]]) -> None:
+        """What an edit of a term of each length is worth: rows of one half with a near word that the other half doesn't know as a word of its own.
+
+        Only rows without any term as it is count, so that a toxic row's other words don't speak for the edit.
+        """
+        halves = [[], []]
+        for text, y in rows:  # copies of a text fall in one half
+            halves[zlib.crc32((text or "").encode("utf-8", "replace")) % 2].append((near.keys() & {fold(raw) for raw in words_of(text)}, y))
+        seen = (Counter(), Counter())
+        n = [0, 0]
+        for k in (0, 1):
+            by = (Counter(), Counter())
+            for words, y in halves[1 - k]:
+                by[y].update(words)
+            n1, n0 = (max(1, sum(y == v for _, y in halves[1 - k])) for v in (1, 0))
+            known = self._own_words(by[1], by[0], n1, n0, near)
+            for words, y in halves[k]:
+                found = [near[w] for w in words if w not in known]
+                if all(e for e, _ in found):
+                    n[y] += 1
+                    seen[y].update({self._class(t, e) for e, t in found})
+        for c in set(seen[0]) | set(seen[1]):
+            a, b = seen[1][c], seen[0][c]
+            odds = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
+            usual = sum(self.weights) / len(self.weights)
+            share = max(0.0, min(1.0, odds / usual))
+            self.worth[c] = ((a + b) * share + GUESS * EDITED ** c[1]) / (a + b + GUESS)
+
+    def _class(self, term: int, edits: int) -> tuple[int, int]:
+        return min(12, len(self.terms[term])), edits
 
     def _context(self, rows: list[tuple[str | None, int]], auto: LexiconAutomaton, known: dict) -> None:
         """Log odds of the words around matches, toxic rows against clean ones; shrunk towards 0."""
@@ -275,12 +328,10 @@ class ToxicityModel:
 
     def match(self, word: str, auto: LexiconAutomaton) -> tuple[int, int] | None:
         """(edits, term number), or None; words known from clean rows match only exactly."""
-        if len(word) < 3:
+        if len(word) < shortest(word):
             return None
         found = auto.match(word)
-        if found and found[0] and word in self.clean:
-            found = None
-        return found if found and not found[0] else auto.begins(word) or found
+        return None if found and found[0] and word in self.clean else found
 
     def spans(self, text: str | None, auto: LexiconAutomaton, known: dict[str, tuple[int, int] | None] | None = None) -> list[tuple[int, str, int, bool, float]]:
         """(word position, term, edits, quoted, context score) of each match in a text."""
@@ -307,11 +358,10 @@ class ToxicityModel:
 
     def features(self, text: str | None, auto: LexiconAutomaton, known: dict | None = None) -> list[float]:
         strength = context = 0.0
-        spans = self.spans(text, auto, known)
-        weight = dict(zip(self.terms, self.weights, strict=True)) if spans else {}
-        for _, term, edits, quoted, near in spans:
-            strength += weight[term] * EDITED**edits * (QUOTED if quoted else 1.0)
-            context += 0.0 if quoted else near
+        for _, term, edits, quoted, near in self.spans(text, auto, known):
+            worth = self.worth.get((min(12, len(term)), edits), EDITED**edits) if edits else 1.0
+            strength += self.weight[term] * worth * (QUOTED if quoted else 1.0)
+            context += 0.0 if quoted else near * worth
         return [math.log1p(strength), max(-2.0, min(2.0, context))]
 
     def score(self, text: str | None, auto: LexiconAutomaton, known: dict) -> float:
@@ -341,6 +391,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
     return ToxicityModel([(text, int(y > 0)) for text, y in rows])
 
 
+def _automaton(model: ToxicityModel) -> tuple[LexiconAutomaton, dict]:
+    """The automaton with the states met so far and the words judged so far, kept by a Python worker between tasks."""
+    held = worker_cache("toxicity")
+    if held.get("id") != model.id:
+        held.clear()
+        held.update(id=model.id, auto=model.automaton(), known={})
+    return held["auto"], held["known"]
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with score double and hits array<struct<at, term, edits, quoted, context>>; columns of these names are replaced."""
     keep = [c for c in docs.columns if c not in ("score", "hits")]
@@ -350,7 +409,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        auto, known = m.automaton(), {}
+        auto, known = _automaton(m)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             score = [m.score(x, auto, known) for x in texts]
@@ -368,7 +427,7 @@ def scores(docs: DataFrame, model: ToxicityModel, carry: list[str], out: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        auto, known = m.automaton(), {}
+        auto, known = _automaton(m)
         for batch in batches:
             score = [m.score(x.as_py(), auto, known) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*keep, out])

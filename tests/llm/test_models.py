@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyworks.llm import quality, toxicity
-from tallyworks.llm.common import held_out
+from tallyworks.llm.common import held_out, labelled_sample
 
 BAD, FINE = ["grotbag", "numpty", "wazzock"], "the quiet river runs past old stone houses under a pale winter sky".split()
 
@@ -39,7 +39,7 @@ def test_automaton_against_edit_distance():
         return row[-1]
 
     terms = ["abba", "scums", "scummy", "disgustingly", "moron", "extraordinarily"]
-    auto = toxicity.LexiconAutomaton(terms, frozenset(["moron"]))
+    auto = toxicity.LexiconAutomaton(terms)
     rng = np.random.default_rng(1)
     for _ in range(4000):
         word = list(terms[rng.integers(len(terms))])
@@ -70,6 +70,64 @@ def test_lexicon_and_scores(model):
     assert toxicity.ToxicityModel([]).score("x", None, {}) == 0.0 and toxicity.ToxicityModel([("a", 1)]).constant
 
 
+def test_stems_are_subtrees_of_the_automaton():
+    auto = toxicity.LexiconAutomaton(["grotbag", "grot*", "abba", "grotesque"])
+    assert [auto.match(w) for w in ("grotbag", "grotbug", "grot", "grotxyz", "gro", "grott", "abbx", "xgrot", "grotesque", "grotesqeu")] == [
+        (0, 0), (0, 1), (0, 1), (0, 1), None, (0, 1), (1, 2), None, (0, 3), (0, 1)]
+
+
+def test_misspellings_of_rare_terms():
+    """Terms in under 1 % of the toxic rows: forms that no row of the sample holds score, words of clean rows near a term don't."""
+    rng = np.random.default_rng(9)
+    syllables = "ba de fi go ku la me ni po ru sa te".split()
+    fine = ["".join(rng.choice(syllables, 3)) for _ in range(400)]
+    common, rare = ["grotbag", "numpty", "wazzock"], ["snollyx", "mumpsik", "quibvent", "gorf"]
+    rows = []
+    for k in range(6000):
+        words = list(rng.choice(fine, 25))
+        if k % 3 == 0:
+            words[int(rng.integers(25))] = rng.choice(common)
+            if k % 333 < 12:
+                words[3] = words[9] = rare[k // 3 % 4]
+        else:
+            words[2] = "grotbat"  # a clean word near a term
+        rows.append((" ".join(words), int(k % 3 == 0)))
+    m = toxicity.ToxicityModel(rows)
+    assert set(rare) <= set(m.terms) and all(sum(t in x.split() for x, y in rows if y) < 0.01 * 2000 for t in rare)
+    auto, plain = m.automaton(), " ".join(fine[:20])
+    score = lambda w: m.score(f"{plain} {w} {plain}", auto, {})
+    for w in ("snolyx", "snollyyx", "mumpsjk", "quibvemt", "quibven", "gorrf"):
+        assert score(w) > max(0.5, score("grotbat")), w
+    assert score("grotbat") == score("") < 0.5
+
+
+def test_scripts_without_blanks():
+    rng = np.random.default_rng(10)
+    letters = [chr(0x4E00 + 7 * k) for k in range(200)]
+    rows = []
+    for k in range(400):
+        t = list(rng.choice(letters, 60))
+        if k % 4 == 0:
+            t[10:10] = "\u8822\u8d27"
+            t[40:40] = "\u8822\u8d27"
+        rows.append(("".join(t), int(k % 4 == 0)))
+    m = toxicity.ToxicityModel(rows)
+    assert m.terms == ["\u8822\u8d27"] and toxicity.words_of("a \u4e00\u4e8c\u4e09b") == ["a", "\u4e00\u4e8c", "\u4e8c\u4e09", "b"]
+    plain = "".join(letters[:30])
+    assert m.score(plain + "\u8822\u8d27" + plain + "\u8822\u8d27", m.automaton(), {}) > 0.5 > m.score(plain, m.automaton(), {})
+
+
+def test_samples_are_bounded(spark, docs):
+    """One id on very many rows, or very long texts, don't go beyond the bounds."""
+    labels = spark.createDataFrame([(k, 1) for k in range(1, 40)], "doc_id long, toxic int")
+    n = 5000
+    df = docs(*[(1, f"text {k}") for k in range(n)], *[(2, "same")] * n, *[(k, "x" * 1000) for k in range(3, 40)])
+    few = labelled_sample(df, labels, "toxic", 20)
+    assert few.count() <= 60 and few.groupBy("doc_id", "text").count().where("count > 1").isEmpty()
+    assert labelled_sample(df, labels, "toxic", 10**6).count() == labelled_sample(df.distinct(), labels, "toxic", 10**6).count()
+    assert labelled_sample(df.where("doc_id > 2"), labels, "toxic", 10**6, 10_000).agg(F.sum(F.length("text"))).first()[0] <= 20_000
+
+
 def test_toxicity_frames(spark, docs):
     rows = toxic_rows(240)
     df = docs(*[t for t, _ in rows], (None, None), (7, rows[7][0]))
