@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine one of our own where it is unset."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     made = sc._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return str(made.get()).rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='tallyworks-')}"
     sc.setCheckpointDir(own)
     return shared_dir(spark)
