@@ -195,6 +195,9 @@ def learn_stems(rows: list[tuple[str | None, int]], toxic: Counter, clean: Count
                 for k in STEMS:
                     if len(w) > k:
                         words.setdefault(w[:k], set()).add(w)
+    # a stem speaks for endings that weren't seen, so its most frequent word (a term by itself) says nothing for it
+    for p, own in words.items():
+        rows_of[p] -= max(toxic[w] for w in own)
     likely = {p for p, a in rows_of.items() if a >= max(LEAST_ROWS, LEAST_SHARE * n[1]) and len(words[p]) >= 3}
     against: Counter = Counter()
     for w, b in clean.items():
