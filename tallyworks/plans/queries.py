@@ -147,9 +147,9 @@ def status_bar(spark, sf_dir):
     return L.status_bar(L.totals_by_category(A.ledger(spark, sf_dir)))
 
 
-@query(f"WITH {LEDGER} SELECT id, seller_s, total_cents FROM ledger WHERE category_s = '油费'")
+@query(f"WITH {LEDGER} SELECT id, seller_s, total_cents FROM ledger")
 def sort_rows(spark, sf_dir):
-    return L.sort_rows(A.ledger(spark, sf_dir).where("category_s = '油费'"), "seller", False).select("id", "seller_s", "total_cents")
+    return L.sort_rows(A.ledger(spark, sf_dir), "seller", False).select("id", "seller_s", "total_cents")
 
 
 # --- reports ---------------------------------------------------------------------------------------
@@ -199,9 +199,9 @@ def summary_share(spark, sf_dir):
     return reports.with_share(reports.summary(A.invoices(spark, sf_dir)))
 
 
-@query(f"WITH {LEDGER} SELECT id, issued_on_s AS issued_on, number_s AS number FROM ledger WHERE code_s = '1'")
+@query(f"WITH {LEDGER} SELECT id, issued_on_s AS issued_on, number_s AS number FROM ledger")
 def sort_by_date(spark, sf_dir):
-    rows = A.ledger(spark, sf_dir).where("code_s = '1'").select("id", F.col("issued_on_s").alias("issued_on"), F.col("number_s").alias("number"))
+    rows = A.ledger(spark, sf_dir).select("id", F.col("issued_on_s").alias("issued_on"), F.col("number_s").alias("number"))
     return reports.sort_by_date(rows, "id")
 
 
@@ -573,22 +573,18 @@ def status_counts(spark, sf_dir):
 
 @query(
     """SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d') AS shown, month(o_orderdate)::VARCHAR || '月' AS month, year(o_orderdate)::VARCHAR || '年' || month(o_orderdate)::VARCHAR || '月报销单' AS title,
-    strftime(o_orderdate, '%Y-%m-%d') AS eight, CASE WHEN month(o_orderdate) <= 12 AND year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') END AS prefix FROM orders
-    WHERE year(o_orderdate) >= 2000 OR o_orderkey < 0"""
+    CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') END AS eight,
+    CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') END AS prefix FROM orders"""
 )
 def date_scalars(spark, sf_dir):
     iso = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return (
-        table(spark, sf_dir, "orders")
-        .where("year(o_orderdate) >= 2000")
-        .select(
-            "o_orderkey",
-            dates.format_date(iso).alias("shown"),
-            dates.month_label(iso).alias("month"),
-            dates.default_report_title(iso).alias("title"),
-            dates.date_of_eight(F.date_format("o_orderdate", "yyyy年MM月dd日")).alias("eight"),
-            dates.date_of_prefix(F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss")).alias("prefix"),
-        )
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        dates.format_date(iso).alias("shown"),
+        dates.month_label(iso).alias("month"),
+        dates.default_report_title(iso).alias("title"),
+        dates.date_of_eight(F.date_format("o_orderdate", "yyyy年MM月dd日")).alias("eight"),
+        dates.date_of_prefix(F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss")).alias("prefix"),
     )
 
 
