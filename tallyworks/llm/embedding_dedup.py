@@ -125,8 +125,10 @@ def classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Da
                 value = None
                 if label.is_valid and v.is_valid and len(v.values) and not v.values.null_count:
                     x = v.values.to_numpy().astype(np.float64) + 0.0
-                    norm = (x**2).sum() if np.isfinite(x).all() else 0.0
-                    value = x.tobytes() if 0 < norm < np.inf else None
+                    if np.isfinite(x).all() and x.any():
+                        if not 1e-200 < np.abs(x).max() < 1e150:  # squares would leave the range of doubles; powers of two keep every digit
+                            x = np.ldexp(x, -np.frexp(np.abs(x).max())[1])
+                        value = x.tobytes()
                 out.append(value)
                 dims.append(0 if value is None else len(value) // 8)
             yield pa.RecordBatch.from_arrays(

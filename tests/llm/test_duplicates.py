@@ -177,6 +177,12 @@ def test_recall_of_probes_at_the_threshold():
         assert stands_for <= err[k] + 1e-6
 
 
+def test_very_large_and_small_vectors(spark):
+    rows = [(1, [3e250, 4e250], 1), (2, [3.0, 4.0], 1), (3, [3e-250, 4e-250], 1), (4, [-3e300, 1e300], 1), (5, [0.0, 0.0], 1)]
+    out = [(r["n"]["d"], r["n_links"], r["c"]["d"]) for r in E.link_embeddings(spark.createDataFrame(rows, VECTORS.replace("float", "double"))).collect()]
+    assert sorted(out) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5)]
+
+
 def test_repeats_and_nulls_of_ids(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(None, v, 1), (None, v, 1), (4, v, 1), (4, v, 1), (9, v, 2)]
