@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import RANKS, REVIEW_THRESHOLD, SOURCES
 from .money import clamp_confidence
-from .staging import let
 
 
 def threshold() -> Column:
@@ -53,18 +50,19 @@ def present(field: Column) -> Column:
 
 def merge_from(own: Column, other: Column) -> Column:
     """The newcomer wins iff it has a value and the incumbent has none, a lower rank, or equal rank and lower confidence."""
+    return merge_all(own, other)
 
-    def pick(a: Column, b: Column) -> Column:
-        higher, equal = rank(b["source"]) > rank(a["source"]), rank(b["source"]) == rank(a["source"])
-        better = a["value"].isNull() | higher | (equal & (b["confidence"] > a["confidence"]))
-        return F.when(F.coalesce(present(b) & better, F.lit(False)), b).otherwise(a)
 
-    return let(own, lambda a: let(other, lambda b: pick(a, b)))
+def merge_all(*fields: Column) -> Column:
+    """Folds readings from first to last; a full tie keeps the earlier, and without any value the first stays."""
 
+    def ranked(field: Column, order: int) -> Column:
+        only = lambda c: F.when(present(field), c)
+        return F.struct(
+            present(field).alias("has"), only(rank(field["source"])).alias("rank"), only(field["confidence"]).alias("sure"), F.lit(-order).alias("order"), field.alias("field")
+        )
 
-def merge_all(*fields: Column) -> Column:
-    """Folds readings from first to last; a full tie keeps the earlier."""
-    return reduce(merge_from, fields)
+    return F.greatest(*[ranked(f, k) for k, f in enumerate(fields)])["field"] if len(fields) > 1 else fields[0]
 
 
 def merge_agg(field: Column, order: Column) -> Column:

@@ -2,34 +2,29 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .staging import let
 
+#: What is left of an amount and ".00": whole yuan, then two decimals, of which a single digit or none is filled up from the ending.
+_PARTS = r"^(?=.*\d.*\.00$)-*(\d*)\.(?:(\d\d)(?:\d[^.]*)?(?:\.00)?|(\d)\.(0)0|\.?(00))$"
+#: The same with a minus sign for the first decimal, which counts down from the yuan.
+_MINUS = r"^-*(\d*)\.-(\d)(?:\d[^.]*)?$"
 
-def _cents_of(body: Column, negative: Column) -> Column:
-    """Cents of digits with at most one point; half up on the third decimal alone; null where it doesn't parse or overflows."""
-    parts = F.when(F.length(body) - F.length(F.replace(body, F.lit("."), F.lit(""))) <= 1, F.split(F.concat(body, F.lit(".")), r"\."))
-    yuan, fraction = F.get(parts, 0), F.get(parts, 1)
-    whole = F.when(yuan == "", F.lit(0).cast("long")).otherwise(yuan.try_cast("long"))
-    third = F.substring(fraction, 3, 1)
-    cents = (
-        F.when(fraction == "", F.lit(0).cast("long"))
-        .when(F.length(fraction) == 1, fraction.try_cast("long") * 10)
-        .when(F.length(fraction) == 2, fraction.try_cast("long"))
-        .when(third.between("0", "9"), F.substring(fraction, 1, 2).try_cast("long") + F.when(third >= "5", 1).otherwise(0))
-    )
-    total = F.try_add(F.try_multiply(whole, F.lit(100).cast("long")), cents)
-    return F.when(F.concat(yuan, fraction) != "", F.when(negative, -total).otherwise(total))
+
+def _cents(kept: Column) -> Column:
+    """Cents of a text of digits, points and minus signs with at most one point; half up on the third decimal alone; null where it doesn't parse or overflows."""
+    point = F.locate(".", kept)
+    up = F.when((point > 0) & F.substring(kept, point + 3, F.lit(1)).between("5", "9"), 1).otherwise(0)
+    plain = F.regexp_replace(F.concat(kept, F.lit(".00")), _PARTS, "$1$2$3$4$5").try_cast("long")
+    down = F.regexp_replace(kept, _MINUS, "$100").try_cast("long") - F.regexp_replace(kept, _MINUS, "$2").try_cast("long")
+    size = F.try_add(F.when(kept.contains(".-"), down).otherwise(plain), up)
+    return size * F.when(kept.startswith("-"), -1).otherwise(1)
 
 
 def parse_money(raw: Column) -> Column:
     """Lenient text -> cents: only digits, points and minus signs count; null where no single amount is left."""
-    kept = F.regexp_replace(raw, r"[^0-9.\-]", "")
-    return let(kept, lambda k: let(F.regexp_replace(k, "^-+", ""), lambda body: _cents_of(body, k.startswith("-"))))
+    return _cents(F.regexp_replace(raw, r"[^0-9.\-]", ""))
 
 
 SAFE = (1 << 53) - 1
@@ -37,15 +32,9 @@ SAFE = (1 << 53) - 1
 
 def parse_yuan(raw: Column) -> Column:
     """Strict form input -> cents: currency signs, commas and blanks go, the rest must be one decimal number in 53 bits."""
-
-    def strict(cleaned: Column) -> Column:
-        body = F.regexp_replace(cleaned, "^-", "")
-        yuan = F.split_part(body, F.lit("."), F.lit(1))
-        small = (yuan == "") | (F.coalesce(yuan.try_cast("long"), F.lit(SAFE + 1)) <= SAFE)
-        value = let(body, lambda b: _cents_of(b, cleaned.startswith("-")))
-        return F.when(cleaned.rlike(r"^-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$") & small, let(value, lambda v: F.when(F.abs(v) <= SAFE, v)))
-
-    return let(F.regexp_replace(raw, r"(?U)[¥￥,，\s]", ""), strict)
+    cleaned = F.regexp_replace(raw, r"(?U)[¥￥,，\s]", "")
+    value = _cents(cleaned)
+    return F.when(cleaned.rlike(r"^-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$") & value.between(-SAFE, SAFE), value)
 
 
 def to_decimal_string(cents: Column) -> Column:
@@ -136,7 +125,24 @@ def capital(cents: int | None) -> str | None:
     return ("负" if cents < 0 else "") + integer + tail
 
 
-@F.pandas_udf(T.StringType())
-def chinese_capital(cents: pd.Series) -> pd.Series:
-    """Arrow batches; in practice one row per report."""
-    return cents.map(lambda x: None if pd.isna(x) else capital(int(x)))
+#: From spelt-out digits to words, in order: places of zeros, empty groups, zeros that end a group, the tail, runs of zeros, what leads.
+_CAPITAL_RULES = (
+    ("零[仟佰拾]", "零"),
+    ("零零零零(?:亿亿|万亿|亿|万)", "零"),
+    ("零+(亿亿|万亿|亿|万|圆)", "$1"),
+    ("零角零分|零分", "整"),
+    ("零角", "零"),
+    ("零+", "零"),
+    ("^(?:零|圆零?)", ""),
+)
+
+
+def chinese_capital(cents: Column) -> Column:
+    """The same as a column: every digit with its place, unit or part of a yuan, then shortened rule by rule."""
+    yuan = 4 * len(_GROUPS)
+    places = [_PLACES[3 - k % 4] + ("" if k % 4 < 3 else (*reversed(_GROUPS[1:]), "圆")[k // 4]) for k in range(yuan)]
+    figures = F.translate(F.lpad(F.abs(cents.cast("decimal(20,0)")).cast("string"), yuan + 2, "0"), "0123456789", _DIGITS)
+    words = F.regexp_replace(figures, "(.)" * (yuan + 2), "".join(f"${k + 1}{p}" for k, p in enumerate([*places, "角", "分"])))
+    for pattern, short in _CAPITAL_RULES:
+        words = F.regexp_replace(words, pattern, short)
+    return F.when(cents == 0, "零圆整").otherwise(F.concat(F.when(cents < 0, "负").otherwise(""), words))

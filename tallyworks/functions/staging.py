@@ -14,8 +14,3 @@ def staged(df: DataFrame, parts: dict[str, Column], prefix: str) -> tuple[DataFr
 def unstaged(df: DataFrame, *prefixes: str) -> DataFrame:
     """df without the helper columns."""
     return df.drop(*[c for c in df.columns if c.startswith(prefixes)])
-
-
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once per row, for expressions that can't be staged as columns."""
-    return F.get(F.transform(F.array(value), body), 0)

@@ -211,9 +211,17 @@ def move_row(spark, sf_dir):
     return reports.move_row(n, 3, 4, 25)
 
 
-@query()
+@query(
+    f"""WITH {LEDGER}, s AS (SELECT id, total_cents, total_cents // 100 AS y, total_cents // 10 % 10 AS j, total_cents % 10 AS f, lpad(CAST(total_cents // 100 AS VARCHAR), 12, '0') AS t FROM ledger),
+    w AS (SELECT *, array_to_string(list_transform(range(1, 13), k -> CASE WHEN t[k] = '0' THEN '零' ELSE '壹贰叁肆伍陆柒捌玖'[CAST(t[k] AS INT)] || ['', '仟', '佰', '拾'][k % 4 + 1] END
+    || CASE k WHEN 4 THEN '亿' WHEN 8 THEN '万' ELSE '' END), '') AS words FROM s)
+    SELECT id, total_cents, CASE WHEN total_cents = 0 THEN '零圆整' ELSE
+    trim(regexp_replace(regexp_replace(regexp_replace(words, '零零零零[亿万]', '零', 'g'), '零+([亿万])', '\\1', 'g'), '零+', '零', 'g'), '零') || CASE WHEN y > 0 THEN '圆' ELSE '' END
+    || CASE WHEN j = 0 AND f = 0 THEN '整' ELSE CASE WHEN j > 0 THEN '壹贰叁肆伍陆柒捌玖'[j] || '角' WHEN y > 0 THEN '零' ELSE '' END
+    || CASE WHEN f > 0 THEN '壹贰叁肆伍陆柒捌玖'[f] || '分' ELSE '整' END END END AS capital FROM w"""
+)
 def chinese_capital(spark, sf_dir):
-    return A.ledger(spark, sf_dir).select("id", "total_cents", money.chinese_capital("total_cents").alias("capital"))
+    return A.ledger(spark, sf_dir).select("id", "total_cents", money.chinese_capital(F.col("total_cents")).alias("capital"))
 
 
 @query(
@@ -490,8 +498,8 @@ def qr_parse(spark, sf_dir):
     listed = F.concat(F.lit("01,32,,"), number, F.lit(","), amount, F.lit(",202308"), day, F.lit(",,AB12,"))
     url = F.concat(F.lit("https://example.invalid/v?FPHM="), number, F.lit("&kprq=2023-08-"), day, F.lit("&kjje=1&kjje="), amount)
     payload = F.when(k % 5 == 4, "https://example.invalid/?a=1").when(k % 2 == 0, listed).otherwise(url)
-    q = qr.parse_payload(payload)
-    return table(spark, sf_dir, "orders").select("o_orderkey", *[q[n].alias(n) for n in ("number", "issued_on", "amount_cents", "kind")])
+    read = qr.with_reading(table(spark, sf_dir, "orders").select("o_orderkey", payload.alias("payload")), F.col("payload"), "q")
+    return read.select("o_orderkey", *[F.col("q")[n].alias(n) for n in ("number", "issued_on", "amount_cents", "kind")])
 
 
 @query(

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyworks.functions import money as M
+from tallyworks.functions.qr import parse_payload
 
 LENIENT = [
     ("88.20", 8820), ("¥ 1,020.5", 102050), ("7", 700), ("7.", 700), (".5", 50), ("-3.07", -307), ("--3", -300), ("0.999", 100), ("1.234", 123), ("1.235", 124),
@@ -51,6 +52,18 @@ def test_capital(cents, words):
     assert M.capital(cents) == words
 
 
+def test_capital_column_agrees(values):
+    places = [d * 10**k + e for k in range(18) for d in (1, 3, 9) for e in (0, 1, 50, 20_005, 10**k // 7)]
+    cents = [x for x in [*places, *[-x for x in places], *range(0, 20_000, 77), 2**63 - 1, None] if x is None or abs(x) < 2**63]
+    assert values(M.chinese_capital, cents, "bigint") == [M.capital(x) for x in cents]
+
+
+def test_plans_hold_no_lambdas(spark):
+    text = spark.createDataFrame([("1",)], "s string")
+    plan = text.select(M.parse_money(F.col("s")), M.parse_yuan(F.col("s")), parse_payload(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
 @given(st.integers(min_value=0, max_value=10**13))
 @settings(max_examples=300)
 def test_capital_reads_back(cents):

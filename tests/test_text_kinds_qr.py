@@ -82,14 +82,22 @@ def test_dates(spark, values):
     assert spark.range(1).select(*D.builder_range("last3", today)).first()[:] == ("2024-01-01", "")
 
 
+PAYLOADS = [
+    "01,04,011002000111,12345678,99.9,20230815,AB 1,x", " 01,32,,24312000000000001234,5,2023-08-15 ", "02,04,a,12345678,1,20230815", "01,99,,,,20230815", "01,04,,123,1,2023", "", "plain", None,
+    "https://x.invalid/?FPDM=011002000111&fphm=12345678&kjje=1&KJJE=2&kprq=20230815&jym=zz&jym=", "http://x.invalid/?fphm=24312000000000001234", "https://x.invalid/?kprq=20230815",
+    "https://x.invalid/?fphm=12345678&fphm=9&kjje=3&kjje=", "https://x.invalid/?a?fphm=12345678&xfphm=87654321",
+]
+
+
+def test_payloads_of_rows_read_alike(spark, values):
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(PAYLOADS)], "k int, v string")
+    assert [r["q"] for r in Q.with_reading(rows, F.col("v"), "q").orderBy("k").collect()] == values(Q.parse_payload, PAYLOADS)
+
+
 def test_payloads(values):
-    rows = values(
-        Q.parse_payload,
-        [
-            "01,04,011002000111,12345678,99.9,20230815,AB 1,x", " 01,32,,24312000000000001234,5,2023-08-15 ", "02,04,a,12345678,1,20230815", "01,99,,,,20230815", "01,04,,123,1,2023", "", "plain", None,
-            "https://x.invalid/?FPDM=011002000111&fphm=12345678&kjje=1&KJJE=2&kprq=20230815&jym=zz&jym=", "http://x.invalid/?fphm=24312000000000001234", "https://x.invalid/?kprq=20230815",
-        ],
-    )
+    rows = values(Q.parse_payload, PAYLOADS)
+    assert rows[11]["amount_cents"] is None and rows[11]["number"] == "12345678"
+    assert rows[12] is None  # the key is "a?fphm", the other "xfphm"
     assert rows[0].asDict() == {"kind": "vatGeneral", "code": "011002000111", "number": "12345678", "amount_cents": 9990, "issued_on": "2023-08-15", "check_code": None}
     assert (rows[1]["kind"], rows[1]["number"], rows[1]["code"]) == ("digitalSpecial", "24312000000000001234", None)
     assert rows[3]["kind"] is None and rows[3]["issued_on"] == "2023-08-15"
