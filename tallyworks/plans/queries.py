@@ -213,12 +213,12 @@ def move_row(spark, sf_dir):
 
 @query(
     f"""WITH {LEDGER}, s AS (SELECT id, total_cents, total_cents // 100 AS y, total_cents // 10 % 10 AS j, total_cents % 10 AS f, lpad(CAST(total_cents // 100 AS VARCHAR), 12, '0') AS t FROM ledger),
-    w AS (SELECT *, array_to_string(list_transform(range(1, 13), k -> CASE WHEN t[k] = '0' THEN '零' ELSE '壹贰叁肆伍陆柒捌玖'[CAST(t[k] AS INT)] || ['', '仟', '佰', '拾'][k % 4 + 1] END
-    || CASE k WHEN 4 THEN '亿' WHEN 8 THEN '万' ELSE '' END), '') AS words FROM s)
+    w AS (SELECT *, array_to_string([CASE WHEN substr(t, k, 1) = '0' THEN '零' ELSE substr('壹贰叁肆伍陆柒捌玖', CAST(substr(t, k, 1) AS INT), 1) || ['', '仟', '佰', '拾'][k % 4 + 1] END
+    || CASE k WHEN 4 THEN '亿' WHEN 8 THEN '万' ELSE '' END FOR k IN range(1, 13)], '') AS words FROM s)
     SELECT id, total_cents, CASE WHEN total_cents = 0 THEN '零圆整' ELSE
     trim(regexp_replace(regexp_replace(regexp_replace(words, '零零零零[亿万]', '零', 'g'), '零+([亿万])', '\\1', 'g'), '零+', '零', 'g'), '零') || CASE WHEN y > 0 THEN '圆' ELSE '' END
-    || CASE WHEN j = 0 AND f = 0 THEN '整' ELSE CASE WHEN j > 0 THEN '壹贰叁肆伍陆柒捌玖'[j] || '角' WHEN y > 0 THEN '零' ELSE '' END
-    || CASE WHEN f > 0 THEN '壹贰叁肆伍陆柒捌玖'[f] || '分' ELSE '整' END END END AS capital FROM w"""
+    || CASE WHEN j = 0 AND f = 0 THEN '整' ELSE CASE WHEN j > 0 THEN substr('壹贰叁肆伍陆柒捌玖', CAST(j AS INT), 1) || '角' WHEN y > 0 THEN '零' ELSE '' END
+    || CASE WHEN f > 0 THEN substr('壹贰叁肆伍陆柒捌玖', CAST(f AS INT), 1) || '分' ELSE '整' END END END AS capital FROM w"""
 )
 def chinese_capital(spark, sf_dir):
     return A.ledger(spark, sf_dir).select("id", "total_cents", money.chinese_capital(F.col("total_cents")).alias("capital"))
