@@ -117,3 +117,63 @@ def test_replies(spark):
     said = lambda t: shop.select(replies.parse_suggestion(F.lit(t), ["餐饮"]).alias("s")).first()["s"]
     assert said('{"类别":" 餐饮 ","理由":"茶"}')["proposed_rule"]["name"] == "销售方名称：茶馆"
     assert "列表之外" in said('{"类别":"旅游"}')["error"] and said("x")["error"] == "模型没有返回 JSON"
+
+
+def _plain(objects, root):
+    """A PDF of plain objects in the given order, the newest trailer last."""
+    body = b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in objects)
+    return b"%PDF-1.7\n" + body + b"trailer << /Root %d 0 R >>\n%%%%EOF" % root
+
+
+def _shown(text, info=b"", data=None):
+    data = f"BT ({text}) Tj ET".encode() if data is None else data
+    return b"<< %s /Length %d >>\nstream\n%s\nendstream" % (info, len(data), data)
+
+
+def test_pdf_pages_in_tree_order_under_the_newest_root():
+    old = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [7 0 R] >>"), (7, b"<< /Type /Page /Contents 8 0 R >>"), (8, _shown("stale"))]
+    new = [
+        (11, b"<< /Type /Catalog /Pages 12 0 R >>"), (12, b"<< /Type /Pages /Kids [13 0 R 4 0 R 12 0 R] >>"), (13, b"<< /Type /Pages /Kids [15 0 R 14 0 R] >>"),
+        (4, b"<< /Type /Page /Contents 5 0 R >>"), (14, b"<< /Type /Page /Contents 9 0 R >>"), (15, b"<< /Type /Page /Contents 8 0 R >>"),
+        (5, _shown("third")), (8, _shown("first")), (9, _shown("second")),
+    ]
+    assert P.read_pdf(_plain(old, 1))["text"] == "stale"
+    assert P.read_pdf(_plain(old, 1) + _plain(new, 11))["text"] == "first\nsecond\nthird"
+
+
+def test_pdf_filters():
+    import base64
+    import zlib
+
+    text = b"BT (abc) Tj ET " * 40
+    runs = b"".join(bytes([len(text[i : i + 100]) - 1]) + text[i : i + 100] for i in range(0, len(text), 100)) + bytes([255]) + b" " + bytes([128])
+    packed = {"ASCIIHexDecode": text.hex().encode() + b">", "ASCII85Decode": base64.a85encode(text) + b"~>", "RunLengthDecode": runs, "FlateDecode": zlib.compress(text)}
+    for name, data in packed.items():
+        assert P._FILTERS[name](data, 10_000).strip() == text.strip()
+    assert P._lzw(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01]), 99) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+    both = base64.a85encode(zlib.compress(text)) + b"~>"
+    page = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R] >>"), (3, b"<< /Type /Page /Contents 4 0 R >>"), (4, _shown("", b"/Filter [/ASCII85Decode /FlateDecode]", both))]
+    assert P.read_pdf(_plain(page, 1))["text"].split() == ["abc"] * 40
+
+
+def test_pdf_predictors():
+    rows = [bytes((i * 7 + r * 13) & 255 for i in range(6)) for r in range(5)]
+    packed, above = bytearray(), bytes(6)
+    for tag, row in enumerate(rows):
+        packed.append(tag)
+        for i, x in enumerate(row):
+            left, up, corner = (row[i - 2] if i > 1 else 0), above[i], (above[i - 2] if i > 1 else 0)
+            p = left + up - corner
+            paeth = left if abs(p - left) <= min(abs(p - up), abs(p - corner)) else up if abs(p - up) <= abs(p - corner) else corner
+            packed.append((x - (0, left, up, (left + up) // 2, paeth)[tag]) & 255)
+        above = row
+    assert P._unpredict(bytes(packed), 15, 6, 2) == b"".join(rows)
+
+
+def test_pdf_that_unpacks_to_too_much_reads_as_empty(monkeypatch):
+    import zlib
+
+    monkeypatch.setattr(P, "INFLATED", 10_000)
+    data = zlib.compress(b"BT (x) Tj ET " * 5_000)
+    page = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R] >>"), (3, b"<< /Type /Page /Contents 4 0 R >>"), (4, _shown("", b"/Filter /FlateDecode", data))]
+    assert P.read_pdf(_plain(page, 1)) == {"xml": [], "text": "", "images": []}
