@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,14 +98,18 @@ def row_is_duplicate() -> Column:
     return F.size("duplicate_of") > 0
 
 
-#: Rows that share a key from which their partners are joined rather than gathered in one task.
-GROUP = 1_000
+def _of_rows(ledger: DataFrame, rows: DataFrame | None) -> DataFrame:
+    """The rows of the ledger with a key, if rows are given with a key of theirs. Keys are made distinct first, so a hot one is looked up once."""
+    keyed = ledger.where("dedup_key <> ''")
+    if rows is None or rows is ledger:
+        return keyed
+    return keyed.join(rows.where("dedup_key <> ''").select("dedup_key").distinct(), "dedup_key", "left_semi")
 
 
-def duplicate_keys(ledger: DataFrame) -> DataFrame:
-    """(dedup_key, ids): keys that more than one row has, with their sorted ids. Blank keys never pair up."""
+def duplicate_keys(ledger: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(dedup_key, ids): keys that more than one row has (of the given rows' keys alone), with their sorted ids. Blank keys never pair up."""
     return (
-        ledger.where("dedup_key <> ''")
+        _of_rows(ledger, rows)
         .groupBy("dedup_key")
         .agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list("id")).alias("ids"))
         .where("_n > 1")
@@ -113,10 +117,24 @@ def duplicate_keys(ledger: DataFrame) -> DataFrame:
     )
 
 
-def with_duplicates(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """rows with duplicate_of: the ids of the other rows of the whole ledger with the same non-blank key."""
+def with_duplicates(rows: DataFrame, ledger: DataFrame, narrow: bool = True) -> DataFrame:
+    """rows with duplicate_of: the ids of the other rows of the whole ledger with the same non-blank key.
+
+    narrow: rows are part of the ledger, so only their keys are gathered.
+    """
     others = F.filter(F.coalesce("ids", F.array().cast("array<bigint>")), lambda i: i != F.col("id"))
-    return rows.join(duplicate_keys(ledger), "dedup_key", "left").withColumn("duplicate_of", others).drop("ids")
+    return rows.join(duplicate_keys(ledger, rows if narrow else None), "dedup_key", "left").withColumn("duplicate_of", others).drop("ids")
+
+
+def with_duplicate_count(rows: DataFrame, ledger: DataFrame, narrow: bool = True) -> DataFrame:
+    """rows with duplicate_count: how many other rows of the whole ledger share the key. Counts are pre-aggregated, so a hot key costs one row."""
+    counts = _of_rows(ledger, rows if narrow else None).groupBy("dedup_key").agg(F.count(F.lit(1)).alias("_n"))
+    return rows.join(counts, "dedup_key", "left").withColumn("duplicate_count", F.coalesce(F.col("_n") - 1, F.lit(0))).drop("_n")
+
+
+def duplicate_members(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(dedup_key, id): membership of the shared keys of rows in the whole ledger, one row each instead of a list at every member."""
+    return is_duplicate(_of_rows(ledger, rows), ledger).select("dedup_key", "id")
 
 
 def is_duplicate(rows: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -138,10 +156,17 @@ def filtered(ledger: DataFrame, by: Filter, bridge: DataFrame | None = None) ->
     return rows
 
 
-def list_rows(ledger: DataFrame, by: Filter | None = None, bridge: DataFrame | None = None) -> DataFrame:
-    """The list, newest first and by id within a day, with duplicates looked up in the whole ledger."""
-    rows = with_duplicates(filtered(ledger, by or Filter(), bridge), ledger)
-    return rows.select(*[c for c in LIST_COLUMNS if c in rows.columns], "duplicate_of").orderBy(F.desc("issued_on_s"), F.desc("id"))
+def list_rows(ledger: DataFrame, by: Filter | None = None, bridge: DataFrame | None = None, ids: bool = True) -> DataFrame:
+    """The list, newest first and by id within a day, with duplicates looked up in the whole ledger.
+
+    duplicate_of lists the others' ids, so it grows with the square of a key's rows; ids=False gives their
+    number as duplicate_count instead, and ``duplicate_members`` the ids as a table.
+    """
+    by = by or Filter()
+    narrow = replace(by, duplicates_only=False) != Filter()
+    rows = (with_duplicates if ids else with_duplicate_count)(filtered(ledger, by, bridge), ledger, narrow)
+    last = "duplicate_of" if ids else "duplicate_count"
+    return rows.select(*[c for c in LIST_COLUMNS if c in rows.columns], last).orderBy(F.desc("issued_on_s"), F.desc("id"))
 
 
 def category_label(category: Column) -> Column:
@@ -214,7 +239,8 @@ def twins(id_: Column, duplicate_of: Column) -> Column:
 
 
 def picked_rows(rows: DataFrame) -> DataFrame:
-    """List rows as the report builder shows them."""
+    """List rows, with ids or numbers of their duplicates, as the report builder shows them."""
+    duplicate = row_is_duplicate() if "duplicate_of" in rows.columns else F.col("duplicate_count") > 0
     return rows.select(
         "id",
         F.coalesce(F.expr("nullif(number_s, '')"), F.lit(NO_NUMBER)).alias("number"),
@@ -224,7 +250,7 @@ def picked_rows(rows: DataFrame) -> DataFrame:
         category_label(F.col("category_s")).alias("category"),
         "total_cents",
         "issue_count",
-        row_is_duplicate().alias("duplicate"),
+        duplicate.alias("duplicate"),
     )
 
 

@@ -9,7 +9,7 @@ from ..functions.kinds import is_deductible
 from ..functions.money import capital, share_of
 from ..functions.prose import issue_message
 from ..schema import NO_NUMBER, UNCATEGORISED
-from .ledger import with_duplicates
+from .ledger import with_duplicate_count
 
 
 def report_invoices(bridge: DataFrame, invoices: DataFrame, report_id: int) -> DataFrame:
@@ -86,7 +86,7 @@ def warnings(invoices: DataFrame) -> DataFrame:
 def duplicates_of_report(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
     """(id, number) of the report's invoices that have a duplicate anywhere in the ledger."""
     own = ledger.join(invoices.select("id"), "id", "left_semi")
-    return with_duplicates(own, ledger).where(F.size("duplicate_of") > 0).select("id", F.col("number_s").alias("number"))
+    return with_duplicate_count(own, ledger).where("duplicate_count > 0").select("id", F.col("number_s").alias("number"))
 
 
 def preview(invoices: DataFrame, ledger: DataFrame) -> dict:

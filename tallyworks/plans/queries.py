@@ -118,7 +118,18 @@ def duplicate_lookup(spark, sf_dir):
 )
 def picked_rows(spark, sf_dir):
     rows = A.ledger(spark, sf_dir)
-    return L.picked_rows(L.with_duplicates(rows, rows))
+    return L.picked_rows(L.with_duplicate_count(rows, rows))
+
+
+@query(f"WITH {LEDGER}, {_KEYS} SELECT id, total_cents, coalesce(len(ids) - 1, 0)::BIGINT AS duplicate_count FROM ledger LEFT JOIN keys USING (dedup_key) WHERE issued_on_s >= '1997-01-01'")
+def list_counted(spark, sf_dir):
+    return L.list_rows(A.ledger(spark, sf_dir), L.Filter(date_from="1997-01-01"), ids=False).select("id", "total_cents", "duplicate_count")
+
+
+@query(f"WITH {LEDGER}, {_KEYS} SELECT dedup_key, unnest(ids) AS id FROM keys WHERE len(ids) > 1 AND dedup_key IN (SELECT dedup_key FROM ledger WHERE category_s = '住宿')")
+def duplicate_members(spark, sf_dir):
+    rows = A.ledger(spark, sf_dir)
+    return L.duplicate_members(L.filtered(rows, L.Filter(category="住宿")), rows)
 
 
 _CATEGORY = f"CASE WHEN category_s = '' THEN '{UNCATEGORISED}' ELSE category_s END"
