@@ -10,13 +10,15 @@ share is scored once. The node where a word ends keeps its token count.
 Among splits of equal score the one with fewer tokens counts.
 
 Edge cases: null and empty texts have 0 tokens; pre-tokens of any length are
-scored whole; repeated rows each give a row; other columns are ignored.
+scored whole (the trie holds their first DEPTH bytes; from there on only the
+scores that a token can still reach back to are kept, in bounded memory); repeated rows each give a row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +30,8 @@ from .common import table, worker_cache
 
 #: Trie nodes that a worker keeps at a time; the trie starts anew beyond it (counts don't change).
 NODES = 1_000_000
+#: Bytes of a pre-token that the trie holds; what follows is scored on without nodes (counts don't change).
+DEPTH = 4_096
 #: Scores are integers (millionths), so equal splits compare equal on every machine.
 UNIT = 1_000_000
 
@@ -56,7 +60,7 @@ class ForwardTrie:
             self.clear()
         children, best, tokens, score, longest = self.children, self.best, self.tokens, self.score, self.longest
         path, node = [0], 0
-        for end, byte in enumerate(data, 1):
+        for end, byte in enumerate(data[:DEPTH], 1):
             nxt = children[node].get(byte)
             if nxt is None:
                 top, few = None, 0
@@ -74,9 +78,25 @@ class ForwardTrie:
                 tokens.append(few)
             node = nxt
             path.append(node)
+        if len(data) > DEPTH:
+            return self.further(data, [(best[n], tokens[n]) for n in path[-longest:]])
         self.terminal[word] = tokens[node]
         return tokens[node]
 
+    def further(self, data: bytes, reached: list[tuple[int, int]]) -> int:
+        """Tokens of a word longer than the trie is deep; reached: score and tokens at the last positions up to DEPTH."""
+        score, recent = self.score, deque(reached, maxlen=self.longest)
+        for end in range(DEPTH + 1, len(data) + 1):
+            top, few = None, 0
+            for start, (sum_, count) in enumerate(recent, end - len(recent)):
+                s = score.get(data[start:end])
+                if s is not None:
+                    s += sum_
+                    if top is None or s > top or s == top and count + 1 < few:
+                        top, few = s, count + 1
+            recent.append((top, few))
+        return recent[-1][1]
+
     def document(self, text: str | None) -> tuple[int, int]:
         """(pre-tokens, tokens) of a whole text."""
         words = self.split(text or "")

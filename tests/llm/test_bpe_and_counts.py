@@ -90,6 +90,17 @@ def test_counts_against_brute_force(docs, vocabulary, monkeypatch):
     assert token_counts.count_tokens(docs().limit(0) if False else docs("x").limit(0), vocabulary).count() == 0
 
 
+def test_long_pretokens_keep_the_trie_small(vocabulary, monkeypatch):
+    score = token_counts.scores(vocabulary[0])
+    words = ["a" * 700, "abcde" * 90, "unbelievably" * 20, "é" * 150, "x"]
+    want = [brute_tokens(w, score) for w in words]
+    monkeypatch.setattr(token_counts, "DEPTH", 37)
+    forward = token_counts.ForwardTrie(*vocabulary)
+    assert [forward.count(w) for w in words] == want == [forward.count(w) for w in words]
+    assert len(forward.best) <= 37 * len(words) + 1 and set(forward.terminal) == {"x"}
+    assert forward.document(" ".join(words))[1] == sum(forward.count(w) for w in forward.split(" ".join(words)))
+
+
 def test_every_byte_has_a_split(vocabulary):
     score = token_counts.scores(vocabulary[0])
     assert all(bytes([b]) in score for b in range(256))
