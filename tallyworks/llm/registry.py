@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from .bpe import op4_byte_bpe
+from .conversation_repair import op13_conversation_repair
 from .decontaminate import op1_decontaminate
 from .embedding_dedup import op5_embeddings
 from .line_dedup import op8_line_dedup
@@ -58,6 +59,56 @@ SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS k
 """
 
 
+#: Edits turn by turn, all conversations in step: the cheapest way into each state, with its audit and its lines. crc32 is taken bit by bit.
+OP13 = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), keyed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(k) + 1), lambda i: ord(k[i])::BIGINT)), lambda acc, b:
+    list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 20 AS lot
+  FROM given
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+    CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN lot = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM keyed WHERE lot <> 0
+), placed AS (
+  SELECT *, row_number() OVER o AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, left(role, 1) AS ini,
+    lag(left(role, 1)) OVER o || left(role, 1) AS two, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 32), left(text, 64), sha256(role || chr(0) || text), copy)
+), faults AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed
+), fills(state, role, after) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)
+), keeps(state, ini, after) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), inserts(state, after, cost, audit, lines) AS (
+  SELECT state, state, 0, '', []::VARCHAR[] FROM fills UNION ALL SELECT state, after, 2, 'I', [role || ':'] FROM fills
+  UNION ALL SELECT a.state, b.after, 4, 'II', [a.role || ':', b.role || ':'] FROM fills a JOIN fills b ON a.after = b.state
+), steps AS (
+  SELECT f.conv_id, f.pos, e.state, e.after, e.cost + CASE WHEN fault = 'truncated' AND e.edit <> 'D' THEN 1 ELSE 0 END AS cost, e.edit,
+    CASE e.edit WHEN 'D' THEN []::VARCHAR[] WHEN 'R' THEN [e.role || ':' || f.text] ELSE [f.role || ':' || f.text] END AS lines
+  FROM faults f JOIN (
+    SELECT state, state AS after, 3 AS cost, 'D' AS edit, NULL AS role, NULL AS ini FROM fills
+    UNION ALL SELECT state, after, 2, 'R', role, NULL FROM fills UNION ALL SELECT state, after, 0, 'K', NULL, ini FROM keeps
+  ) e ON (e.ini IS NULL OR e.ini = f.ini) AND (e.edit = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+), ways(conv_id, pos, state, best) AS (
+  SELECT c.conv_id, 0::BIGINT, i.after, {'cost': i.cost, 'audit': i.audit, 'lines': i.lines} FROM (SELECT DISTINCT conv_id FROM faults) c, inserts i WHERE i.state = 0 AND i.cost = (SELECT min(cost) FROM inserts j WHERE j.state = 0 AND j.after = i.after)
+  UNION ALL
+  SELECT conv_id, pos, state, min({'cost': cost, 'audit': audit, 'lines': lines}) FROM (
+    SELECT w.conv_id, s.pos, i.after AS state, w.best.cost + s.cost + i.cost AS cost, w.best.audit || s.edit || i.audit AS audit, list_concat(w.best.lines, list_concat(s.lines, i.lines)) AS lines
+    FROM ways w JOIN steps s ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND s.pos = w.pos + 1 AND s.state = w.state JOIN inserts i ON i.state = s.after
+  ) GROUP BY conv_id, pos, state
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM faults GROUP BY conv_id
+), ends AS (
+  SELECT w.conv_id, min(w.best) AS e FROM ways w JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.pos = c.n WHERE w.state IN (0, 3) GROUP BY w.conv_id
+)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.cost, 0)::BIGINT AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counts c ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON g.conv_id IS NOT DISTINCT FROM ends.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -70,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
+        "op13_conversation_repair": op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -78,5 +130,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_embeddings": OP5,
         "op7_minhash": OP7,
+        "op13_conversation_repair": OP13,
         **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     }
