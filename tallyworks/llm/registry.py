@@ -12,6 +12,7 @@ from .bpe import op4_byte_bpe
 from .conversation_repair import op13_conversation_repair
 from .decontaminate import op1_decontaminate
 from .embedding_dedup import op5_embeddings
+from .hard_negatives import op12_hard_negatives
 from .line_dedup import op8_line_dedup
 from .near_dedup import op7_minhash
 from .quality import op3_quality
@@ -59,6 +60,23 @@ SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS k
 """
 
 
+#: All anchors against all rows; integer inner products are exact in doubles here.
+OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), positives AS (
+  SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN scores n ON p.anchor_id = n.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
 #: Edits turn by turn, all conversations in step: the cheapest way into each state, with its audit and its lines. crc32 is taken bit by bit.
 OP13 = r"""
 WITH RECURSIVE given AS (
@@ -121,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_conversation_repair": op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
@@ -130,6 +149,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_embeddings": OP5,
         "op7_minhash": OP7,
+        "op12_hard_negatives": OP12,
         "op13_conversation_repair": OP13,
         **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     }
