@@ -15,6 +15,7 @@ from .embedding_dedup import op5_embeddings
 from .hard_negatives import op12_hard_negatives
 from .line_dedup import op8_line_dedup
 from .near_dedup import op7_minhash
+from .pii import op11_pii
 from .quality import op3_quality
 from .sharding import op9_sharding
 from .token_counts import op10_token_counts
@@ -139,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
+        "op11_pii": op11_pii,
         "op12_hard_negatives": op12_hard_negatives,
         "op13_conversation_repair": op13_conversation_repair,
         "pipeline": corpus_pipeline.run,

@@ -22,4 +22,4 @@ def test_oracle(spark, name):
 
 def test_names():
     found = [n for n in registry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11)) and "pipeline" in registry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 14)) and "pipeline" in registry.queries()
