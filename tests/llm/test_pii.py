@@ -126,14 +126,15 @@ def made():
             words[2:2] = [f"Person{'abcdef'[who]}son", f"p{who}@mail.org", rng.choice(common)] if k % 2 else ["zürich" + "xyzuvw"[who], "+49 30 12345" + str(who) * 2]
         rows.append((k, " ".join(words) + rng.choice([".", ".\n", ""])))
     rows += [(500 + k, "Copies say Onlyhere near q@mail.org now.") for k in range(30)]
-    rows += [(600, "Personason wrote Personason. personaSON?"), (601, "x.personason@mail.org personasonx")]
+    rows += [(1_000 + k, f"Filler without any value, {k}.") for k in range(400)]
+    rows += [(600, "Personbson wrote Personbson. personbSON?"), (601, "x.personbson@mail.org personbsonx")]
     return rows
 
 
 def test_disclosure(spark, tmp_path, docs):
     rows = made()
     want, terms = brute(rows)
-    assert "personason" in terms and "letter" not in terms and "onlyhere" not in terms
+    assert "personbson" in terms and "letter" not in terms and "onlyhere" not in terms
     assert run(spark, tmp_path, docs, rows) == want
 
 
