@@ -1,6 +1,6 @@
-"""The ledger as one object: imports, lists, rules and reports over snapshot tables.
+"""The ledger as one object: imports, lists, rules and reports over the tables of one store.
 
-One writer at a time. Methods that read return DataFrames; methods that write return what they did.
+A write is a change set: it rewrites the buckets it touches and is there as a whole or not at all. One writer at a time. Methods that read return DataFrames; methods that write return what they did.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from .operators import classify as C
 from .operators import ingest as I
 from .operators import ledger as L
 from .operators import reports as R
-from .operators.snapshot import SnapshotTable, materialize
+from .operators.snapshot import materialize
+from .operators.store import Store, deletes, upserts
 from .operators.validate import infer_and_check
 from .functions.fields import merge_from
 from .sinks import template, xlsx
@@ -28,10 +29,13 @@ from .sources import extract, files, replies
 class Workspace:
     def __init__(self, spark: SparkSession, path: str, clock: Callable[[], datetime.datetime] = datetime.datetime.now):
         self.spark, self.clock = spark, clock
-        make = lambda name, s: SnapshotTable(spark, f"{path.rstrip('/')}/{name}", s)
-        self.invoices, self.rules = make("invoices", schema.LEDGER), make("rules", schema.RULE)
-        self.reports, self.bridge = make("reports", schema.REPORT), make("report_invoices", schema.REPORT_INVOICE)
-        self.settings = make("settings", schema.SETTING)
+        self.store = Store(spark, path)
+        make = self.store.table
+        self.invoices = make("invoices", schema.LEDGER, ["id"], children={"report_invoices": "invoice_id", "file_hashes": "id"})
+        self.hashes = make("file_hashes", schema.FILE_HASH, ["file_hash"])
+        self.bridge = make("report_invoices", schema.REPORT_INVOICE, ["report_id", "invoice_id"], "invoice_id")
+        self.reports = make("reports", schema.REPORT, ["id"], buckets=4, children={"report_invoices": "report_id"})
+        self.rules, self.settings = make("rules", schema.RULE, ["id"], buckets=1), make("settings", schema.SETTING, ["key"], buckets=4)
         self.ledger, self.rulebook, self.reporting = Ledger(self), Rules(self), Reports(self)
 
     def now(self) -> str:
@@ -45,8 +49,7 @@ class Workspace:
         return row["value"] if row else None
 
     def set_setting(self, key: str, value: str) -> None:
-        rest = self.settings.read().where(F.col("key") != key)
-        self.settings.write(rest.unionByName(self.spark.createDataFrame([(key, value)], schema.SETTING)))
+        self.settings.apply(upserts(self.spark.createDataFrame([(key, value)], schema.SETTING)))
 
     def get_preference(self, key: str) -> str | None:
         return self.get_setting(f"pref.{key}")
@@ -86,18 +89,23 @@ class Ledger:
     def get(self, id_: int) -> DataFrame:
         return self.rows().where(F.col("id") == id_).select(*schema.INVOICE.fieldNames())
 
-    def save(self, invoices: DataFrame) -> DataFrame:
-        """Adds invoices whose file hash is new; (file_hash, id, inserted) of every one. Of equal hashes the first path counts."""
-        own = self.rows()
+    def save(self, invoices: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
+        """Adds invoices whose file hash is new; (file_hash, id, inserted) of every one. Of equal hashes the first path counts.
+
+        Known hashes lie in a table of their own, in buckets by hash, so only the buckets of the given hashes are read.
+        batch: the name of a stream and the number of its batch, which is added once however often it comes.
+        """
         fresh = materialize(invoices.select(*schema.INVOICE.fieldNames()))
         first = fresh.groupBy("file_hash").agg(F.min_by(F.struct(*fresh.columns), "source_path").alias("i")).select("i.*")
-        new = first.join(own.select("file_hash"), "file_hash", "left_anti").select(*schema.INVOICE.fieldNames())
-        table, start = self.ws.invoices, self.ws.invoices.last_id
+        known = self.ws.hashes.read_keys(fresh)
+        new = first.join(known.select("file_hash"), "file_hash", "left_anti").select(*schema.INVOICE.fieldNames())
+        start = self.ws.invoices.last_id
         numbered = materialize(L.next_ids(new, start, ["source_path", "file_hash"]).select(*schema.INVOICE.fieldNames()))
         added = numbered.count()
-        if added:
-            table.write(own.unionByName(L.project(numbered, F.lit(self.ws.now()))), start + added)
-        ids = own.select("file_hash", "id", F.lit(False).alias("inserted")).unionByName(numbered.select("file_hash", "id", F.lit(True).alias("inserted")))
+        ids = materialize(known.select("file_hash", "id", F.lit(False).alias("inserted")).unionByName(numbered.select("file_hash", "id", F.lit(True).alias("inserted"))))
+        if added or batch:
+            rows = L.project(numbered, F.lit(self.ws.now()))
+            self.ws.store.apply({"invoices": upserts(rows), "file_hashes": upserts(numbered.select("file_hash", "id"))}, {"invoices": start + added}, batch)
         return fresh.select("file_hash").distinct().join(ids, "file_hash")
 
     def import_files(self, found: DataFrame, today: datetime.date | None = None, qr: extract.QrDecoder | None = None, reply_fn=None) -> DataFrame:
@@ -124,19 +132,20 @@ class Ledger:
 
     def update(self, invoices: DataFrame, reviewed: bool) -> None:
         """Rewrites invoices by id; hash, path and time of import stay."""
-        own, names = self.rows(), schema.INVOICE.fieldNames()
-        kept = own.select("id", "file_hash", "source_path", "imported_at")
+        names = schema.INVOICE.fieldNames()
+        invoices = materialize(invoices)
+        kept = self.ws.invoices.read_keys(invoices).select("id", "file_hash", "source_path", "imported_at")
         changed = invoices.select(*[n for n in names if n not in ("file_hash", "source_path")]).join(kept, "id")
         flat = L.project(changed.select(*names, "imported_at"), F.col("imported_at"), F.lit(reviewed))
-        self.ws.invoices.write(own.join(changed.select("id"), "id", "left_anti").unionByName(flat))
+        self.ws.invoices.apply(upserts(flat))
 
     def save_edit(self, invoices: DataFrame) -> None:
         """Edited invoices: amounts derived, checked, stored as reviewed."""
         self.update(infer_and_check(invoices, self.ws.today()), True)
 
     def delete(self, id_: int) -> None:
-        self.ws.invoices.write(self.rows().where(F.col("id") != id_))
-        self.ws.bridge.write(self.ws.bridge.read().where(F.col("invoice_id") != id_))
+        """The invoice goes, and its lines on reports with it."""
+        self.ws.invoices.apply(deletes(self.ws.spark.createDataFrame([(id_,)], "id bigint")))
 
     def set_category(self, id_: int, category: str) -> None:
         self.update(L.set_category(self.get(id_), id_, category), True)
@@ -148,7 +157,7 @@ class Ledger:
         n = changed.count()
         if n:
             flat = L.project(changed.select(*own.columns), F.col("imported_at"), F.col("reviewed"))
-            self.ws.invoices.write(own.join(changed.select("id"), "id", "left_anti").unionByName(flat.select(*own.columns)))
+            self.ws.invoices.apply(upserts(flat.select(*own.columns)))
         return n
 
     def rescan(self, id_: int, found: DataFrame, qr: extract.QrDecoder | None = None) -> None:
@@ -182,7 +191,7 @@ class Rules:
         table, start = self.ws.rules, self.ws.rules.last_id
         rows = [{**r.asDict(True), "id": start + k} for k, r in enumerate(rules.collect(), 1)]
         if rows:
-            table.write(table.read().unionByName(self.ws.spark.createDataFrame(rows, schema.RULE)), start + len(rows))
+            table.apply(upserts(self.ws.spark.createDataFrame(rows, schema.RULE)), start + len(rows))
         return len(rows)
 
     def save(self, rule: dict) -> int:
@@ -191,11 +200,11 @@ class Rules:
         if rule.get("id") is None:
             self._add(self.ws.spark.createDataFrame([{**rule, "id": None}], schema.RULE))
             return table.last_id
-        table.write(table.read().where(F.col("id") != rule["id"]).unionByName(self.ws.spark.createDataFrame([rule], schema.RULE)))
+        table.apply(upserts(self.ws.spark.createDataFrame([rule], schema.RULE)))
         return rule["id"]
 
     def delete(self, id_: int) -> None:
-        self.ws.rules.write(self.ws.rules.read().where(F.col("id") != id_))
+        self.ws.rules.apply(deletes(self.ws.spark.createDataFrame([(id_,)], "id bigint")))
 
     def seed_if_empty(self) -> int:
         return self._add(C.seed_rules(self.ws.spark)) if self.ws.rules.read().isEmpty() else 0
@@ -255,19 +264,22 @@ class Reports:
         if id_ is None:
             id_ = table.last_id + 1
         row = {**{n: report.get(n, "") for n in ("title", "applicant", "department", "note")}, "id": id_, "created_at": old["created_at"] if old else self.ws.now()}
-        table.write(own.where(F.col("id") != id_).unionByName(self.ws.spark.createDataFrame([row], schema.REPORT)), id_)
+        table.apply(upserts(self.ws.spark.createDataFrame([row], schema.REPORT)), max(table.last_id, id_))
         return id_
 
     def delete(self, id_: int) -> None:
-        """The report goes, its invoices stay."""
-        self.ws.reports.write(self.ws.reports.read().where(F.col("id") != id_))
-        self.ws.bridge.write(self.ws.bridge.read().where(F.col("report_id") != id_))
+        """The report goes with its lines, its invoices stay."""
+        self.ws.reports.apply(deletes(self.ws.spark.createDataFrame([(id_,)], "id bigint")))
 
     def set_invoices(self, id_: int, invoice_ids: list[int]) -> None:
-        self.ws.bridge.write(R.set_report_invoices(self.ws.bridge.read(), id_, invoice_ids))
+        old = deletes(self.ws.bridge.read().where(F.col("report_id") == id_).select("report_id", "invoice_id"))
+        fresh = R.first_positions(self.ws.spark.createDataFrame([(id_, invoice_ids)], "report_id bigint, ids array<bigint>"))
+        self.ws.bridge.apply(old.unionByName(upserts(fresh, 1), allowMissingColumns=True))
 
     def remove_invoice(self, id_: int, invoice_id: int) -> None:
-        self.ws.bridge.write(R.remove_from_report(self.ws.bridge.read(), id_, invoice_id))
+        own = self.ws.bridge.read().where(F.col("report_id") == id_)
+        left = upserts(R.remove_from_report(own, id_, invoice_id), 1)
+        self.ws.bridge.apply(deletes(own.select("report_id", "invoice_id")).unionByName(left, allowMissingColumns=True))
 
     def invoices(self, id_: int) -> DataFrame:
         return R.report_invoices(self.ws.bridge.read(), self.ws.invoices.read(), id_)

@@ -21,18 +21,22 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write and read again in the shared folder of spark.checkpoint.dir (on one machine a folder of our own where it is unset)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir (on one machine a folder of our own where it is unset)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tallyworks.shared.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tallyworks-')}"
         spark.conf.set("tallyworks.shared.dir", base)
-    path = f"{base.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write and read again in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/ledger-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class SnapshotTable:

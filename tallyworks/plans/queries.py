@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates, fields, kinds, money, prose, qr, text
 from ..operators import classify, ingest, reports, selection, validate
 from ..operators import ledger as L
-from ..schema import FILE_KINDS, UNCATEGORISED
+from ..operators.snapshot import shared_dir
+from ..operators.store import Store, deletes, upserts
+from ..schema import FILE_KINDS, REPORT_INVOICE, UNCATEGORISED
 from ..sources import files, replies
 from . import adapter as A
 from .adapter import BRIDGE, INVOICES, LEDGER, REPORTS, table
@@ -706,3 +710,49 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["totals_by_category"](spark, sf_dir)
+
+
+# --- changes ---------------------------------------------------------------------------------------
+
+_INVOICE_ROW = T.StructType([T.StructField(n, T.LongType() if n in ("id", "total_cents") else T.StringType()) for n in ("id", "number_s", "category_s", "total_cents")])
+#: The lines of an order set its amount and category, by number, then amount; partly delivered orders are deleted at line 4, so later lines bring them back; every 50th order comes in anew.
+_CHANGES = """edits AS (
+  SELECT l_orderkey AS id, lpad(l_partkey::VARCHAR, 8, '0') AS number_s, l_returnflag AS category_s, round(l_extendedprice * 100)::BIGINT AS total_cents, l_linenumber * 1000000000000 + round(l_extendedprice * 100)::BIGINT * 1000 + l_partkey % 1000 AS seq, 'upsert' AS op FROM lineitem WHERE l_linenumber <> 4
+  UNION ALL SELECT o_orderkey, NULL, NULL, NULL, 4000000000000, 'delete' FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 10 = 3
+  UNION ALL SELECT o_orderkey + 1000000000, 'new', '', o_custkey, 0, 'upsert' FROM orders WHERE o_orderkey % 50 = 0
+), last AS (SELECT * FROM edits QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"""
+
+
+def _change_set(spark: SparkSession, sf_dir: str) -> Store:
+    """Orders and report lines in a store, after changes from orders and line items, in one commit."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.table("invoices", _INVOICE_ROW, ["id"], children={"report_invoices": "invoice_id"})
+    store.table("report_invoices", REPORT_INVOICE, ["report_id", "invoice_id"], "invoice_id")
+    store.apply({"invoices": upserts(A.ledger(spark, sf_dir).select(*_INVOICE_ROW.names)), "report_invoices": upserts(A.bridge(spark, sf_dir))})
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_linenumber <> 4")
+    edited = l.select(
+        F.col("l_orderkey").alias("id"), F.lpad(F.col("l_partkey").cast("string"), 8, "0").alias("number_s"), F.col("l_returnflag").alias("category_s"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("total_cents"), (F.col("l_linenumber") * 10**12 + F.round(F.col("l_extendedprice") * 100).cast("long") * 1000 + F.col("l_partkey") % 1000).alias("line"),
+    )
+    new = o.where("o_orderkey % 50 = 0").select((F.col("o_orderkey") + 1_000_000_000).alias("id"), F.lit("new").alias("number_s"), F.lit("").alias("category_s"), F.col("o_custkey").alias("total_cents"))
+    gone = deletes(o.where("o_orderstatus = 'P' OR o_orderkey % 10 = 3").select(F.col("o_orderkey").alias("id")), 4 * 10**12)
+    lines = upserts(new.select(F.lit(7).cast("long").alias("report_id"), F.col("id").alias("invoice_id"), F.lit(0).alias("position")))
+    changes = upserts(edited, F.col("line")).drop("line").unionByName(upserts(new)).unionByName(gone, allowMissingColumns=True)
+    store.apply({"invoices": changes, "report_invoices": lines})
+    return store
+
+
+@query(
+    f"""WITH {LEDGER}, {_CHANGES} SELECT l.id, l.number_s, l.category_s, l.total_cents FROM ledger l WHERE l.id NOT IN (SELECT id FROM last)
+    UNION ALL SELECT id, number_s, category_s, total_cents FROM last WHERE op = 'upsert'"""
+)
+def change_set(spark, sf_dir):
+    return _change_set(spark, sf_dir).tables["invoices"].read()
+
+
+@query(
+    f"""WITH {BRIDGE}, {_CHANGES} SELECT * FROM bridge WHERE invoice_id NOT IN (SELECT id FROM last WHERE op = 'delete')
+    UNION ALL SELECT 7, id, 0 FROM last WHERE number_s = 'new'"""
+)
+def change_set_lines(spark, sf_dir):
+    return _change_set(spark, sf_dir).tables["report_invoices"].read()

@@ -126,6 +126,8 @@ LEDGER = T.StructType(
         T.StructField("imported_at", T.StringType()),
     ]
 )
+#: Which invoice a file became.
+FILE_HASH = T.StructType([T.StructField("file_hash", T.StringType()), T.StructField("id", T.LongType())])
 REPORT = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("title", "applicant", "department", "note", "created_at"))])
 REPORT_INVOICE = T.StructType([T.StructField("report_id", T.LongType()), T.StructField("invoice_id", T.LongType()), T.StructField("position", T.IntegerType())])
 SETTING = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
