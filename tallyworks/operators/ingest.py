@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import is_complete, present
 from ..schema import STATUSES
+from .snapshot import materialize
 
 
 def file_status(already: Column) -> Column:
@@ -55,3 +56,37 @@ def reduce_ingest(state: dict, event: dict) -> dict:
         last = {"imported": event["imported"], "needsReview": event["needs_review"], "alreadyImported": event["duplicates"], "failed": event["failed"]}
         return {**state, "phase": "done", "current_name": None, "tally": last}
     raise ValueError(f"unknown event {kind!r}")
+
+
+#: An import's event as a row; what its type doesn't have is null.
+EVENT = "import_id bigint, seq bigint, type string, total bigint, name string, status string, vision_would_help boolean, imported bigint, needs_review bigint, duplicates bigint, failed bigint"
+#: An import's display as a row.
+PROGRESS = "import_id bigint, last_seq bigint, phase string, total bigint, done bigint, current_name string, imported bigint, needs_review bigint, duplicates bigint, failed bigint, vision_candidates bigint, problems bigint"
+COUNTED = dict(zip(("imported", "needs_review", "duplicates", "failed"), ("imported", "needsReview", "alreadyImported", "failed"), strict=True))
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """The display of every import after all its events, in order of seq: what ``reduce_ingest`` arrives at.
+
+    What is before the last start doesn't count, and the last finish since then replaces the tally that led to it. Both
+    places are aggregates, so an import of very many events is never ordered in one task.
+    """
+    is_ = lambda t: F.col("type") == t
+    start = events.groupBy("import_id").agg(F.max(F.when(is_("started"), F.col("seq"))).alias("_start"), F.max_by("total", F.when(is_("started"), F.col("seq"))).alias("_total"), F.max("seq").alias("last_seq"))
+    start = materialize(start)
+    since = events.join(start.select("import_id", "_start"), "import_id").where(F.col("_start").isNull() | (F.col("seq") > F.col("_start")))
+    at = F.when(is_("finished"), F.col("seq"))
+    finish = materialize(since.where(is_("finished")).groupBy("import_id").agg(F.max(at).alias("_finish"), *[F.max_by(c, at).alias(f"_{c}") for c in COUNTED]))
+    files = since.where(is_("file")).join(finish.select("import_id", "_finish"), "import_id", "left")
+    after = F.col("_finish").isNull() | (F.col("seq") > F.col("_finish"))
+    seen = files.groupBy("import_id").agg(
+        F.count(F.lit(1)).alias("done"), F.max_by("name", F.when(after, F.col("seq"))).alias("current_name"),
+        *[F.count_if(after & (F.col("status") == s)).alias(f"_more_{c}") for c, s in COUNTED.items()],
+        F.count_if("vision_would_help").alias("vision_candidates"), F.count_if(F.col("status") != "imported").alias("problems"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    phase = F.when(F.col("_finish").isNotNull(), "done").when(F.col("_start").isNotNull(), "running").otherwise("idle")
+    return start.join(finish, "import_id", "left").join(seen, "import_id", "left").select(
+        "import_id", "last_seq", phase.alias("phase"), zero("_total").alias("total"), zero("done").alias("done"), "current_name",
+        *[(zero(f"_{c}") + zero(f"_more_{c}")).alias(c) for c in COUNTED], zero("vision_candidates").alias("vision_candidates"), zero("problems").alias("problems"),
+    )

@@ -12,6 +12,8 @@ from ..functions.kinds import kind_label
 from ..functions.text import like_ascii
 from ..schema import NO_NUMBER, REVIEW_THRESHOLD, UNCATEGORISED
 
+#: Most ids of a list of members.
+CHUNK = 1_000
 LIST_COLUMNS = [
     "id", "number_s", "issued_on_s", "kind_label", "seller_s", "total_cents", "tax_cents", "category_s", "category_rule_s",
     "min_confidence", "issue_count", "reviewed", "imported_at",
@@ -137,6 +139,25 @@ def duplicate_members(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     return is_duplicate(_of_rows(ledger, rows), ledger).select("dedup_key", "id")
 
 
+def duplicate_chunks(rows: DataFrame, ledger: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(dedup_key, chunk, ids): the members of the rows' shared keys in lists of at most ``size`` sorted ids.
+
+    Members are numbered within their key by ranges and running counts, so a key that a third of the ledger
+    shares is dealt over tasks and no list outgrows its bound.
+    """
+    from .ordering import positions
+
+    placed = positions(duplicate_members(rows, ledger), [F.col("id").asc()], ["dedup_key"])
+    chunk = F.floor(F.col("position") / size).cast("long")
+    return placed.groupBy("dedup_key", chunk.alias("chunk")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def duplicate_page(rows: DataFrame, chunks: DataFrame, chunk: int = 0) -> DataFrame:
+    """(id, ids): of each duplicate row one list of its key's members, itself left out; further ones by their number."""
+    page = chunks.where(F.col("chunk") == chunk).select("dedup_key", "ids")
+    return rows.join(page, "dedup_key").select("id", F.filter("ids", lambda i: i != F.col("id")).alias("ids"))
+
+
 def is_duplicate(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """The rows that another row of the ledger shares a key with: keys are counted, so nothing is paired."""
     twice = ledger.where("dedup_key <> ''").groupBy("dedup_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("dedup_key")

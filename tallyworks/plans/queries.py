@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, fields, kinds, money, prose, qr, text
-from ..operators import classify, ingest, reports, selection, validate
+from ..operators import classify, ingest, ordering, reports, selection, validate
 from ..operators import ledger as L
 from ..operators.snapshot import shared_dir
 from ..operators.store import Store, deletes, upserts
 from ..schema import FILE_KINDS, REPORT_INVOICE, UNCATEGORISED
 from ..sources import files, replies
+from ..streaming import progress
 from . import adapter as A
 from .adapter import BRIDGE, INVOICES, LEDGER, REPORTS, table
 
@@ -756,3 +757,101 @@ def change_set(spark, sf_dir):
 )
 def change_set_lines(spark, sf_dir):
     return _change_set(spark, sf_dir).tables["report_invoices"].read()
+
+
+@query(
+    f"""WITH {LEDGER}, m AS (SELECT code_s, id, (row_number() OVER (PARTITION BY code_s ORDER BY id) - 1) // 1000 AS chunk FROM ledger WHERE code_s <> '')
+    SELECT code_s AS dedup_key, chunk, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM m GROUP BY ALL"""
+)
+def duplicate_chunks(spark, sf_dir):
+    rows = A.ledger(spark, sf_dir).withColumn("dedup_key", F.col("code_s"))  # keys that a fifth of all rows share
+    return L.duplicate_chunks(rows, rows).withColumn("ids", joined(F.col("ids")))
+
+
+@query(
+    f"""WITH {LEDGER}, m AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY id) - 1 AS k FROM ledger WHERE dedup_key <> ''), c AS (SELECT dedup_key, list(id ORDER BY id) AS ids, count(*) AS n FROM m WHERE k < 1000 GROUP BY 1)
+    SELECT id, coalesce(array_to_string(list_filter(ids, lambda i: i <> id), ','), '') AS ids FROM ledger JOIN c USING (dedup_key) WHERE n > 1"""
+)
+def duplicate_page(spark, sf_dir):
+    rows = A.ledger(spark, sf_dir)
+    return L.duplicate_page(rows, L.duplicate_chunks(rows, rows)).withColumn("ids", joined(F.col("ids")))
+
+
+# --- order -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LEDGER} SELECT row_number() OVER (ORDER BY issued_on_s DESC, id DESC) - 1 AS position, id FROM ledger")
+def list_positions(spark, sf_dir):
+    return ordering.positions(A.ledger(spark, sf_dir).select("id", "issued_on_s"), ordering.list_order()).select("position", "id")
+
+
+@query(f"WITH {LEDGER} SELECT row_number() OVER (ORDER BY seller_s, id) - 1 AS position, id, seller_s FROM ledger")
+def seller_positions(spark, sf_dir):
+    return ordering.positions(A.ledger(spark, sf_dir).select("id", "seller_s"), ordering.list_order("seller", False)).select("position", "id", "seller_s")
+
+
+@query(
+    f"""WITH {LEDGER}, p AS (SELECT *, row_number() OVER (ORDER BY total_cents DESC, id DESC) - 1 AS k FROM ledger)
+    SELECT k // 100 AS page, count(*) AS rows, arg_min(id, k) AS first_id, arg_max(id, k) AS last_id, arg_min(total_cents, k) AS first_total_cents, arg_max(total_cents, k) AS last_total_cents FROM p GROUP BY 1"""
+)
+def list_pages(spark, sf_dir):
+    placed = ordering.positions(A.ledger(spark, sf_dir).select("id", "total_cents"), ordering.list_order("amount"))
+    return ordering.pages(placed, 100, ["id", "total_cents"])
+
+
+@query(
+    f"""WITH {BRIDGE}, e AS (SELECT report_id, invoice_id, 0 AS part, position::BIGINT AS spot FROM bridge WHERE invoice_id % 3 = 0 UNION ALL SELECT report_id, invoice_id, 1, -position FROM bridge WHERE invoice_id % 2 = 0
+    UNION ALL SELECT 7, invoice_id, 1, 1000000000 + position FROM bridge), f AS (SELECT report_id, invoice_id, min({{'part': part, 'spot': spot}}) AS f FROM e GROUP BY ALL)
+    SELECT report_id, invoice_id, (row_number() OVER (PARTITION BY report_id ORDER BY f.part, f.spot, invoice_id) - 1)::INTEGER AS position FROM f"""
+)
+def report_append(spark, sf_dir):
+    b = A.bridge(spark, sf_dir)
+    at = F.col("position").cast("long")
+    # every second invoice comes to the end of its report, newest first, and all of them to report 7
+    added = b.where("invoice_id % 2 = 0").select("report_id", "invoice_id", (-at).alias("at")).unionByName(b.select(F.lit(7).cast("long").alias("report_id"), "invoice_id", (at + 1_000_000_000).alias("at")))
+    return ordering.append_lines(b.where("invoice_id % 3 = 0"), added)
+
+
+# --- imports under way -----------------------------------------------------------------------------
+
+_EVENTS = """ev AS (SELECT user_id AS import_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'finished' ELSE 'file' END AS type, floor(value)::BIGINT AS total, 'f' || event_id AS name,
+    CASE WHEN value > 30 THEN 'alreadyImported' WHEN event_type = 'view' THEN 'imported' WHEN event_type = 'click' THEN 'needsReview' ELSE 'failed' END AS status, event_id % 3 = 0 AS vision, floor(value * 2)::BIGINT AS b, event_id % 5 AS c, event_id % 7 AS d FROM events),
+  st AS (SELECT import_id, max(seq) FILTER (type = 'started') AS s, arg_max(total, seq) FILTER (type = 'started') AS total, max(seq) AS last_seq FROM ev GROUP BY 1),
+  since AS (SELECT e.* FROM ev e JOIN st USING (import_id) WHERE seq > coalesce(s, -1)),
+  fi AS (SELECT import_id, max(seq) AS f, arg_max(total, seq) AS a, arg_max(b, seq) AS b, arg_max(c, seq) AS c, arg_max(d, seq) AS d FROM since WHERE type = 'finished' GROUP BY 1),
+  se AS (SELECT import_id, count(*) AS done, arg_max(name, seq) FILTER (seq > coalesce(f, -1)) AS current_name, count(*) FILTER (vision) AS vision_candidates, count(*) FILTER (status <> 'imported') AS problems,
+    count(*) FILTER (seq > coalesce(f, -1) AND status = 'imported') AS ma, count(*) FILTER (seq > coalesce(f, -1) AND status = 'needsReview') AS mb, count(*) FILTER (seq > coalesce(f, -1) AND status = 'alreadyImported') AS mc,
+    count(*) FILTER (seq > coalesce(f, -1) AND status = 'failed') AS md FROM (SELECT e.*, f FROM since e LEFT JOIN fi USING (import_id) WHERE type = 'file') GROUP BY 1)
+  SELECT import_id, last_seq, CASE WHEN f IS NOT NULL THEN 'done' WHEN s IS NOT NULL THEN 'running' ELSE 'idle' END AS phase, coalesce(total, 0) AS total, coalesce(done, 0) AS done, current_name,
+    coalesce(a, 0) + coalesce(ma, 0) AS imported, coalesce(b, 0) + coalesce(mb, 0) AS needs_review, coalesce(c, 0) + coalesce(mc, 0) AS duplicates, coalesce(d, 0) + coalesce(md, 0) AS failed,
+    coalesce(vision_candidates, 0) AS vision_candidates, coalesce(problems, 0) AS problems FROM st LEFT JOIN fi USING (import_id) LEFT JOIN se USING (import_id)"""
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as imports: a sign-up starts one, a purchase finishes it, everything else is a file."""
+    v, k = F.col("value"), F.col("event_id")
+    type_ = F.when(F.col("event_type") == "signup", "started").when(F.col("event_type") == "purchase", "finished").otherwise("file")
+    status = F.when(v > 30, "alreadyImported").when(F.col("event_type") == "view", "imported").when(F.col("event_type") == "click", "needsReview").otherwise("failed")
+    whole = lambda x: F.floor(x).cast("long")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("import_id"), k.alias("seq"), type_.alias("type"), whole(v).alias("total"), F.concat(F.lit("f"), k.cast("string")).alias("name"), status.alias("status"),
+        (k % 3 == 0).alias("vision_would_help"), whole(v).alias("imported"), whole(v * 2).alias("needs_review"), (k % 5).alias("duplicates"), (k % 7).alias("failed"),
+    )
+
+
+@query(f"WITH {_EVENTS}")
+def import_progress(spark, sf_dir):
+    return ingest.progress(_events(spark, sf_dir))
+
+
+@query(f"WITH {_EVENTS}")
+def import_progress_stream(spark, sf_dir):
+    base = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
+    own = _events(spark, sf_dir)
+    n = own.agg(F.max("seq")).first()[0] or 0
+    # four slices in order, the second of them comes again at the end
+    for part in (0, 1, 2, 3, 1):
+        own.where((F.col("seq") > n * part // 4 - (part == 0)) & (F.col("seq") <= n * (part + 1) // 4)).coalesce(1).write.mode("append").parquet(f"{base}/events")
+    store = progress.progress_table(spark, f"{base}/store")
+    progress.follow(progress.watch_events(spark, f"{base}/events"), store, f"{base}/checkpoint").awaitTermination()
+    return store.tables["progress"].read()
