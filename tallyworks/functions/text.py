@@ -193,10 +193,15 @@ def file_hash(content: Column) -> Column:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def fold_ascii(value: Column) -> Column:
+    """A-Z in lower case, everything else as it is."""
+    return F.translate(value, _UPPER, _LOWER)
+
+
 def like_ascii(value: Column, needle: str) -> Column:
     """value LIKE %needle% where only A-Z fold case, % and _ in the needle stay wild and nothing escapes."""
     pattern = needle.translate(str.maketrans(_UPPER, _LOWER)).replace("\\", "\\\\")
-    return F.translate(value, _UPPER, _LOWER).like(f"%{pattern}%")
+    return fold_ascii(value).like(f"%{pattern}%")
 
 
 def split_keywords(raw: Column) -> Column:

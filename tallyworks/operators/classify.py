@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.kinds import kind_label
 from ..functions.text import tax_category
 from ..schema import MATCH_FIELDS, RULE, UNCATEGORISED
+from .snapshot import materialize
 
 # Fixed values: (category, priority, field, keywords) of the built-in rules, in their order.
 SEEDS = [
@@ -42,6 +43,8 @@ SEEDS = [
 SUGGESTED = 200
 #: Rules that are compiled into one expression; more are matched by a join.
 COMPILED = 500
+#: Texts that hold a pair of characters, from which its postings are dealt over shares.
+HOT = 100_000
 # The kinds that a category usually comes on.
 KIND_HINTS = {"长途交通": ["train", "airItinerary"], "市内交通": ["taxi"]}
 
@@ -107,26 +110,46 @@ def compile_rules(rules: list, hay: dict[str, Column] | None = None) -> Column:
     return out
 
 
-def match_by_join(invoices: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+def _grams(text: Column) -> Column:
+    """The characters and pairs of neighbouring characters of a text, once each."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    pairs = F.transform(F.arrays_zip(chars.alias("a"), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))).alias("b")), lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit(""))))
+    return F.array_distinct(F.concat(chars, pairs))
+
+
+def match_by_join(invoices: DataFrame, rules: DataFrame, key: str, hot: int = HOT) -> DataFrame:
     """(key, category, rule) of the winning rule, for rule sets too large to compile.
 
-    Rules meet invoices through their keywords' first characters (an equi-join on the characters of the
-    haystacks), so no invoice is held against every rule; keywords are then checked in full.
+    Every keyword is filed under its pair of characters that the fewest texts hold (one character if it is no
+    longer), and meets only the texts that hold that pair; keywords are then checked in full. A text counts
+    once however many invoices have it. Pairs that more than ``hot`` texts hold are dealt over shares.
     """
     hay = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("texts")) for n, c in haystacks().items()])
-    seen = invoices.select(key, F.explode(hay).alias("h")).select(key, "h.field", F.explode("h.texts").alias("text")).where("text is not null").distinct()
-    chars = seen.select(key, "field", "text", F.explode(F.array_distinct(F.split("text", ""))).alias("first"))
+    seen = materialize(invoices.select(key, F.explode(hay).alias("h")).select(key, "h.field", F.explode("h.texts").alias("text")).where("text is not null").distinct())
     # ties of priority and id go to the smaller name and conditions: the same on every run
-    usable = rules.where("enabled and size(conditions) > 0").select(
+    usable = materialize(rules.where("enabled and size(conditions) > 0").select(
         F.col("id").alias("_id"), "name", "category", "priority", "conditions", F.xxhash64("id", "name", "category", "priority", F.to_json("conditions")).alias("_rule")
-    )
-    words = usable.select("_rule", F.posexplode("conditions").alias("part", "c")).select(
-        "_rule", "part", F.col("c.field").alias("field"), F.explode("c.keywords").alias("word")
-    ).where("word <> ''").withColumn("first", F.substring("word", 1, 1))
-    hits = chars.join(words, ["field", "first"]).where(F.expr("contains(text, word)")).select(key, "_rule", "part").distinct()
-    whole = hits.groupBy(key, "_rule").agg(F.count(F.lit(1)).alias("held")).join(usable, "_rule").where(F.col("held") == F.size("conditions"))
-    best = Window.partitionBy(key).orderBy(F.desc("priority"), F.asc_nulls_last("_id"), "_rule")
-    return whole.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(key, "category", F.col("name").alias("rule"))
+    ))
+    parts = usable.select("_rule", F.posexplode("conditions").alias("part", "c")).select("_rule", "part", F.col("c.field").alias("field"), F.explode("c.keywords").alias("word")).where("word <> ''")
+    words = parts.select("field", "word").distinct()
+    tried = words.select("field", "word", F.explode(_grams(F.col("word"))).alias("gram")).where((F.length("gram") == 2) | (F.length("word") == 1))
+    texts = materialize(seen.select("field", "text").distinct())
+    held = texts.select("field", "text", F.explode(_grams(F.col("text"))).alias("gram"))
+    sizes = held.join(tried.select("field", "gram").distinct(), ["field", "gram"], "left_semi").groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n"))
+    # a keyword with a pair that no text holds can't match
+    whole = Window.partitionBy("field", "word")
+    filed = tried.join(sizes, ["field", "gram"], "left").withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(whole)).where("least > 0")
+    filed = filed.groupBy("field", "word").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.min("n").alias("n"))
+    filed = materialize(filed.withColumn("shares", F.ceil(F.col("n") / hot).cast("int")))
+    wanted = materialize(filed.select("field", "gram", "shares").distinct())
+    dealt = held.join(wanted, ["field", "gram"]).withColumn("share", F.pmod(F.xxhash64("text"), F.col("shares")).cast("int"))
+    spread = filed.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("field", "gram", "share", "word")
+    met = dealt.join(spread, ["field", "gram", "share"]).where(F.expr("contains(text, word)")).select("field", "text", "word")
+    hits = materialize(met.join(parts, ["field", "word"]).select("field", "text", "_rule", "part").distinct())
+    held_parts = seen.join(hits, ["field", "text"]).select(key, "_rule", "part").distinct().groupBy(key, "_rule").agg(F.count(F.lit(1)).alias("held"))
+    won = held_parts.join(usable, "_rule").where(F.col("held") == F.size("conditions"))
+    best = F.min_by(F.struct("category", F.col("name").alias("rule")), F.struct(-F.col("priority"), F.col("_id").isNull(), "_id", "_rule"))
+    return won.groupBy(key).agg(best.alias("b")).select(key, "b.*")
 
 
 def classify(invoices: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:

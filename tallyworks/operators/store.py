@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,8 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.tables: dict[str, BucketTable] = {}
+        #: Functions of (manifest before, manifest to be, changes) that give changes of further tables for the same commit.
+        self.derived: list[Callable[[Manifest, Manifest, dict[str, DataFrame]], dict[str, DataFrame]]] = []
 
     def table(self, name: str, schema: StructType, keys: list[str], bucket_by: str | None = None, buckets: int = BUCKETS, children: dict[str, str] | None = None) -> BucketTable:
         """children: tables whose rows go with a deleted row, by their column that refers to this table's key."""
@@ -104,7 +107,8 @@ class Store:
                 latest[child] = self.tables[child].latest(lines)
         made = Manifest(now.version + 1, {k: dict(v) for k, v in now.buckets.items()}, {**now.last_ids, **(last_ids or {})}, dict(now.batches))
         folder = f"c{made.version}-{uuid.uuid4().hex[:8]}"
-        for name, df in latest.items():
+
+        def write(name: str, df: DataFrame) -> None:
             table = self.tables[name]
             touched = table.buckets_of(df)
             if touched:
@@ -113,6 +117,12 @@ class Store:
                 for b in touched:
                     own.pop(str(b), None)
                 own.update({str(b): folder for b in table.written(folder)})
+
+        for name, df in latest.items():
+            write(name, df)
+        for derive in self.derived:
+            for name, df in derive(now, made, latest).items():
+                write(name, self.tables[name].latest(df))
         if batch:
             made.batches[batch[0]] = batch[1]
         self._publish(made)
@@ -159,9 +169,9 @@ class BucketTable:
         spark = self.store.spark
         return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
 
-    def read_keys(self, keys: DataFrame) -> DataFrame:
+    def read_keys(self, keys: DataFrame, manifest: Manifest | None = None) -> DataFrame:
         """The rows whose bucket column is among some values; only their buckets are read."""
-        return self.read(self.buckets_of(keys)).join(keys.select(self.bucket_by).distinct(), self.bucket_by, "left_semi")
+        return self.read(self.buckets_of(keys), manifest).join(keys.select(self.bucket_by).distinct(), self.bucket_by, "left_semi")
 
     def buckets_of(self, rows: DataFrame) -> list[int]:
         """At most as many numbers as there are buckets."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -10,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..api import Workspace
 from ..functions import dates, fields, kinds, money, prose, qr, text
-from ..operators import classify, ingest, ordering, reports, selection, validate
+from ..operators import classify, counts, ingest, ordering, reports, search, selection, validate
 from ..operators import ledger as L
-from ..operators.snapshot import shared_dir
+from ..operators.snapshot import materialize, shared_dir
 from ..operators.store import Store, deletes, upserts
 from ..schema import FILE_KINDS, REPORT_INVOICE, UNCATEGORISED
 from ..sources import files, replies
@@ -855,3 +857,109 @@ def import_progress_stream(spark, sf_dir):
     store = progress.progress_table(spark, f"{base}/store")
     progress.follow(progress.watch_events(spark, f"{base}/events"), store, f"{base}/checkpoint").awaitTermination()
     return store.tables["progress"].read()
+
+
+# --- counts, search, rules and saves at scale ------------------------------------------------------
+
+#: Three states of the ledger: the even orders; all of them, every tenth fourth one without a key; then without every seventh, those keys back where 3 divides the id, one category renamed.
+_STATES = f"""{LEDGER}, {BRIDGE}, base AS (SELECT *, id % 10 = 4 AS moved FROM ledger),
+  s1 AS (SELECT 1 AS step, * FROM base WHERE id % 2 = 0),
+  s2 AS (SELECT 2 AS step, * REPLACE (CASE WHEN moved THEN '' ELSE dedup_key END AS dedup_key, CASE WHEN moved THEN total_cents + 1 ELSE total_cents END AS total_cents) FROM base),
+  s3 AS (SELECT 3 AS step, * EXCLUDE (step) REPLACE (CASE WHEN moved AND id % 3 = 0 THEN (SELECT any_value(b.dedup_key) FROM base b WHERE b.id = s2.id) ELSE dedup_key END AS dedup_key, CASE WHEN category_s = '餐饮' THEN '会议' ELSE category_s END AS category_s)
+    FROM s2 WHERE id % 7 <> 0),
+  states AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)"""
+_COUNTED_ROW = "id bigint, dedup_key string, category_s string, total_cents bigint, tax_cents bigint, reviewed boolean, min_confidence double, issue_count bigint"
+
+
+def _counted(spark: SparkSession, sf_dir: str, after=None) -> counts.Counts:
+    """The ledger's counts after three change sets; ``after`` sees them after each."""
+    store = Store(spark, f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}")
+    row = T.StructType.fromDDL(_COUNTED_ROW)
+    store.table("invoices", row, ["id"], children={"report_invoices": "invoice_id"})
+    store.table("report_invoices", REPORT_INVOICE, ["report_id", "invoice_id"], "invoice_id")
+    own, lines = counts.Counts(store), A.bridge(spark, sf_dir)
+    base = A.ledger(spark, sf_dir).select(*row.names)
+    moved = F.col("id") % 10 == 4
+    second = base.withColumns({"dedup_key": F.when(moved, "").otherwise(F.col("dedup_key")), "total_cents": F.when(moved, F.col("total_cents") + 1).otherwise(F.col("total_cents"))})
+    renamed = F.when(F.col("category_s") == "餐饮", "会议").otherwise(F.col("category_s"))
+    third = base.withColumns({"dedup_key": F.when(moved & (F.col("id") % 3 != 0), "").otherwise(F.col("dedup_key")), "total_cents": F.when(moved, F.col("total_cents") + 1).otherwise(F.col("total_cents")), "category_s": renamed})
+    sets = [
+        {"invoices": upserts(base.where("id % 2 = 0")), "report_invoices": upserts(lines.where("invoice_id % 2 = 0"))},
+        {"invoices": upserts(second.where("id % 2 = 1").unionByName(second.where(moved))), "report_invoices": upserts(lines.where("invoice_id % 2 = 1"))},
+        {"invoices": upserts(third.where((moved & (F.col("id") % 3 == 0)) | (F.col("category_s") == "会议"))).unionByName(deletes(base.where("id % 7 = 0").select("id"), 1), allowMissingColumns=True)},
+    ]
+    for k, changes in enumerate(sets, 1):
+        store.apply(changes)
+        if after:
+            after(k, own)
+    return own
+
+
+@query(
+    f"""WITH {_STATES} SELECT step, count(*) AS "all", count(*) FILTER (NOT reviewed AND (min_confidence < 0.9::DOUBLE OR issue_count > 0)) AS review,
+    (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM states t WHERE t.step = s.step AND dedup_key <> '' GROUP BY dedup_key) WHERE n > 1) AS duplicates, sum(total_cents)::BIGINT AS total_cents FROM states s GROUP BY step"""
+)
+def counts_followed(spark, sf_dir):
+    seen: list[DataFrame] = []
+    _counted(spark, sf_dir, lambda k, own: seen.append(materialize(own.sidebar().withColumn("step", F.lit(k)))))
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
+
+
+@query(f"WITH {_STATES} SELECT category_s, count(*) AS n, sum(total_cents)::BIGINT AS total_cents, sum(tax_cents)::BIGINT AS tax_cents FROM s3 GROUP BY 1")
+def category_counts_followed(spark, sf_dir):
+    return _counted(spark, sf_dir).categories.read()
+
+
+@query(f"WITH {_STATES} SELECT report_id, count(*) AS n, sum(total_cents)::BIGINT AS total_cents FROM bridge JOIN s3 ON id = invoice_id GROUP BY 1")
+def report_counts_followed(spark, sf_dir):
+    return _counted(spark, sf_dir).reports.read()
+
+
+_NEEDLES = ["R#00000_12", "customer#000001", "7", " BUILD ", "9%31", "0000000000_5", "no such", "机"]
+
+
+@query(
+    "WITH " + LEDGER + ", needles AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NEEDLES) + "]) AS needle), p AS (SELECT needle, '%' || lower(trim(needle)) || '%' AS w FROM needles) "
+    "SELECT needle, id FROM p JOIN ledger ON lower(number_s) LIKE w OR lower(seller_s) LIKE w OR lower(buyer_s) LIKE w"
+)
+def search_postings(spark, sf_dir):
+    store = Store(spark, f"{shared_dir(spark)}/search-{uuid.uuid4().hex}")
+    index, rows = search.posting_table(store), A.ledger(spark, sf_dir)
+    index.apply(upserts(search.postings(rows)))
+    found = [search.search(rows, index, n).select(F.lit(n).alias("needle"), "id") for n in _NEEDLES]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+_RULES_SQL = f"""rules AS (SELECT min(p_partkey) AS rid, p_name AS a, p_brand AS b, '*' || {A._sql_case("p_type", A.TYPES, "")} || '*' AS c FROM part GROUP BY ALL)"""
+
+
+def _part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every name, brand and type of parts: some thousands."""
+    kind = F.concat(F.lit("*"), A._case(F.col("p_type"), A.TYPES, ""), F.lit("*"))
+    own = table(spark, sf_dir, "part").groupBy("p_name", "p_brand", kind.alias("kind")).agg(F.min("p_partkey").alias("id"))
+    condition = lambda field, word: F.struct(F.lit(field).alias("field"), F.array(word).alias("keywords"))
+    return own.select(
+        F.col("id").cast("long").alias("id"), F.concat(F.lit("R"), F.col("id").cast("string")).alias("name"), F.concat(F.lit("C"), (F.col("id") % 50).cast("string")).alias("category"),
+        (F.col("id") % 7).cast("int").alias("priority"), F.lit(True).alias("enabled"), F.array(condition("itemName", "p_name"), condition("sellerName", "p_brand"), condition("itemName", "kind")).alias("conditions"),
+    )
+
+
+@query(
+    f"""WITH {INVOICES}, {_RULES_SQL}, m AS (SELECT id, rid FROM inv JOIN rules ON contains(item, a) AND contains(seller, b) AND contains(item, c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rid % 7 DESC, rid) = 1)
+    SELECT id, 'C' || (rid % 50) AS category, 'R' || rid AS rule FROM inv LEFT JOIN m USING (id)"""
+)
+def classify_many_rules(spark, sf_dir):
+    return classify.classify(A.invoices(spark, sf_dir), _part_rules(spark, sf_dir)).select("id", "category", F.col("category_rule").alias("rule"))
+
+
+@query(
+    """WITH h AS (SELECT p_partkey AS k, sha256(p_partkey::VARCHAR) AS file_hash, '/in/' || p_partkey AS path FROM part), n AS (SELECT count(*) FILTER (k % 2 = 0) AS n FROM h)
+    SELECT file_hash, row_number() OVER (PARTITION BY k % 2 ORDER BY path, file_hash) + CASE WHEN k % 2 = 0 THEN 0 ELSE (SELECT n FROM n) END AS id, k % 2 <> 0 AS inserted FROM h"""
+)
+def save_invoices(spark, sf_dir):
+    ws = Workspace(spark, f"{shared_dir(spark)}/workspace-{uuid.uuid4().hex}")
+    rows = A.invoices(spark, sf_dir)
+    ws.ledger.save(rows.where("id % 2 = 0"), ("query", 0))
+    ws.ledger.save(rows.where("id % 2 = 0"), ("query", 0))
+    again = rows.withColumn("source_path", F.concat(F.lit("/in2/"), F.col("id").cast("string")))
+    return ws.ledger.save(rows.unionByName(again), ("query", 1))
