@@ -14,18 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
-from tallyworks.llm.common import materialize, table
+from tallyworks.llm.common import free_name, materialize, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model learns from labelled rows outside the held-out fold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scores(docs, model, docs.columns, "_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    score = free_name("_toxicity", docs.columns)
+    return toxicity.scores(docs, model, docs.columns, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, later ones without the line blocks of earlier ones; n_chars follows the text."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in ("n_lines", "n_removed", "blocks")}
+    own = {c: free_name(f"_own_{c}", docs.columns) for c in docs.columns if c in ("n_lines", "n_removed", "blocks")}
     out = line_dedup.dedup_lines(docs.withColumnsRenamed(own))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -58,6 +58,14 @@ def materialize(df: DataFrame, label: str = "cut", rows_per_file: int = 0) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that is not taken, whatever its case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows whose labels are never learned from; a null id is treated as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

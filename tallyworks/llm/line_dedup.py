@@ -239,7 +239,9 @@ def delete_blocks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
     """``docs`` with text_col without the lines of its blocks, and n_lines, n_removed, blocks."""
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "blocks")]
     d, h = row_key(docs, id_col, text_col)
-    joined = docs.select(*keep, d.alias("_d"), h.alias("_h")).join(found, ["_d", "_h"], "left").select(*keep, "blocks")
+    # the row's own columns travel in one, so none can be taken for a key
+    row = F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row")
+    joined = docs.select(row, d.alias("_d"), h.alias("_h")).join(found, ["_d", "_h"], "left").select("row.*", "blocks")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*keep).schema)
     spot = keep.index(text_col)
 

@@ -233,11 +233,12 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, hundredths: int = 80, id_c
     found = near_duplicates(docs, k, hundredths, id_col, text_col)
     kept = found.where("n = c or n_shingles = 0").select("n", "n_shingles").groupBy("n").agg(F.max("n_shingles").alias("_s"), F.count(F.lit(1)).alias("_rows"))
     d, h = row_key(docs, id_col, text_col)
-    joined = docs.withColumns({"_d": d, "_h": h}).join(
+    # the row's own columns travel in one, so none can be taken for a key
+    joined = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), d.alias("_d"), h.alias("_h")).join(
         kept.select(F.col("n.d").alias("_d"), F.col("n.h").alias("_h"), ((F.col("_rows") > 1) & (F.col("_s") > 0)).alias("_again")), ["_d", "_h"]
     )
     once = joined.where("not _again").unionByName(joined.where("_again").dropDuplicates(["_d", "_h"]))
-    return once.select(*docs.columns)
+    return once.select("row.*")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, materialize, table
+from .common import free_name, held_out, labelled_sample, materialize, table
 
 #: Most labelled training rows that the model is fitted on, and partitions that sum the equations.
 SAMPLE, PARTS = 20_000, 8
@@ -187,7 +187,7 @@ def score_documents(docs: DataFrame, model: QualityModel, carry: list[str]) -> D
                 [*carry, "score", "stats"],
             )
 
-    return docs.select(*carry, F.col("text").alias("_scored")).mapInArrow(run, f"{schema}, score double, stats array<double>")
+    return docs.select(*carry, F.col("text").alias(free_name("_scored", carry))).mapInArrow(run, f"{schema}, score double, stats array<double>")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, table, worker_cache
+from .common import free_name, held_out, labelled_sample, table, worker_cache
 
 #: Most labelled training rows that the model is fitted on.
 SAMPLE = 10_000
@@ -435,7 +435,7 @@ def scores(docs: DataFrame, model: ToxicityModel, carry: list[str], out: str = "
             score = [m.score(x.as_py(), auto, known) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*keep, out])
 
-    return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(run, f"{schema}, `{out}` double")
+    return docs.select(*keep, F.col("text").alias(free_name("_scored", keep))).mapInArrow(run, f"{schema}, `{out}` double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

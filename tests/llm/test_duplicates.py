@@ -349,3 +349,21 @@ def test_rare_lines_only_pair_with_their_first_holder(docs):
     df = docs(*[f"{line(1)}\n{line(100 + k)}" for k in range(50)])
     found = L.find_blocks(df)
     assert found.count() == 49 and found.select(F.explode("blocks").alias("b")).select("b.first_doc").distinct().collect()[0][0] == 0
+
+
+HELPERS = ["_d", "_h", "_t", "_s", "_rows", "_again", "row", "n", "c", "d1", "d2", "bands", "_seeds", "_spots", "w", "_D"]
+
+
+def test_columns_named_like_helpers_are_carried(docs):
+    t = "\n".join(line(k) for k in range(3))
+    df = docs((1, t), (1, t), (2, t + "\nnew words at the end of it"), (None, None), (4, ""))
+    for k, name in enumerate(HELPERS[:-1]):
+        df = df.withColumn(name, F.lit(k))
+    own = HELPERS[:-1]
+    cleaned = L.dedup_lines(df)
+    assert cleaned.columns == [*df.columns, "blocks", "n_lines", "n_removed"]
+    assert all([r[n] for n in own] == list(range(len(own))) for r in cleaned.collect()) and cleaned.count() == 5
+    kept = N.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    rows = kept.collect()
+    assert all([r[n] for n in own] == list(range(len(own))) for r in rows) and sorted(str(r["doc_id"]) for r in rows) == ["1", "2", "4", "None"]

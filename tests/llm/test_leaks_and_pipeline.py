@@ -196,16 +196,19 @@ def test_pipeline_stages(spark, small):
     assert whole.select("doc_id", "n_tokens").exceptAll(docs.select("doc_id", "n_tokens")).isEmpty() and whole.count() == counts[5]
 
 
+OWN = ("score", "label", "blocks", "n_lines", "item_id", "bands", "c", "n", "_d", "_h", "_again", "_toxicity", "_own_blocks", "row", "_s", "_scored")
+
+
 def test_pipeline_with_odd_rows(spark, docs, tmp_path):
     odd = docs((1, None), (2, ""), (None, "some words that stand here alone for once"), (3, A), (3, A), (4, "x" * 50_000)).withColumn("extra", F.lit(1)).withColumn("ids", F.lit("clash"))
-    for name in ("score", "label", "blocks", "n_lines", "item_id", "bands", "c", "n"):
+    for name in OWN:
         odd = odd.withColumn(name, F.lit(f"own {name}"))
     odd.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, A)], ITEMS).write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((str(r["doc_id"]), r["text"] and len(r["text"])) for r in out) == [("1", None), ("2", ""), ("4", 50_000), ("None", 41)] and all(r["round_trip"] for r in out)
-    assert all(r[n] == f"own {n}" for r in out for n in ("score", "label", "blocks", "n_lines", "item_id", "bands", "c", "n"))
+    assert all(r[n] == f"own {n}" for r in out for n in OWN)
     empty = tmp_path / "empty"
     odd.limit(0).write.parquet(str(empty / "documents.parquet"))
     for t in ("labels", "benchmark"):
