@@ -18,6 +18,7 @@ from .operators import classify as C
 from .operators import ingest as I
 from .operators import ledger as L
 from .operators import reports as R
+from .operators import versions as V
 from .operators.snapshot import materialize
 from .operators.store import Store, deletes, upserts
 from .operators.validate import infer_and_check
@@ -170,6 +171,16 @@ class Ledger:
         merged["kind"] = F.coalesce("kind", "_kind")
         self.update(infer_and_check(both.withColumns(merged), self.ws.today()).select(*schema.INVOICE.fieldNames()), False)
 
+    def rescan_all(self, found: DataFrame, qr: extract.QrDecoder | None = None) -> DataFrame:
+        """Reads the files of many stored invoices again; (id, decisions, changed) of each. What changed wants review, in one commit."""
+        fresh = extract.extract(found, self.ws.today(), qr).drop("id")
+        ids = self.rows().select("id", "source_path")
+        read = materialize(fresh.join(ids, "source_path").select(*schema.INVOICE.fieldNames()))
+        stored = self.ws.invoices.read_keys(read).select(*schema.INVOICE.fieldNames())
+        merged = materialize(V.merge_versions(stored, read, self.ws.today()))
+        self.update(merged.where("changed").select(*schema.INVOICE.fieldNames()), False)
+        return merged.select("id", "decisions", "changed")
+
     def suggest_category(self, id_: int, reply_fn: Callable[[str], str]) -> dict:
         """A model's category for one invoice and the rule that would make it permanent; nothing is stored."""
         described = self.get(id_).withColumn("_d", replies.describe())

@@ -12,15 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..schema import COUNT_BAR as BAR
+from ..schema import COUNT_CATEGORIES as CATEGORIES
+from ..schema import COUNT_KEYS as KEYS
+from ..schema import COUNT_REPORTS as REPORTS
 from .ledger import stored_needs_review
 from .snapshot import materialize
 from .store import BucketTable, Manifest, Store, deletes, upserts
 
-KEYS = StructType.fromDDL("dedup_key string, n bigint")
-CATEGORIES = StructType.fromDDL("category_s string, n bigint, total_cents bigint, tax_cents bigint")
-REPORTS = StructType.fromDDL("report_id bigint, n bigint, total_cents bigint")
-BAR = StructType.fromDDL("name string, n bigint, review bigint, duplicates bigint, total_cents bigint")
-
 
 class Counts:
     """The counts of a store's invoices and report lines; made before the first change, it follows every one."""

@@ -10,12 +10,11 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.text import fold_ascii, like_ascii
+from ..schema import POSTING
 from .store import BucketTable, Store
 
-POSTING = StructType.fromDDL("gram string, id bigint")
 COLUMNS = ["number_s", "seller_s", "buyer_s"]
 #: Trigrams of a needle whose postings are read.
 GRAMS = 3

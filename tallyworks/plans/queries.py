@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..api import Workspace
 from ..functions import dates, fields, kinds, money, prose, qr, text
-from ..operators import classify, counts, ingest, ordering, reports, search, selection, validate
+from ..operators import classify, counts, ingest, ordering, reports, search, selection, validate, versions
 from ..operators import ledger as L
 from ..operators.snapshot import materialize, shared_dir
 from ..operators.store import Store, deletes, upserts
@@ -963,3 +963,46 @@ def save_invoices(spark, sf_dir):
     ws.ledger.save(rows.where("id % 2 = 0"), ("query", 0))
     again = rows.withColumn("source_path", F.concat(F.lit("/in2/"), F.col("id").cast("string")))
     return ws.ledger.save(rows.unionByName(again), ("query", 1))
+
+
+# --- versions --------------------------------------------------------------------------------------
+
+
+def _reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' invoices as another reading: better, worse and equal sources, some values gone."""
+    k, own = F.col("id"), A.invoices(spark, sf_dir)
+    return own.withColumns({
+        "number": fields.make_field(F.when(k % 3 == 0, F.lpad((k + 1).cast("string"), 20, "0")), "xml"),
+        "issued_on": fields.make_field(F.when(k % 5 != 0, F.lit("2024-02-01")), "qrCode"),
+        "tax": fields.make_field(F.when(k % 9 != 0, k), "pdfText"),
+        "total": fields.make_field(F.when(k % 8 != 0, k * 2), "vision", F.when(k % 2 == 0, 0.5).otherwise(0.875)),
+        "items": F.array().cast(own.schema["items"].dataType),
+        "seller_name": fields.make_field(F.lit("新读"), "manual"),
+    })
+
+
+_WON = "CASE WHEN {o} IS NULL AND {n} IS NULL THEN 'old none' WHEN {o} IS NULL THEN 'new only' WHEN {n} IS NULL THEN 'old only' ELSE {both} END"
+_DECIDED = {
+    "number": ("number", "CASE WHEN id % 3 = 0 THEN 1 END", "'new rank'"), "issued_on": ("issued_on", "CASE WHEN id % 5 <> 0 THEN 1 END", "'old rank'"), "tax": ("tax", "CASE WHEN id % 9 <> 0 THEN 1 END", "'old tie'"),
+    "total": ("total", "CASE WHEN id % 8 <> 0 THEN 1 END", "CASE WHEN id % 2 = 0 THEN 'old confidence' ELSE 'new confidence' END"), "seller_name": ("seller", "1", "'new rank'"), "amount_excl_tax": ("net", "net", "'old tie'"), "remark": ("NULL", "NULL", "''"),
+}
+
+
+@query(
+    f"WITH {INVOICES} " + " UNION ALL ".join(f"SELECT id, '{f}' AS field, split_part(d, ' ', 1) AS won, split_part(d, ' ', 2) AS why FROM (SELECT id, {_WON.format(o=o, n=n, both=b)} AS d FROM inv)" for f, (o, n, b) in _DECIDED.items())
+)
+def rescan_decisions(spark, sf_dir):
+    merged = versions.merge_versions(A.invoices(spark, sf_dir), _reread(spark, sf_dir), TODAY)
+    return merged.select("id", F.inline("decisions")).where(F.col("field").isin(*_DECIDED))
+
+
+@query(
+    f"""WITH {INVOICES}, m AS (SELECT id, net, CASE WHEN id % 3 = 0 THEN lpad((id + 1)::VARCHAR, 20, '0') ELSE number END AS number, coalesce(issued_on, CASE WHEN id % 5 <> 0 THEN '2024-02-01' END) AS issued_on,
+    coalesce(tax, CASE WHEN id % 9 <> 0 THEN id END) AS tax, CASE WHEN id % 8 <> 0 AND (id % 2 = 1 OR total IS NULL) THEN id * 2 ELSE total END AS total FROM inv),
+    d AS (SELECT id, number, issued_on, CASE WHEN net IS NULL THEN total - tax ELSE net END AS net, CASE WHEN tax IS NULL THEN total - net ELSE tax END AS tax, CASE WHEN total IS NULL THEN net + tax ELSE total END AS total FROM m)
+    SELECT id, number, issued_on, net, tax, total, (CASE WHEN net + tax <> total THEN 1 ELSE 0 END) + (CASE WHEN number IS NULL THEN 1 ELSE 0 END) + (CASE WHEN issued_on IS NULL THEN 1 ELSE 0 END) + (CASE WHEN total IS NULL THEN 1 ELSE 0 END) AS issues, true AS changed FROM d"""
+)
+def rescan_merged(spark, sf_dir):
+    merged = versions.merge_versions(A.invoices(spark, sf_dir), _reread(spark, sf_dir), TODAY)
+    value = lambda n, to: F.col(f"{n}.value").alias(to)
+    return merged.select("id", value("number", "number"), value("issued_on", "issued_on"), value("amount_excl_tax", "net"), value("tax", "tax"), value("total", "total"), F.size("issues").alias("issues"), "changed")

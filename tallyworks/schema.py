@@ -128,6 +128,18 @@ LEDGER = T.StructType(
 )
 #: Which invoice a file became.
 FILE_HASH = T.StructType([T.StructField("file_hash", T.StringType()), T.StructField("id", T.LongType())])
+
+
+def columns(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+
+
+#: Counts that follow the ledger, and the postings of its search.
+COUNT_KEYS = columns(dedup_key=T.StringType(), n=T.LongType())
+COUNT_CATEGORIES = columns(category_s=T.StringType(), n=T.LongType(), total_cents=T.LongType(), tax_cents=T.LongType())
+COUNT_REPORTS = columns(report_id=T.LongType(), n=T.LongType(), total_cents=T.LongType())
+COUNT_BAR = columns(name=T.StringType(), n=T.LongType(), review=T.LongType(), duplicates=T.LongType(), total_cents=T.LongType())
+POSTING = columns(gram=T.StringType(), id=T.LongType())
 REPORT = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("title", "applicant", "department", "note", "created_at"))])
 REPORT_INVOICE = T.StructType([T.StructField("report_id", T.LongType()), T.StructField("invoice_id", T.LongType()), T.StructField("position", T.IntegerType())])
 SETTING = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
