@@ -1006,3 +1006,142 @@ def rescan_merged(spark, sf_dir):
     merged = versions.merge_versions(A.invoices(spark, sf_dir), _reread(spark, sf_dir), TODAY)
     value = lambda n, to: F.col(f"{n}.value").alias(to)
     return merged.select("id", value("number", "number"), value("issued_on", "issued_on"), value("amount_excl_tax", "net"), value("tax", "tax"), value("total", "total"), F.size("issues").alias("issues"), "changed")
+
+
+# --- every shape of an input -----------------------------------------------------------------------
+
+#: Invoices of four kinds whose numbers are right, short, long or missing, with dates that are real, impossible, to come or missing, and sums that don't add up.
+_ODD = """odd AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'digitalSpecial' WHEN 1 THEN 'vatSpecial' WHEN 2 THEN 'train' END AS kind,
+  CASE o_orderkey % 6 WHEN 0 THEN lpad(o_custkey::VARCHAR, 20, '0') WHEN 1 THEN lpad(o_custkey::VARCHAR, 8, '0') WHEN 2 THEN '1234567' WHEN 3 THEN '号码12345678' WHEN 4 THEN '' END AS number,
+  CASE o_orderkey % 9 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN '2024-13-45' WHEN 2 THEN '2024-02-30' WHEN 3 THEN '2031-01-01' WHEN 4 THEN '2024/01/05' WHEN 5 THEN '2023-02-29' WHEN 6 THEN '' WHEN 7 THEN '2024-3-5' END AS issued_on,
+  CASE WHEN o_orderkey % 5 <> 0 THEN round(o_totalprice * 100)::BIGINT END AS net, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS tax,
+  CASE WHEN o_orderkey % 8 <> 0 THEN round(o_totalprice * 100)::BIGINT + o_custkey - o_orderkey % 3 END AS total FROM orders),
+  days AS (SELECT *, CASE WHEN regexp_full_match(issued_on, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') THEN try_strptime(issued_on, '%Y-%-m-%-d')::DATE END AS day, CASE kind WHEN 'digitalSpecial' THEN 20 WHEN 'vatSpecial' THEN 8 END AS wanted, strlen(number) AS size FROM odd)"""
+
+
+def _odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    pick = lambda n, table_: F.coalesce(*[F.when(k % n == m, v if isinstance(v, Column) else F.lit(v)) for m, v in table_.items()])
+    cust = F.col("o_custkey").cast("string")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"), pick(4, {0: "digitalSpecial", 1: "vatSpecial", 2: "train"}).alias("kind"),
+        pick(6, {0: F.lpad(cust, 20, "0"), 1: F.lpad(cust, 8, "0"), 2: "1234567", 3: "号码12345678", 4: ""}).alias("number"),
+        pick(9, {0: F.date_format("o_orderdate", "yyyy-MM-dd"), 1: "2024-13-45", 2: "2024-02-30", 3: "2031-01-01", 4: "2024/01/05", 5: "2023-02-29", 6: "", 7: "2024-3-5"}).alias("issued_on"),
+        F.when(k % 5 != 0, cents).alias("net"), F.when(k % 7 != 0, F.col("o_custkey")).alias("tax"), F.when(k % 8 != 0, cents + F.col("o_custkey") - k % 3).alias("total"),
+    )
+
+
+_YEN = "CASE WHEN {0} < 0 THEN '-¥' ELSE '¥' END || (abs({0}) // 100)::VARCHAR || '.' || lpad((abs({0}) % 100)::VARCHAR, 2, '0')"
+
+
+@query(
+    f"""WITH {_ODD}, i AS (SELECT id, unnest(list_filter([
+      CASE WHEN net + tax <> total THEN {{'e': true, 'kind': 'totalMismatch', 'message': '价税合计对不上：金额+税额=' || {_YEN.format("(net + tax)")} || '，票面=' || {_YEN.format("total")}}} END,
+      CASE WHEN number IS NULL THEN {{'e': false, 'kind': 'missingField', 'message': '缺少发票号码'}} END, CASE WHEN issued_on IS NULL THEN {{'e': false, 'kind': 'missingField', 'message': '缺少开票日期'}} END,
+      CASE WHEN total IS NULL THEN {{'e': false, 'kind': 'missingField', 'message': '缺少价税合计'}} END,
+      CASE WHEN size <> wanted THEN {{'e': false, 'kind': 'numberLength', 'message': '发票号码位数异常：' || size || ' 位，应为 ' || wanted || ' 位'}} END,
+      CASE WHEN issued_on IS NOT NULL AND day IS NULL THEN {{'e': true, 'kind': 'badDate', 'message': '开票日期无法识别：' || issued_on}}
+        WHEN day > DATE '2024-03-15' THEN {{'e': false, 'kind': 'futureDate', 'message': '开票日期晚于今天：' || issued_on}} END], lambda x: x IS NOT NULL)) AS i FROM days)
+    SELECT id, i.kind AS kind, i.message AS message, i.e AS is_error FROM i"""
+)
+def all_issues(spark, sf_dir):
+    rows = _odd(spark, sf_dir)
+    issues = validate.check(TODAY, *(F.col(c) for c in ("kind", "number", "issued_on", "net", "tax", "total")))
+    return rows.select("id", F.explode(issues).alias("i")).select("id", "i.kind", prose.issue_message(F.col("i")).alias("message"), prose.is_error(F.col("i")).alias("is_error"))
+
+
+@query(f"WITH {INVOICES} SELECT id, {A.RULE_CATEGORY} AS category, {A._rule_case(lambda at, _: f"(SELECT name FROM names WHERE spot = {at})")} AS rule FROM inv".replace(f"WITH {INVOICES}", f"WITH names AS (SELECT spot, CASE field {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in classify.MATCH_FIELDS.items())} END || '：' || words AS name FROM (VALUES {', '.join(f"({k}, '{f}', '{'、'.join(w)}')" for k, (_, _, f, w) in enumerate(classify.SEEDS))}) AS v(spot, field, words)), {INVOICES}", 1))
+def classify_rule_names(spark, sf_dir):
+    return classify.classify(A.invoices(spark, sf_dir), _seeds(spark)).select("id", "category", F.col("category_rule").alias("rule"))
+
+
+_MAGIC = {0: ("25504446", "pdf"), 1: ("89504E470D0A1A0A", "image"), 2: ("FFD8FF", "image"), 3: ("EFBBBF3C3F786D6C", "xml"), 4: ("3C45496E766F696365", "xml"), 5: ("52494646", "unknown"), 6: ("4749463839", "unknown"), 7: ("", "unknown"), 8: ("504B0304", "zip"), 9: ("424D", "image"), 10: ("4D4D002A", "image")}
+_TAILS = {0: ("", ""), 1: (".PDF", "pdf"), 2: (".jpeg", "image"), 3: (".ofd", "ofd"), 4: (".xml.txt", "")}
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, CASE page_id % 11 {' '.join(f"WHEN {k} THEN '{v}'" for k, (_, v) in _MAGIC.items())} END AS found, CASE page_id % 5 {' '.join(f"WHEN {k} THEN '{v}'" for k, (_, v) in _TAILS.items())} END AS ending FROM pages),
+    k AS (SELECT page_id, CASE WHEN found = 'unknown' AND ending <> '' THEN ending ELSE found END AS file_kind FROM p)
+    SELECT page_id, file_kind, CASE file_kind {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in FILE_KINDS.items())} END AS label FROM k"""
+)
+def detect_magic(spark, sf_dir):
+    """Pages behind the first bytes of files: known ones decide, others leave it to the ending."""
+    k = F.col("page_id")
+    head = F.unhex(F.coalesce(*[F.when(k % 11 == m, F.lit(h)) for m, (h, _) in _MAGIC.items()]))
+    path = F.concat(F.lit("/in/"), k.cast("string"), F.coalesce(*[F.when(k % 5 == m, F.lit(e)) for m, (e, _) in _TAILS.items()]))
+    rows = table(spark, sf_dir, "pages").select("page_id", files.detect(F.concat(head, F.lit(" ").cast("binary"), F.col("html").cast("binary")), path).alias("file_kind"))
+    return rows.select("page_id", "file_kind", F.coalesce(*[F.when(F.col("file_kind") == k, F.lit(v)) for k, v in FILE_KINDS.items()]).alias("label"))
+
+
+# --- rules made from the parts ---------------------------------------------------------------------
+
+_PART_RULES = f"{_RULES_SQL}, pr AS (SELECT rid AS id, 'C' || (rid % 50) AS category, rid % 7 AS priority, rid % 3 <> 0 AS enabled, a, b, c FROM rules)"
+
+
+def _switched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_rules(spark, sf_dir).withColumn("enabled", F.col("id") % 3 != 0)
+
+
+@query(f"WITH {_PART_RULES} SELECT DISTINCT category FROM pr UNION SELECT '{UNCATEGORISED}'")
+def part_rule_categories(spark, sf_dir):
+    return classify.rule_categories(_switched(spark, sf_dir))
+
+
+@query(f"WITH {_PART_RULES} SELECT count(*) FILTER (NOT enabled) AS disabled FROM pr")
+def part_rules_disabled(spark, sf_dir):
+    return classify.disabled_count(_switched(spark, sf_dir))
+
+
+@query(f"WITH {_PART_RULES} SELECT category, string_agg(id::VARCHAR, ',' ORDER BY priority DESC, id) AS ids FROM pr GROUP BY 1")
+def part_rule_groups(spark, sf_dir):
+    return classify.group_by_category(_switched(spark, sf_dir)).select("category", joined(F.transform("rules", lambda r: r["id"])).alias("ids"))
+
+
+@query(f"WITH {_PART_RULES} SELECT row_number() OVER (ORDER BY priority DESC, id) - 1 AS position, id FROM pr")
+def part_rules_ordered(spark, sf_dir):
+    return ordering.positions(_switched(spark, sf_dir).select("id", "priority"), [F.desc("priority"), F.asc_nulls_last("id")]).select("position", "id")
+
+
+@query(f"WITH {_PART_RULES} SELECT id, '项目名称 包含 ' || a || ' 并且 销售方名称 包含 ' || b || ' 并且 项目名称 包含 ' || c AS described, '项目名称：' || a || ' 等 3 项条件' AS name, id % 2 = 0 AS auto FROM pr")
+def part_rule_prose(spark, sf_dir):
+    own = _switched(spark, sf_dir)
+    name = prose.default_rule_name(F.col("conditions"))
+    typed = F.when(F.col("id") % 2 == 0, F.concat(F.lit(" "), name, F.lit("\u3000"))).otherwise(F.col("name"))
+    return own.select("id", prose.describe_rule(F.col("conditions")).alias("described"), name.alias("name"), prose.is_auto_name(typed, F.col("conditions")).alias("auto"))
+
+
+@query(f"WITH {_PART_RULES} SELECT id FROM pr WHERE id % 4 = 0")
+def part_rules_missing(spark, sf_dir):
+    own = _part_rules(spark, sf_dir)
+    left = own.where("id % 4 <> 0").withColumn("priority", F.col("priority") + 1)  # another priority is still the same rule
+    return classify.missing_defaults(own, left).select("id")
+
+
+_BAND_SQL = " ".join([f"WHEN v > 200 THEN '高于全部内置规则（最高 200），会盖过更可靠的税收分类简称规则'"] + [f"WHEN v = {v} THEN '与内置的「{a}」同档：{h}'" for v, a, h in prose.BANDS] + [f"WHEN v < {a[0]} AND v > {b[0]} THEN '介于「{b[1]}」({b[0]}) 和「{a[1]}」({a[0]}) 之间'" for a, b in zip(prose.BANDS, prose.BANDS[1:])])
+
+
+@query(f"SELECT id, CASE {_BAND_SQL} ELSE '低于全部内置规则，只有在没有别的规则命中时才轮得到它' END AS note, v > 200 AS warn FROM (SELECT p_partkey AS id, p_partkey % 250 AS v FROM part)")
+def priority_notes_whole(spark, sf_dir):
+    note = prose.priority_note(F.col("v"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 250).alias("v")).select("id", note["text"].alias("note"), note["warn"].alias("warn"))
+
+
+@query(
+    """SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN '请先选择或填写费用类别' WHEN p_partkey % 7 = 0 THEN '至少要有一个条件：没有条件的规则会匹配所有发票，因此会被直接忽略'
+    WHEN p_partkey % 3 = 0 THEN '每个条件都要至少填一个关键词，否则这条规则永远不会命中' WHEN p_partkey % 2 = 1 THEN '优先级必须是整数' END AS problem FROM part"""
+)
+def rule_drafts(spark, sf_dir):
+    k = F.col("p_partkey")
+    blank = F.array().cast("array<string>")
+    condition = F.struct(F.lit("itemName").alias("field"), F.when(k % 3 == 0, blank).otherwise(F.array("p_name")).alias("keywords"))
+    conditions = F.when(k % 7 == 0, F.array().cast("array<struct<field: string, keywords: array<string>>>")).otherwise(F.array(condition))
+    problem = prose.validate_draft(F.when(k % 5 == 0, F.lit(" \u3000")).otherwise(F.col("p_type")), conditions, k / 2)
+    return table(spark, sf_dir, "part").select(k.alias("id"), problem.alias("problem"))
+
+
+@query(f"WITH {LEDGER}, {BRIDGE}, {_KEYS} SELECT l.id, number_s AS number FROM ledger l WHERE number_s IN (SELECT number_s FROM bridge JOIN ledger m ON m.id = invoice_id JOIN keys USING (dedup_key) WHERE report_id = 6 AND len(ids) > 1)")
+def picked_duplicates(spark, sf_dir):
+    rows = A.ledger(spark, sf_dir)
+    named = reports.duplicates_of_report(reports.report_invoices(A.bridge(spark, sf_dir), rows, 6), rows)
+    return reports.picked_duplicates(rows.select("id", F.col("number_s").alias("number")), named)
