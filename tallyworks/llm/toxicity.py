@@ -45,8 +45,6 @@ from .common import free_name, held_out, labelled_sample, table, worker_cache
 
 #: Most labelled training rows that the model is fitted on.
 SAMPLE = 10_000
-#: Most terms of the lexicon.
-TERMS = 3_000
 #: Words on each side of a match.
 WINDOW = 4
 #: Word verdicts that a worker remembers at a time.
@@ -245,7 +243,7 @@ def learn_terms(rows: list[tuple[str | None, int]]) -> tuple[list[str], list[flo
                     seen.add(w)
                     near[w].add((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
     apart = lambda w: len(near[w]) >= max(LEAST_ROWS, min(0.5 * by[1][w], ENOUGH_CONTEXTS))
-    found = sorted(x for x in found if apart(x[1]))[:TERMS]
+    found = sorted(x for x in found if apart(x[1]))
     stems = learn_stems(rows, by[1], by[0], n)
     return [w for _, w, _ in found] + [f"{p}*" for p in stems], [o for _, _, o in found] + list(stems.values()), by[1], by[0]
 
