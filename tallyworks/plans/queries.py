@@ -1145,3 +1145,64 @@ def picked_duplicates(spark, sf_dir):
     rows = A.ledger(spark, sf_dir)
     named = reports.duplicates_of_report(reports.report_invoices(A.bridge(spark, sf_dir), rows, 6), rows)
     return reports.picked_duplicates(rows.select("id", F.col("number_s").alias("number")), named)
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, c_name, round(o_totalprice * 100)::BIGINT AS cents, o_orderkey % 11 <> 0 AS there FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT k AS id, CASE WHEN there THEN CASE k % 5 WHEN 0 THEN lpad(k::VARCHAR, 20, '0') WHEN 1 THEN lpad(c::VARCHAR, 8, '0') END END AS number,
+    CASE WHEN there THEN CASE k % 4 WHEN 0 THEN lpad(k::VARCHAR, 10, '0') WHEN 1 THEN lpad(k::VARCHAR, 12, '0') END END AS code, CASE WHEN there AND k % 3 = 0 THEN lpad(k::VARCHAR, 20, '0') END AS check_code,
+    CASE WHEN there AND k % 7 < 3 THEN '2023-08-' || lpad((k % 28 + 1)::VARCHAR, 2, '0') END AS issued_on, CASE WHEN there THEN replace(c_name, ' ', '') END AS buyer, CASE WHEN there THEN '销方' || k END AS seller,
+    CASE WHEN there THEN '91310115MA1K3X' || lpad((c % 10000)::VARCHAR, 4, '0') END AS buyer_id, CASE WHEN there AND k % 2 = 1 THEN '9131' || lpad(k::VARCHAR, 16, '0') END AS seller_id,
+    CASE WHEN there AND k % 4 <> 3 THEN cents END AS net, CASE WHEN there AND k % 4 <> 3 THEN c + 1000 END AS tax, CASE WHEN there AND k % 3 < 2 THEN cents END AS total,
+    (CASE WHEN NOT there OR k % 3 = 2 THEN 0 WHEN k % 3 = 0 THEN 0.9::FLOAT ELSE 0.8::FLOAT END)::DOUBLE AS total_confidence FROM o"""
+)
+def text_shapes(spark, sf_dir):
+    """Every label in its right, wrong and missing forms, parties in either order or unmarked, pages that are null."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    text_of = lambda x, n=0: F.lpad(x.cast("string"), n, "0") if n else x.cast("string")
+    line = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("\n"))
+    pick = lambda n, *forms: functools.reduce(lambda out, m: out.when(k % n == m, forms[m]), range(1, len(forms)), F.when(k % n == 0, forms[0])).otherwise("")
+    amount = lambda x: F.replace(money.format_money(x), F.lit("¥"), F.lit(""))
+    cents, day, long_ = F.round(F.col("o_totalprice") * 100).cast("long"), text_of(k % 28 + 1), text_of(k, 20)
+    number = pick(5, line("发票号码：", long_), line("发 票 号 码 :", F.regexp_replace(text_of(cust, 8), "(..)", "$1 ")), line("发票号码：", text_of(k, 9)), line("发票号码：未知"))
+    code = pick(4, line("发票代码：", text_of(k, 10)), line("发票代码 ", text_of(k, 12)), line("发票代码:", text_of(k, 11)))
+    check = pick(3, line("校 验 码 ", F.regexp_replace(long_, "(.{5})", "$1 ")), line("校验码:", text_of(k, 19)))
+    date = pick(
+        7, line("开票日期：2023 年 8 月 ", day, "日"), line("开票日期: 2023-08-", day), line("开票日期：2023/8/", day), line("开票日期：2023年13月1日"), line("开票日期：2023年8月32日"), F.lit(""), line("开票日期：", day, ".8.2023")
+    )
+    buyer_id = F.concat(F.lit("91310115MA1K3X"), text_of(cust % 10000, 4))
+    seller_id = F.when(k % 2 == 1, F.concat(F.lit("9131"), text_of(k, 16))).otherwise("91310115MA1K3X")
+    buyer = lambda mark: line(mark, "名称：", F.col("c_name"), "\n纳税人识别号：", buyer_id, "\n地址：一")
+    seller = lambda mark: line(mark, "名 称：销方", text_of(k), "\n统一社会信用代码/纳税人识别号：", seller_id, "\n开户行：二")
+    parties = pick(3, F.concat(buyer("购买方 "), seller("销售方信息 ")), F.concat(seller("销售方 "), buyer("购买方信息 ")), F.concat(buyer(""), seller("")))
+    sums = F.when(k % 4 == 3, line("合计 ¥", text_of(cust), ".5 ¥1.00")).otherwise(line("合 计 ￥", amount(cents), " ￥ ", amount(cust + 1000)))
+    total = pick(3, line("价税合计（大写）壹圆整 （小写）￥", amount(cents)), line("价 税 合 计： ￥ ", amount(cents)))
+    page = F.when(k % 11 != 0, F.concat(number, code, check, date, parties, sums, total))
+    pages, p = text.parse_text(o.join(c, o["o_custkey"] == c["c_custkey"]).withColumn("page", page), F.col("page"))
+    names = {"number": "number", "code": "code", "check_code": "check_code", "issued_on": "issued_on", "buyer": "buyer_name", "seller": "seller_name", "buyer_id": "buyer_tax_id", "seller_id": "seller_tax_id", "net": "amount_excl_tax", "tax": "tax", "total": "total"}
+    return pages.select(k.alias("id"), *[p[n]["value"].alias(to) for to, n in names.items()], p["total"]["confidence"].cast("double").alias("total_confidence"))
+
+
+_CODES = [*kinds.QR_CODES, "99", ""]
+
+
+@query(
+    f"""WITH q AS (SELECT o_orderkey AS id, o_orderkey % {len(_CODES)} AS c, o_orderkey % 8 AS s, round(o_totalprice * 100)::BIGINT AS cents FROM orders)
+    SELECT id, CASE WHEN s IN (0, 1, 2, 3) THEN lpad(id::VARCHAR, 20, '0') END AS number, CASE WHEN s IN (0, 3) THEN '2023-08-' || lpad((id % 28 + 1)::VARCHAR, 2, '0') END AS issued_on,
+    CASE WHEN s IN (0, 2, 3) THEN cents END AS amount_cents, CASE WHEN s < 4 THEN CASE c {' '.join(f"WHEN {k} THEN '{kinds.QR_CODES[c]}'" for k, c in enumerate(_CODES) if c in kinds.QR_CODES)} END END AS kind FROM q"""
+)
+def qr_shapes(spark, sf_dir):
+    """Payloads of every kind code: whole, with a bad date or amount, cut short, of another version, not of this kind, blank and null."""
+    k = F.col("o_orderkey")
+    code = F.get(F.array(*map(F.lit, _CODES)), (k % len(_CODES)).cast("int"))
+    number, day = F.lpad(k.cast("string"), 20, "0"), F.lpad((k % 28 + 1).cast("string"), 2, "0")
+    amount = money.to_decimal_string(F.round(F.col("o_totalprice") * 100).cast("long"))
+    listed = lambda money_, date: F.concat_ws(",", F.lit("01"), code, F.lit(""), number, money_, date, F.lit(""), F.lit("AB12"), F.lit(""))
+    whole = F.concat(F.lit("202308"), day)
+    payload = (
+        F.when(k % 8 == 0, listed(amount, whole)).when(k % 8 == 1, listed(F.lit("abc"), F.lit("20231345"))).when(k % 8 == 2, listed(amount, F.lit(""))).when(k % 8 == 3, listed(F.concat(F.lit(" "), amount), whole))
+        .when(k % 8 == 4, F.lit("just text, with a comma")).when(k % 8 == 5, F.lit("")).when(k % 8 == 6, F.lit("https://example.invalid/?a=1&b=2"))
+    )
+    read = qr.with_reading(table(spark, sf_dir, "orders").select("o_orderkey", payload.alias("payload")), F.col("payload"), "q")
+    return read.select(k.alias("id"), *[F.col("q")[n].alias(n) for n in ("number", "issued_on", "amount_cents", "kind")])
