@@ -23,8 +23,10 @@ Items shorter than a window are matched by one window of their own length; those
 under ``SHORTEST`` tokens only by their real values, and one-token items only by
 documents that are nothing else.
 
-Documents are read once for the hashes, which carry no text, and the few that
-meet a window once more for its values.
+Documents are read once for the hashes, which carry no text. They meet an item only
+through its telling windows, the rarest ones of which every leak must hold one, so a
+phrase that many items share makes no pairs of documents and items. The few documents
+that meet an item are read once more for its other windows and their values.
 
 Edge cases: null and empty texts match nothing; items are
 one item where id and text are equal, so each text of a repeated id is searched
@@ -37,7 +39,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, row_key, table
@@ -183,23 +185,49 @@ def _one_to_one(pairs: Column) -> Column:
     return (n == F.size(F.array_distinct(pairs["i"]))) & (n == F.size(F.array_distinct(pairs["v"])))
 
 
+def telling_windows(windows: DataFrame, coverage: float, long: int) -> DataFrame:
+    """(_w, _length, _ik): of each item the windows of which every leak holds one at least.
+
+    A leak holds some number of the item's windows, so it holds one of the rarest all - number + 1. Rarest means shared by the fewest items:
+    a stock phrase of many items meets nobody unless an item consists of such. Windows of few words always tell, since
+    a whole item may be found through one of them alone.
+    """
+    shared = windows.groupBy("_w", "_length").agg(F.countDistinct("_ik").alias("_f"))
+    keys = windows.join(shared, ["_w", "_length"]).groupBy("_ik", "_key").agg(F.max("_f").alias("_f"), F.bool_or("_thin").alias("_few"), F.first("_windows").alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_ik").orderBy("_f", "_key"))
+    needed = F.greatest(F.lit(1), F.least(F.ceil(F.col("_all") * F.lit(coverage) - F.lit(1e-9)), F.lit(long)))
+    front = keys.withColumn("_place", place).where((F.col("_place") <= F.col("_all") - needed + 1) | F.col("_few")).select("_ik", "_key")
+    return materialize(windows.join(front, ["_ik", "_key"], "left_semi").select("_w", "_length", "_ik").distinct(), "front")
+
+
+def _doc_windows(texts: DataFrame, lengths: list[int], raw: bool) -> DataFrame:
+    """(_d, _h, _length, _at, _w) of every place and reading of the texts."""
+    exploded = _all_windows(texts.select("_d", "_h", tokens(F.col("_text")).alias("_t")), lengths, raw)
+    # every other reading only where it differs from all before it
+    reads = [F.get("_read", F.lit(k)) for k in range(len(READINGS) + raw)]
+    other = [F.when(~r.isin(reads[:k]), r) if k else r for k, r in enumerate(reads)]
+    return exploded.select("_d", "_h", "_length", "_at", F.explode(F.array(*other)).alias("_w")).where("_w is not null")
+
+
 def find_leaks(
     docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item: str = "item_id", item_text: str = "text",
     window: int = WINDOW, coverage: float = COVERAGE, long: int = LONG, consistent: float = CONSISTENT,
 ) -> DataFrame:
     """(_d, _h, item, n_windows, n_matched, coverage, slots, agreement, first_at) of every leak."""
     windows, items, lengths, raw = benchmark_windows(bench, item, item_text, window)
+    windows = materialize(windows, "windows")
+    front = telling_windows(windows, coverage, long)
     if windows.count() <= BROADCAST:
-        windows, items = F.broadcast(windows), F.broadcast(items)
+        windows, items, front = F.broadcast(windows), F.broadcast(items), F.broadcast(front)
     d, h = row_key(docs, id_col, text_col)
     texts = docs.select(d.alias("_d"), h.alias("_h"), F.col(text_col).alias("_text"))
-    exploded = _all_windows(texts.select("_d", "_h", tokens(F.col("_text")).alias("_t")), lengths, raw)
-    # every other reading only where it differs from all before it
-    reads = [F.get("_read", F.lit(k)) for k in range(len(READINGS) + raw)]
-    other = [F.when(~r.isin(reads[:k]), r) if k else r for k, r in enumerate(reads)]
-    exploded = exploded.select("_d", "_h", "_length", "_at", F.explode(F.array(*other)).alias("_w")).where("_w is not null")
+    # what an item's telling windows meet, counts before any value or other window is looked at
+    pairs = materialize(_doc_windows(texts, lengths, raw).join(front, ["_w", "_length"]).select("_d", "_h", "_ik").distinct(), "pairs")
+    own = pairs.select("_d", "_h").distinct()
+    own = F.broadcast(own) if own.count() <= BROADCAST else own
+    again = _doc_windows(texts.join(own, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]), lengths, raw)
     line = F.col("_at") - F.col("_ip")
-    met = materialize(exploded.join(windows, ["_w", "_length"]).withColumn("_line", line), "met")
+    met = materialize(again.join(pairs.join(windows, "_ik"), ["_d", "_h", "_w", "_length"]).withColumn("_line", line), "met")
     # values are read from the documents met, each once; what is sliced is written, so no row carries a whole text
     keys = met.select("_d", "_h").distinct()
     if keys.count() <= BROADCAST:

@@ -172,6 +172,30 @@ def test_rows_and_native_plan(spark, docs, bench, monkeypatch):
     assert sorted((r["_d"], r["item_id"]) for r in D.find_leaks(df.where("doc_id is not null"), bench).collect()) == [(1, 1)]
 
 
+def test_a_phrase_of_many_items_makes_no_pairs(spark, docs, monkeypatch):
+    """n clean pages and n items share one stock phrase; items that consist of such phrases alone are still found."""
+    phrase = "which of the following statements about the topic below is most likely to be correct"
+    other = "please choose the single best answer from the list and explain briefly why you chose it"
+    letters = lambda k: "abcdefghij"[k // 10] + "abcdefghij"[k % 10]
+    own = lambda kind, k: " ".join(f"{kind}{letters(k)}q{letters(j)}" for j in range(16))
+    seen = {}
+
+    def counted(df, label="cut", rows_per_file=0):
+        out = materialize(df, label, rows_per_file)
+        seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(D, "materialize", counted)
+    sizes = []
+    for n in (20, 60):
+        bench = spark.createDataFrame([(k, f"{phrase} {own('item', k)}") for k in range(n)] + [(9_000, f"{phrase} {other}"), (9_001, f"{other} {phrase}")], ITEMS)
+        rows = [(k, f"{own('page', k)} {phrase} {own('tail', k)}") for k in range(n)] + [(5_000, f"intro {phrase} {own('item', 3)} outro"), (5_001, f"x {phrase} {other} y"), (5_002, f"{other} {own('z', 1)}")]
+        got = {(r["_d"], r["item_id"]) for r in D.find_leaks(docs(*rows), bench).collect()}
+        assert {(5_000, 3), (5_001, 9_000)} <= got and {d for d, _ in got} <= {5_000, 5_001, 5_002} and not {i for d, i in got if d == 5_000} - {3}
+        sizes.append(seen["met"])
+    assert sizes[1] < 20 * 60 and sizes[1] <= 4 * sizes[0]
+
+
 def test_query_against_plain_search(spark, small):
     rows = D.op1_decontaminate(spark, small).collect()
     words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
