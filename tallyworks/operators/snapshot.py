@@ -1,18 +1,12 @@
-"""Tables as numbered Parquet snapshots: a write makes a new one, readers take the newest that is whole.
-
-No path is overwritten while it is read. One writer at a time; ids never come back because the highest
-one ever given is kept beside the table's rows in its version's name.
-"""
+"""Tables in the folder that driver and executors share: intermediate results that cut lineage and survive lost executors."""
 
 from __future__ import annotations
 
-import re
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def _fs(spark: SparkSession, path: str):
@@ -32,49 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write and read again in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/ledger-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class SnapshotTable:
-    """path/v<version>-<last id>/ holds one snapshot."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+    except Exception:  # the session may have ended, and its folder with it
+        pass
 
-    def versions(self) -> list[tuple[int, int]]:
-        """(version, last id) of whole snapshots, oldest first."""
-        fs, p = _fs(self.spark, self.path)
-        if not fs.exists(p):
-            return []
-        found = []
-        for s in fs.listStatus(p):
-            m = re.fullmatch(r"v(\d+)-(\d+)", s.getPath().getName())
-            if m and fs.exists(_fs(self.spark, f"{self.path}/{m[0]}/_SUCCESS")[1]):
-                found.append((int(m[1]), int(m[2])))
-        return sorted(found)
 
-    @property
-    def last_id(self) -> int:
-        v = self.versions()
-        return v[-1][1] if v else 0
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder for something of one run; it goes when the Python process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
 
-    def read(self) -> DataFrame:
-        v = self.versions()
-        if not v:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v[-1][0]}-{v[-1][1]}")
 
-    def write(self, rows: DataFrame, last_id: int | None = None, keep: int = 2) -> None:
-        """A new snapshot; all but the newest ``keep`` go."""
-        v = self.versions()
-        version = v[-1][0] + 1 if v else 1
-        last = max(self.last_id, last_id or 0)
-        cast = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
-        cast.write.parquet(f"{self.path}/v{version}-{last}")
-        for old, id_ in v[: len(v) + 1 - keep]:
-            fs, p = _fs(self.spark, f"{self.path}/v{old}-{id_}")
-            fs.delete(p, True)
+def materialize(df: DataFrame) -> DataFrame:
+    """Write and read again in the shared folder."""
+    path = scratch(df.sparkSession, "ledger")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,7 @@ from ..api import Workspace
 from ..functions import dates, fields, kinds, money, prose, qr, text
 from ..operators import classify, counts, ingest, ordering, reports, search, selection, validate, versions
 from ..operators import ledger as L
-from ..operators.snapshot import materialize, shared_dir
+from ..operators.snapshot import materialize, scratch
 from ..operators.store import Store, deletes, upserts
 from ..schema import FILE_KINDS, REPORT_INVOICE, UNCATEGORISED
 from ..sources import files, replies
@@ -728,7 +727,7 @@ _CHANGES = """edits AS (
 
 def _change_set(spark: SparkSession, sf_dir: str) -> Store:
     """Orders and report lines in a store, after changes from orders and line items, in one commit."""
-    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store = Store(spark, scratch(spark, "store"))
     store.table("invoices", _INVOICE_ROW, ["id"], children={"report_invoices": "invoice_id"})
     store.table("report_invoices", REPORT_INVOICE, ["report_id", "invoice_id"], "invoice_id")
     store.apply({"invoices": upserts(A.ledger(spark, sf_dir).select(*_INVOICE_ROW.names)), "report_invoices": upserts(A.bridge(spark, sf_dir))})
@@ -848,7 +847,7 @@ def import_progress(spark, sf_dir):
 
 @query(f"WITH {_EVENTS}")
 def import_progress_stream(spark, sf_dir):
-    base = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
+    base = scratch(spark, "progress")
     own = _events(spark, sf_dir)
     n = own.agg(F.max("seq")).first()[0] or 0
     # four slices in order, the second of them comes again at the end
@@ -873,7 +872,7 @@ _COUNTED_ROW = "id bigint, dedup_key string, category_s string, total_cents bigi
 
 def _counted(spark: SparkSession, sf_dir: str, after=None) -> counts.Counts:
     """The ledger's counts after three change sets; ``after`` sees them after each."""
-    store = Store(spark, f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}")
+    store = Store(spark, scratch(spark, "counts"))
     row = T.StructType.fromDDL(_COUNTED_ROW)
     store.table("invoices", row, ["id"], children={"report_invoices": "invoice_id"})
     store.table("report_invoices", REPORT_INVOICE, ["report_id", "invoice_id"], "invoice_id")
@@ -923,7 +922,7 @@ _NEEDLES = ["R#00000_12", "customer#000001", "7", " BUILD ", "9%31", "0000000000
     "SELECT needle, id FROM p JOIN ledger ON lower(number_s) LIKE w OR lower(seller_s) LIKE w OR lower(buyer_s) LIKE w"
 )
 def search_postings(spark, sf_dir):
-    store = Store(spark, f"{shared_dir(spark)}/search-{uuid.uuid4().hex}")
+    store = Store(spark, scratch(spark, "search"))
     index, rows = search.posting_table(store), A.ledger(spark, sf_dir)
     index.apply(upserts(search.postings(rows)))
     found = [search.search(rows, index, n).select(F.lit(n).alias("needle"), "id") for n in _NEEDLES]
@@ -957,7 +956,7 @@ def classify_many_rules(spark, sf_dir):
     SELECT file_hash, row_number() OVER (PARTITION BY k % 2 ORDER BY path, file_hash) + CASE WHEN k % 2 = 0 THEN 0 ELSE (SELECT n FROM n) END AS id, k % 2 <> 0 AS inserted FROM h"""
 )
 def save_invoices(spark, sf_dir):
-    ws = Workspace(spark, f"{shared_dir(spark)}/workspace-{uuid.uuid4().hex}")
+    ws = Workspace(spark, scratch(spark, "workspace"))
     rows = A.invoices(spark, sf_dir)
     ws.ledger.save(rows.where("id % 2 = 0"), ("query", 0))
     ws.ledger.save(rows.where("id % 2 = 0"), ("query", 0))
