@@ -117,20 +117,36 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(chars, pairs))
 
 
+def _asked(c: Column) -> Column:
+    """What a condition asks, in one form."""
+    return F.struct(c["field"].alias("field"), F.array_sort(F.array_distinct(F.filter(c["keywords"], lambda w: w != ""))).alias("words"))
+
+
+def _condition(c: Column) -> Column:
+    """The number of a condition: equal for equal fields and keywords."""
+    return F.xxhash64(F.to_json(_asked(c)))
+
+
 def match_by_join(invoices: DataFrame, rules: DataFrame, key: str, hot: int = HOT) -> DataFrame:
     """(key, category, rule) of the winning rule, for rule sets too large to compile.
 
     Every keyword is filed under its pair of characters that the fewest texts hold (one character if it is no
     longer), and meets only the texts that hold that pair; keywords are then checked in full. A text counts
-    once however many invoices have it. Pairs that more than ``hot`` texts hold are dealt over shares.
+    once however many invoices have it, a condition once however many rules have it. Pairs that more than ``hot``
+    texts hold are dealt over shares. Rules then meet the different sets of conditions that invoices hold, each rule
+    through its rarest condition.
     """
-    hay = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("texts")) for n, c in haystacks().items()])
-    seen = materialize(invoices.select(key, F.explode(hay).alias("h")).select(key, "h.field", F.explode("h.texts").alias("text")).where("text is not null").distinct())
     # ties of priority and id go to the smaller name and conditions: the same on every run
     usable = materialize(rules.where("enabled and size(conditions) > 0").select(
-        F.col("id").alias("_id"), "name", "category", "priority", "conditions", F.xxhash64("id", "name", "category", "priority", F.to_json("conditions")).alias("_rule")
+        F.col("id").alias("_id"), "name", "category", "priority", F.xxhash64("id", "name", "category", "priority", F.to_json("conditions")).alias("_rule"),
+        F.array_distinct(F.transform("conditions", _condition)).alias("_parts"), F.transform("conditions", _asked).alias("_asked"),
     ))
-    parts = usable.select("_rule", F.posexplode("conditions").alias("part", "c")).select("_rule", "part", F.col("c.field").alias("field"), F.explode("c.keywords").alias("word")).where("word <> ''")
+    parts = usable.select(F.explode("_asked").alias("c")).distinct().select(F.xxhash64(F.to_json("c")).alias("part"), "c.field", F.explode("c.words").alias("word"))
+    parts = materialize(parts)
+    hay = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("texts")) for n, c in haystacks().items()])
+    looked_at = parts.select("field").distinct()
+    seen = invoices.select(key, F.explode(hay).alias("h")).select(key, "h.field", F.explode("h.texts").alias("text")).where("text is not null")
+    seen = materialize(seen.join(F.broadcast(looked_at), "field", "left_semi"))  # no more fields than a condition can name
     words = parts.select("field", "word").distinct()
     tried = words.select("field", "word", F.explode(_grams(F.col("word"))).alias("gram")).where((F.length("gram") == 2) | (F.length("word") == 1))
     texts = materialize(seen.select("field", "text").distinct())
@@ -145,11 +161,19 @@ def match_by_join(invoices: DataFrame, rules: DataFrame, key: str, hot: int = HO
     dealt = held.join(wanted, ["field", "gram"]).withColumn("share", F.pmod(F.xxhash64("text"), F.col("shares")).cast("int"))
     spread = filed.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("field", "gram", "share", "word")
     met = dealt.join(spread, ["field", "gram", "share"]).where(F.expr("contains(text, word)")).select("field", "text", "word")
-    hits = materialize(met.join(parts, ["field", "word"]).select("field", "text", "_rule", "part").distinct())
-    held_parts = seen.join(hits, ["field", "text"]).select(key, "_rule", "part").distinct().groupBy(key, "_rule").agg(F.count(F.lit(1)).alias("held"))
-    won = held_parts.join(usable, "_rule").where(F.col("held") == F.size("conditions"))
+    hits = materialize(met.join(parts, ["field", "word"]).select("field", "text", "part").distinct())
+    # the conditions that an invoice meets; invoices that meet the same ones count once
+    met_by = materialize(seen.join(hits, ["field", "text"]).groupBy(key).agg(F.array_sort(F.collect_set("part")).alias("_met")))
+    sets = materialize(met_by.select("_met").distinct())
+    each = sets.select("_met", F.explode("_met").alias("part"))
+    common = each.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    # a rule meets the sets that hold its rarest condition; one that nothing meets can't match
+    asked = usable.select("_rule", F.explode("_parts").alias("part")).join(common, "part", "left")
+    rarest = asked.groupBy("_rule").agg(F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), "part")).alias("part"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
+    ruled = usable.join(rarest.select("_rule", "part"), "_rule").drop("_asked")
+    won = each.join(ruled, "part").where(F.size(F.array_except("_parts", "_met")) == 0)
     best = F.min_by(F.struct("category", F.col("name").alias("rule")), F.struct(-F.col("priority"), F.col("_id").isNull(), "_id", "_rule"))
-    return won.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+    return met_by.join(won.groupBy("_met").agg(best.alias("b")), "_met").select(key, "b.*")
 
 
 def classify(invoices: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:
