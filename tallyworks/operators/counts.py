@@ -41,10 +41,10 @@ class Counts:
         out: dict[str, DataFrame] = {}
         changed = latest.get(self.invoices.name)
         if changed is not None:
-            own = changed.select("id")
+            own = changed.select("id", "bucket")
             columns = ["dedup_key", "category_s", "total_cents", "tax_cents", stored_needs_review().cast("int").alias("review")]
-            rows = lambda m, sign: self.invoices.read_keys(own, m).select(*columns, F.lit(sign).alias("sign"))
-            signed = materialize(rows(was, -1).unionAll(rows(now, 1)))
+            rows = lambda df, sign: df.select(*columns, F.lit(sign).alias("sign"))
+            signed = materialize(rows(self.invoices.read_keys(own, was), -1).unionAll(rows(changed.where("_op = 'upsert'"), 1)))
             times = lambda c: F.coalesce(F.sum(F.col("sign") * F.col(c)), F.lit(0)).cast("long")
             n = F.sum("sign").cast("long").alias("n")
             keys = materialize(_merged(self.keys, signed.where("dedup_key <> ''").groupBy("dedup_key").agg(n), was))

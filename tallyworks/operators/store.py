@@ -1,7 +1,7 @@
 """Tables in buckets under one manifest: a change set rewrites the buckets it touches, of several tables in one step.
 
-A row lies in the bucket of a hash of its table's bucket column. A commit writes the new files of the touched
-buckets into a folder of its own and then a manifest, a small file that names the folder of every bucket of every table. The manifest
+A row lies in the bucket of a hash of its table's bucket column. A commit writes a change set once, by bucket and operation, into a folder
+of its own, adds what stays of the touched buckets and then writes a manifest, a small file that names the folder of every bucket of every table. The manifest
 is what counts: until it is there nothing has changed, afterwards all of it has, and no file that is being read is
 overwritten. Untouched buckets keep their files. One writer at a time.
 
@@ -13,6 +13,7 @@ so a replayed batch changes nothing.
 from __future__ import annotations
 
 import json
+import math
 import re
 import uuid
 from collections.abc import Callable
@@ -20,12 +21,26 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructType
 
-from .snapshot import _fs, materialize
+from .snapshot import _fs
 
 #: Buckets of a table unless it says otherwise; manifests that stay readable.
 BUCKETS, KEEP = 16, 2
+#: Values in a task's share of a shuffle of whole rows (its compressed size says little of the memory that they take), and changed keys that are sent to every task.
+TASK_VALUES, BROADCAST = 2_000_000, 100_000
+
+
+def leaves(t: DataType) -> int:
+    """Values of a row of this type."""
+    if isinstance(t, ArrayType):
+        return leaves(t.elementType)
+    return sum(leaves(f.dataType) for f in t) if isinstance(t, StructType) else 1
+
+
+def tasks(rows: int, schema: StructType) -> int:
+    """Partitions for so many rows; as their number is given, small ones are not put together."""
+    return max(1, math.ceil(rows * leaves(schema) / TASK_VALUES))
 
 
 def upserts(rows: DataFrame, seq: Column | int = 0) -> DataFrame:
@@ -97,35 +112,50 @@ class Store:
         now = self.manifest()
         if batch and now.batches.get(batch[0], -1) >= batch[1]:
             return False
-        latest = {name: self.tables[name].latest(df) for name, df in changes.items()}
+        commit = f"c{now.version + 1}"
+        folders: dict[str, str] = {}
+        dropped: list[str] = []
+
+        def latest_of(name: str, df: DataFrame) -> DataFrame:
+            if name in folders:
+                dropped.append(f"{self.path}/{name}/{folders[name]}")
+            folders[name] = f"{commit}-{uuid.uuid4().hex[:8]}"
+            return self.tables[name].latest(df, folders[name])
+
+        latest = {name: latest_of(name, df) for name, df in changes.items()}
         for name in list(latest):
             for child, column in self.tables[name].children.items():
                 dead = latest[name].where("_op = 'delete'").select(F.col(self.tables[name].keys[0]).cast(self.tables[child].schema[column].dataType).alias(column))
+                if dead.isEmpty():
+                    continue
                 lines = self.tables[child].orphans(dead, column, now)
                 if child in latest:  # whatever else was to happen to a line of a row that is gone, it goes
                     lines = lines.unionByName(latest[child].withColumn("_seq", F.lit(0).cast("long")).join(dead, column, "left_anti"), allowMissingColumns=True)
-                latest[child] = self.tables[child].latest(lines)
+                latest[child] = latest_of(child, lines)
         made = Manifest(now.version + 1, {k: dict(v) for k, v in now.buckets.items()}, {**now.last_ids, **(last_ids or {})}, dict(now.batches))
-        folder = f"c{made.version}-{uuid.uuid4().hex[:8]}"
 
         def write(name: str, df: DataFrame) -> None:
             table = self.tables[name]
             touched = table.buckets_of(df)
             if touched:
-                table.rewrite(df, touched, folder, now)
+                table.keep(df, touched, folders[name], now)
                 own = made.buckets.setdefault(name, {})
                 for b in touched:
                     own.pop(str(b), None)
-                own.update({str(b): folder for b in table.written(folder)})
+                own.update({str(b): folders[name] for b in table.written(folders[name], touched)})
 
         for name, df in latest.items():
             write(name, df)
         for derive in self.derived:
             for name, df in derive(now, made, latest).items():
-                write(name, self.tables[name].latest(df))
+                latest_of(name, df)
+                write(name, self.tables[name].changed(folders[name]))
         if batch:
             made.batches[batch[0]] = batch[1]
         self._publish(made)
+        for path in dropped:
+            fs, p = _fs(self.spark, path)
+            fs.delete(p, True)
         self._clean()
         return True
 
@@ -161,7 +191,7 @@ class BucketTable:
     def files(self, manifest: Manifest | None = None) -> dict[int, str]:
         """Bucket -> folder that holds it now."""
         own = (manifest or self.store.manifest()).buckets.get(self.name, {})
-        return {int(b): f"{self.store.path}/{self.name}/{f}/bucket={b}" for b, f in own.items()}
+        return {int(b): f"{self.store.path}/{self.name}/{f}/bucket={b}/_op=upsert" for b, f in own.items()}
 
     def read(self, buckets: list[int] | None = None, manifest: Manifest | None = None) -> DataFrame:
         """The whole table, or some of its buckets."""
@@ -175,28 +205,56 @@ class BucketTable:
 
     def buckets_of(self, rows: DataFrame) -> list[int]:
         """At most as many numbers as there are buckets."""
-        return sorted(r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect())
-
-    def latest(self, changes: DataFrame) -> DataFrame:
-        """One change for each key: the last one."""
-        row = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in changes.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema], "_op")
-        keyed = changes.groupBy(*[F.col(k).alias(f"_k_{k}") for k in self.keys]).agg(F.max_by(row, F.struct("_seq", "_op")).alias("r"))
-        return materialize(keyed.select("r.*"))
+        own = F.col("bucket") if "bucket" in rows.columns else self.bucket()
+        return sorted(r[0] for r in rows.select(own.alias("b")).distinct().collect())
+
+    def _dealt(self, rows: DataFrame, n: int) -> DataFrame:
+        """Rows by bucket and shares of it, over n tasks: neither a bucket nor a hot value of its column lies in one task or one file."""
+        share = F.pmod(F.xxhash64(*self.keys, F.lit(1)), F.lit(max(1, math.ceil(4 * n / self.buckets)))).cast("int")
+        return rows.withColumns({"bucket": self.bucket(), "_share": share}).repartition(n, "bucket", "_share")
+
+    def latest(self, changes: DataFrame, folder: str) -> DataFrame:
+        """One change for each key, the last one, written into a commit's folder by bucket and operation."""
+        names = self.schema.names
+        row = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in changes.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
+        dealt = self._dealt(changes.select(*row, "_op", "_seq"), tasks(changes.count(), self.schema))
+        keyed = dealt.groupBy("bucket", "_share", *[F.col(k).alias(f"_k_{k}") for k in self.keys])
+        if set(names) == set(self.keys):  # a row that is nothing but its key
+            at = lambda op: F.max(F.when(F.col("_op") == op, F.coalesce("_seq", F.lit(-(1 << 63)))))
+            last = keyed.agg(at("upsert").alias("_u"), at("delete").alias("_d")).withColumn("_op", F.when(F.col("_d").isNull() | (F.col("_u") >= F.col("_d")), "upsert").otherwise("delete"))
+            last = last.select(*[F.col(f"_k_{k}").alias(k) for k in names], "bucket", "_op")
+        else:
+            last = keyed.agg(F.max_by(F.struct(*names, "_op"), F.struct("_seq", "_op")).alias("r")).select("r.*", "bucket").select(*names, "bucket", "_op")
+        last.write.partitionBy("bucket", "_op").parquet(f"{self.store.path}/{self.name}/{folder}")
+        return self.changed(folder)
+
+    def changed(self, folder: str) -> DataFrame:
+        """The changes in a commit's folder, as its files are now."""
+        kinds = StructType([*self.schema.fields]).add("bucket", IntegerType()).add("_op", StringType())
+        return self.store.spark.read.schema(kinds).parquet(f"{self.store.path}/{self.name}/{folder}")
 
     def orphans(self, gone: DataFrame, column: str, manifest: Manifest) -> DataFrame:
         """Deletes of the rows that refer to keys that are gone; where rows lie by that column, only its buckets are read."""
         own = self.read(self.buckets_of(gone) if column == self.bucket_by else None, manifest)
         return deletes(own.join(gone.distinct(), column, "left_semi").select(*self.keys))
 
-    def rewrite(self, latest: DataFrame, touched: list[int], folder: str, manifest: Manifest) -> None:
-        kept = self.read(touched, manifest).join(latest.select(*self.keys), self.keys, "left_anti")
-        rows = kept.select(*self.schema.names).unionByName(latest.where("_op = 'upsert'").select(*self.schema.names)).withColumn("bucket", self.bucket())
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.store.path}/{self.name}/{folder}")
-
-    def written(self, folder: str) -> list[int]:
-        """The buckets that have rows in a commit's folder."""
-        fs, p = _fs(self.store.spark, f"{self.store.path}/{self.name}/{folder}")
-        return [int(s.getPath().getName()[7:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")]
+    def keep(self, latest: DataFrame, touched: list[int], folder: str, manifest: Manifest) -> None:
+        """Adds the rows of touched buckets that no change is about to the commit's folder."""
+        if not set(touched) & self.files(manifest).keys():
+            return
+        own, keys = self.read(touched, manifest), latest.select(*self.keys)
+        stored, changed = own.count(), keys.count()
+        if changed <= BROADCAST:
+            kept = own.join(F.broadcast(keys), self.keys, "left_anti")
+        else:
+            n = tasks(stored + changed, self.schema)
+            kept = own.repartition(n, *self.keys).join(keys.repartition(n, *self.keys), self.keys, "left_anti")
+        rows = self._dealt(kept.select(*self.schema.names), tasks(stored, self.schema)).drop("_share")
+        rows.withColumn("_op", F.lit("upsert")).write.mode("append").partitionBy("bucket", "_op").parquet(f"{self.store.path}/{self.name}/{folder}")
+
+    def written(self, folder: str, touched: list[int]) -> list[int]:
+        """The touched buckets that have rows in a commit's folder."""
+        return [b for b in touched if (fp := _fs(self.store.spark, f"{self.store.path}/{self.name}/{folder}/bucket={b}/_op=upsert"))[0].exists(fp[1])]
 
     def apply(self, changes: DataFrame, last_id: int | None = None) -> bool:
         return self.store.apply({self.name: changes}, {self.name: last_id} if last_id else None)

@@ -850,11 +850,11 @@ def import_progress_stream(spark, sf_dir):
     base = scratch(spark, "progress")
     own = _events(spark, sf_dir)
     n = own.agg(F.max("seq")).first()[0] or 0
-    # four slices in order, the second of them comes again at the end
-    for part in (0, 1, 2, 3, 1):
-        own.where((F.col("seq") > n * part // 4 - (part == 0)) & (F.col("seq") <= n * (part + 1) // 4)).coalesce(1).write.mode("append").parquet(f"{base}/events")
     store = progress.progress_table(spark, f"{base}/store")
-    progress.follow(progress.watch_events(spark, f"{base}/events"), store, f"{base}/checkpoint").awaitTermination()
+    # four slices in order, the second of them comes again at the end; a slice is a batch, of as many files as it has tasks
+    for part in (0, 1, 2, 3, 1):
+        own.where((F.col("seq") > n * part // 4 - (part == 0)) & (F.col("seq") <= n * (part + 1) // 4)).write.mode("append").parquet(f"{base}/events")
+        progress.follow(progress.watch_events(spark, f"{base}/events", 1_000_000), store, f"{base}/checkpoint").awaitTermination()
     return store.tables["progress"].read()
 
 
@@ -876,8 +876,8 @@ def _counted(spark: SparkSession, sf_dir: str, after=None) -> counts.Counts:
     row = T.StructType.fromDDL(_COUNTED_ROW)
     store.table("invoices", row, ["id"], children={"report_invoices": "invoice_id"})
     store.table("report_invoices", REPORT_INVOICE, ["report_id", "invoice_id"], "invoice_id")
-    own, lines = counts.Counts(store), A.bridge(spark, sf_dir)
-    base = A.ledger(spark, sf_dir).select(*row.names)
+    own, lines = counts.Counts(store), materialize(A.bridge(spark, sf_dir))
+    base = materialize(A.ledger(spark, sf_dir).select(*row.names))
     moved = F.col("id") % 10 == 4
     second = base.withColumns({"dedup_key": F.when(moved, "").otherwise(F.col("dedup_key")), "total_cents": F.when(moved, F.col("total_cents") + 1).otherwise(F.col("total_cents"))})
     renamed = F.when(F.col("category_s") == "餐饮", "会议").otherwise(F.col("category_s"))
@@ -923,7 +923,7 @@ _NEEDLES = ["R#00000_12", "customer#000001", "7", " BUILD ", "9%31", "0000000000
 )
 def search_postings(spark, sf_dir):
     store = Store(spark, scratch(spark, "search"))
-    index, rows = search.posting_table(store), A.ledger(spark, sf_dir)
+    index, rows = search.posting_table(store), materialize(A.ledger(spark, sf_dir).select("id", *search.COLUMNS))
     index.apply(upserts(search.postings(rows)))
     found = [search.search(rows, index, n).select(F.lit(n).alias("needle"), "id") for n in _NEEDLES]
     return functools.reduce(DataFrame.unionByName, found)

@@ -93,3 +93,14 @@ def test_old_files_go(spark, store):
     kept = sorted(os.listdir(f"{store.path}/_manifest"))
     left = [d for d in os.listdir(f"{store.path}/settings") if any(x.startswith("bucket=") for x in os.listdir(f"{store.path}/settings/{d}"))]
     assert [k for k in kept if k.endswith(".json")] == ["v00000003.json", "v00000004.json"] and len(left) == 2
+
+
+def test_a_change_set_is_written_once(spark, store):
+    """Changes of a bucket are dealt over files as its rows are many, and a row that nothing changes is not moved by a shuffle of its own."""
+    t = store.tables["report_invoices"]
+    first = spark.range(1_500_000).selectExpr("id AS report_id", "7L AS invoice_id", "0 AS position")  # one hot value of the bucket column
+    t.apply(upserts(first))
+    (folder,) = t.files().values()
+    assert len([f for f in os.listdir(folder) if f.endswith(".parquet")]) > 1 and t.read().count() == 1_500_000
+    t.apply(deletes(first.where("report_id % 2 = 0").select("report_id", "invoice_id")).unionByName(upserts(first.where("report_id = 1").selectExpr("report_id", "invoice_id", "5 AS position")), allowMissingColumns=True))
+    assert t.read().count() == 750_000 and t.read().where("position = 5").count() == 1
