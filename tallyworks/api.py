@@ -20,7 +20,7 @@ from .operators import ledger as L
 from .operators import reports as R
 from .operators import versions as V
 from .operators.snapshot import materialize
-from .operators.store import Store, deletes, upserts
+from .operators.store import Store, deletes, tasks, upserts
 from .operators.validate import infer_and_check
 from .functions.fields import merge_from
 from .sinks import template, xlsx
@@ -96,16 +96,20 @@ class Ledger:
         Known hashes lie in a table of their own, in buckets by hash, so only the buckets of the given hashes are read.
         batch: the name of a stream and the number of its batch, which is added once however often it comes.
         """
-        fresh = materialize(invoices.select(*schema.INVOICE.fieldNames()))
-        first = fresh.groupBy("file_hash").agg(F.min_by(F.struct(*fresh.columns), "source_path").alias("i")).select("i.*")
-        known = self.ws.hashes.read_keys(fresh)
-        new = first.join(known.select("file_hash"), "file_hash", "left_anti").select(*schema.INVOICE.fieldNames())
+        names = schema.INVOICE.fieldNames()
+        fresh = materialize(invoices.select(*names).withColumn("_row", F.monotonically_increasing_id()))
+        # rows are chosen and numbered by their keys alone; whole rows move when that is done
+        first = fresh.groupBy("file_hash").agg(F.min(F.struct(F.col("source_path").isNull(), "source_path", "_row")).alias("f")).select("file_hash", "f.source_path", "f._row")
+        known = self.ws.hashes.read_keys(fresh.select("file_hash"))
+        new = first.join(known.select("file_hash"), "file_hash", "left_anti")
         start = self.ws.invoices.last_id
-        numbered = materialize(L.next_ids(new, start, ["source_path", "file_hash"]).select(*schema.INVOICE.fieldNames()))
+        numbered = materialize(L.next_ids(new, start, ["source_path", "file_hash"]).select("_row", "id", "file_hash"))
         added = numbered.count()
         ids = materialize(known.select("file_hash", "id", F.lit(False).alias("inserted")).unionByName(numbered.select("file_hash", "id", F.lit(True).alias("inserted"))))
         if added or batch:
-            rows = L.project(numbered, F.lit(self.ws.now()))
+            n = tasks(fresh.count(), schema.INVOICE)
+            chosen = fresh.drop("id").repartition(n, "_row").join(numbered.select("_row", "id").repartition(n, "_row"), "_row").select(*names)
+            rows = L.project(chosen, F.lit(self.ws.now()))
             self.ws.store.apply({"invoices": upserts(rows), "file_hashes": upserts(numbered.select("file_hash", "id"))}, {"invoices": start + added}, batch)
         return fresh.select("file_hash").distinct().join(ids, "file_hash")
 
