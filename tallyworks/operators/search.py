@@ -21,13 +21,11 @@ GRAMS = 3
 
 
 def postings(ledger: DataFrame) -> DataFrame:
-    """(gram, id): every run of three characters of the searched columns, A-Z folded."""
-    text = F.explode(F.array(*[fold_ascii(F.col(c)) for c in COLUMNS]))
-    rows = ledger.select("id", text.alias("t")).where(F.length("t") >= 3)
-    chars = rows.select("id", F.filter(F.split("t", ""), lambda c: c != "").alias("c"))
-    n = F.size("c")
-    grams = F.transform(F.arrays_zip(F.slice("c", F.lit(1), n - 2).alias("a"), F.slice("c", F.lit(2), n - 2).alias("b"), F.slice("c", F.lit(3), n - 2).alias("d")), lambda z: F.concat(z["a"], z["b"], z["d"]))
-    return chars.where(n >= 3).select(F.explode(F.array_distinct(grams)).alias("gram"), "id").distinct()
+    """(gram, id): every run of three characters of the searched columns of a row once, A-Z folded; nothing is shuffled."""
+    ends = F.array(*[fold_ascii(F.col(c)) for c in COLUMNS])
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda k: F.substring(t, k, F.lit(3)))
+    grams = F.flatten(F.transform(F.filter(ends, lambda t: F.length(t) >= 3), runs))
+    return ledger.select(F.explode(F.array_distinct(grams)).alias("gram"), "id")
 
 
 def posting_table(store: Store) -> BucketTable:

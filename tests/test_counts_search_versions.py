@@ -128,3 +128,10 @@ def _stages(store, none):
     found = store.stageList(None, False, False, none, None).iterator()
     while found.hasNext():
         yield found.next()
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "abcab", "ABCd", "xy"), (2, "", "日本酒店", None)], "id bigint, number_s string, seller_s string, buyer_s string")
+    made = search.postings(df)
+    assert sorted(map(tuple, made.collect())) == [("abc", 1), ("bca", 1), ("bcd", 1), ("cab", 1), ("日本酒", 2), ("本酒店", 2)]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
