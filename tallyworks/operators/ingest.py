@@ -65,6 +65,29 @@ PROGRESS = "import_id bigint, last_seq bigint, phase string, total bigint, done
 COUNTED = dict(zip(("imported", "needs_review", "duplicates", "failed"), ("imported", "needsReview", "alreadyImported", "failed"), strict=True))
 
 
+def merged_progress(events: DataFrame, known: DataFrame) -> DataFrame:
+    """The displays that some events touch, after those beyond the last one that each known display has seen.
+
+    An event that comes more than once counts once. What is new is folded by ``progress``; where it holds no start, the known display goes on.
+    """
+    last = known.select("import_id", F.col("last_seq").alias("_last"))
+    fresh = events.join(last, "import_id", "left").where(F.col("_last").isNull() | (F.col("seq") > F.col("_last"))).drop("_last")
+    fresh = materialize(fresh.dropDuplicates(["import_id", "seq"]))
+    own = progress(fresh).alias("n")
+    begun = fresh.where("type = 'started'").select("import_id").distinct().withColumn("_begun", F.lit(True))
+    new, old = lambda c: F.col(f"n.{c}"), lambda c: F.col(f"o.{c}")
+    goes_on = F.col("_begun").isNull() & old("import_id").isNotNull()
+    ended = new("phase") == "done"
+    add = lambda c: (new(c) + F.when(goes_on, old(c)).otherwise(0)).cast("long").alias(c)
+    return own.join(known.alias("o"), F.col("n.import_id") == F.col("o.import_id"), "left").join(begun.alias("b"), F.col("n.import_id") == F.col("b.import_id"), "left").select(
+        new("import_id").alias("import_id"), new("last_seq").alias("last_seq"), F.when(goes_on & ~ended, old("phase")).otherwise(new("phase")).alias("phase"),
+        F.when(goes_on, old("total")).otherwise(new("total")).alias("total"), add("done"),
+        F.when(goes_on & ~ended & (new("done") == 0), old("current_name")).otherwise(new("current_name")).alias("current_name"),
+        # a finish replaces the tally that led to it
+        *[(new(c) + F.when(goes_on & ~ended, old(c)).otherwise(0)).cast("long").alias(c) for c in COUNTED], add("vision_candidates"), add("problems"),
+    )
+
+
 def progress(events: DataFrame) -> DataFrame:
     """The display of every import after all its events, in order of seq: what ``reduce_ingest`` arrives at.
 

@@ -1,7 +1,8 @@
 """The display of imports as keyed state over a stream of their events.
 
-Each import's state is one small row. A micro-batch's events of an import are put in order and folded at once; events up to the last
-one seen are replays and change nothing, so any split of the stream into batches, and any batch that comes again, ends in the same
+Each import's state is one small row. ``follow`` keeps it in a table: a micro-batch's events are aggregated, so no import's events
+meet in one task, and merged into the rows that they touch. ``progress_stream`` keeps it in the stream's own state and folds an
+import's events of a batch at once. Events up to the last one seen are replays and change nothing, so any split of the stream into batches, and any batch that comes again, ends in the same
 state as ``operators.ingest.progress`` over all events. Events of an import must not come after later ones of
 an earlier batch: the source hands them over in order (a log, or files by time).
 """
@@ -17,7 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.ingest import COUNTED, EVENT, PROGRESS
+from ..operators.ingest import COUNTED, EVENT, PROGRESS, merged_progress
+from ..operators.snapshot import materialize
 from ..operators.store import Store, upserts
 
 FIELDS = [f.split()[0] for f in PROGRESS.split(", ")][1:]
@@ -75,7 +77,9 @@ def follow(events: DataFrame, store: Store, checkpoint: str, name: str = "progre
     """Keeps a table of displays up to date; each batch is one change set, committed once however often it runs."""
 
     def each(batch: DataFrame, number: int) -> None:
-        store.apply({"progress": upserts(batch, F.col("last_seq"))}, batch=(name, number))
+        if store.manifest().batches.get(name, -1) < number:
+            shown = materialize(merged_progress(batch, store.tables["progress"].read_keys(batch)))
+            store.apply({"progress": upserts(shown, F.col("last_seq"))}, batch=(name, number))
 
-    writer = progress_stream(events).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

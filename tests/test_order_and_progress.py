@@ -106,3 +106,17 @@ def test_chunks_of_a_hot_key(spark):
     assert {k for k, _ in got} == {"hot", *(f"k{n}" for n in range(150))}
     page = {r["id"]: r["ids"] for r in L.duplicate_page(df.where("id IN (1, 3, 5002)"), L.duplicate_chunks(df, df, 100), 1).collect()}
     assert page == {1: hot[100:200]}
+
+
+def test_stream_aggregates_its_batches(spark, tmp_path):
+    """No import's events pass through one task; replays, repeated events and files without a name count as in order."""
+    rows = events(8, 240, [1, 1, 1, 2, 3])
+    for r in rows[::7]:
+        r["name"] = None
+    store = progress.progress_table(spark, str(tmp_path / "store"))
+    for part in (rows[:90], rows[:90], rows[70:150] * 2, rows[150:152], rows[120:]):
+        spark.createDataFrame(part, ingest.EVENT).repartition(3).write.mode("append").parquet(str(tmp_path / "events"))
+        query = progress.follow(progress.watch_events(spark, str(tmp_path / "events"), 100), store, str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        assert not query.lastProgress["stateOperators"]
+    assert {r[0]: tuple(r)[1:] for r in store.tables["progress"].read().collect()} == folded(rows)
