@@ -48,7 +48,9 @@ SAMPLE = 10_000
 #: Words on each side of a match.
 WINDOW = 4
 #: Word verdicts that a worker remembers at a time.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
+#: States of an automaton that a worker holds at a time.
+STATES = 50_000
 #: Toxic rows, and share of them, that must hold a term, and least smoothed log odds of a term.
 LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 4, 0.006, 4.2
 #: Strength of a match inside quotation marks; share of a term's strength that one edit leaves before any is seen, and rows that outweigh that guess.
@@ -152,7 +154,7 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term number) of the nearest term, or None; a stem stands behind an exact term, ties go to the term listed first."""
-        if len(self.sets) > 200_000:
+        if len(self.sets) > STATES:
             self._start()
         state, dead = self.root, self.dead
         for c in word:
@@ -430,10 +432,13 @@ def scores(docs: DataFrame, model: ToxicityModel, carry: list[str], out: str = "
         m = sent.value
         auto, known = _automaton(m)
         for batch in batches:
-            score = [m.score(x.as_py(), auto, known) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*keep, out])
+            score = [m.score(x.as_py(), auto, known) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score, pa.float64())], [*keep, out])
 
-    return docs.select(*keep, F.col("text").alias(free_name("_scored", keep))).mapInArrow(run, f"{schema}, `{out}` double")
+    # a text that is carried isn't sent twice
+    at = keep.index("text") if "text" in keep else len(keep)
+    sent_rows = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(free_name("_scored", keep)))
+    return sent_rows.mapInArrow(run, f"{schema}, `{out}` double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
