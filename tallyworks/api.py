@@ -20,7 +20,7 @@ from .operators import ledger as L
 from .operators import reports as R
 from .operators import versions as V
 from .operators.snapshot import materialize
-from .operators.store import Store, deletes, tasks, upserts
+from .operators.store import Store, deletes, meet, tasks, upserts
 from .operators.validate import infer_and_check
 from .functions.fields import merge_from
 from .sinks import template, xlsx
@@ -99,19 +99,18 @@ class Ledger:
         names = schema.INVOICE.fieldNames()
         fresh = materialize(invoices.select(*names).withColumn("_row", F.monotonically_increasing_id()))
         # rows are chosen and numbered by their keys alone; whole rows move when that is done
-        first = fresh.groupBy("file_hash").agg(F.min(F.struct(F.col("source_path").isNull(), "source_path", "_row")).alias("f")).select("file_hash", "f.source_path", "f._row")
-        known = self.ws.hashes.read_keys(fresh.select("file_hash"))
-        new = first.join(known.select("file_hash"), "file_hash", "left_anti")
+        first = materialize(fresh.groupBy("file_hash").agg(F.min(F.struct(F.col("source_path").isNull(), "source_path", "_row")).alias("f")).select("file_hash", "f.source_path", "f._row"))
+        known = materialize(self.ws.hashes.read_keys(first))
+        new = meet(first, known.select("file_hash"), "file_hash", "left_anti", first.count())
         start = self.ws.invoices.last_id
         numbered = materialize(L.next_ids(new, start, ["source_path", "file_hash"]).select("_row", "id", "file_hash"))
         added = numbered.count()
-        ids = materialize(known.select("file_hash", "id", F.lit(False).alias("inserted")).unionByName(numbered.select("file_hash", "id", F.lit(True).alias("inserted"))))
         if added or batch:
-            n = tasks(fresh.count(), schema.INVOICE)
-            chosen = fresh.drop("id").repartition(n, "_row").join(numbered.select("_row", "id").repartition(n, "_row"), "_row").select(*names)
-            rows = L.project(chosen, F.lit(self.ws.now()))
+            chosen = meet(fresh.drop("id"), numbered.select("_row", "id"), "_row", "inner", added, tasks(fresh.count(), schema.INVOICE))
+            rows = L.project(chosen.select(*names), F.lit(self.ws.now()))
             self.ws.store.apply({"invoices": upserts(rows), "file_hashes": upserts(numbered.select("file_hash", "id"))}, {"invoices": start + added}, batch)
-        return fresh.select("file_hash").distinct().join(ids, "file_hash")
+        ids = known.select("file_hash", "id", F.lit(False).alias("inserted")).unionByName(numbered.select("file_hash", "id", F.lit(True).alias("inserted")))
+        return ids.where("file_hash is not null")
 
     def import_files(self, found: DataFrame, today: datetime.date | None = None, qr: extract.QrDecoder | None = None, reply_fn=None) -> DataFrame:
         """(path, content) rows in, (name, status, invoice_id, trace, vision_would_help) out; everything is stored, failures too."""
@@ -122,7 +121,7 @@ class Ledger:
         rows = C.classify(rows, self.ws.rules.read(), "source_path")
         saved = self.save(rows)
         status = I.file_status(~F.col("inserted"))
-        return rows.join(saved.withColumnRenamed("id", "invoice_id"), "file_hash").select(
+        return meet(rows, saved.withColumnRenamed("id", "invoice_id"), "file_hash", "inner", saved.count()).select(
             F.col("source_path").alias("name"), status.alias("status"), "invoice_id", "trace", (F.col("has_image") & F.lit(reply_fn is None)).alias("vision_would_help")
         )
 
@@ -140,7 +139,7 @@ class Ledger:
         names = schema.INVOICE.fieldNames()
         invoices = materialize(invoices)
         kept = self.ws.invoices.read_keys(invoices).select("id", "file_hash", "source_path", "imported_at")
-        changed = invoices.select(*[n for n in names if n not in ("file_hash", "source_path")]).join(kept, "id")
+        changed = meet(invoices.select(*[n for n in names if n not in ("file_hash", "source_path")]), kept, "id", "inner", invoices.count())
         flat = L.project(changed.select(*names, "imported_at"), F.col("imported_at"), F.lit(reviewed))
         self.ws.invoices.apply(upserts(flat))
 
@@ -179,7 +178,7 @@ class Ledger:
         """Reads the files of many stored invoices again; (id, decisions, changed) of each. What changed wants review, in one commit."""
         fresh = extract.extract(found, self.ws.today(), qr).drop("id")
         ids = self.rows().select("id", "source_path")
-        read = materialize(fresh.join(ids, "source_path").select(*schema.INVOICE.fieldNames()))
+        read = materialize(meet(fresh, ids, "source_path", "inner", ids.count()).select(*schema.INVOICE.fieldNames()))
         stored = self.ws.invoices.read_keys(read).select(*schema.INVOICE.fieldNames())
         merged = materialize(V.merge_versions(stored, read, self.ws.today()))
         self.update(merged.where("changed").select(*schema.INVOICE.fieldNames()), False)

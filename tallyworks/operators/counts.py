@@ -18,7 +18,7 @@ from ..schema import COUNT_KEYS as KEYS
 from ..schema import COUNT_REPORTS as REPORTS
 from .ledger import stored_needs_review
 from .snapshot import materialize
-from .store import BucketTable, Manifest, Store, deletes, upserts
+from .store import BucketTable, Manifest, Store, deletes, meet, upserts
 
 
 class Counts:
@@ -61,10 +61,11 @@ class Counts:
             if touched:
                 own = touched[0] if len(touched) == 1 else touched[0].unionAll(touched[1])
                 own = materialize(own.distinct())
+                most = own.count()
 
                 def lines(m: Manifest, sign: int) -> DataFrame:
                     totals = self.invoices.read_keys(own.select(F.col("invoice_id").alias("id")), m).select(F.col("id").alias("invoice_id"), "total_cents")
-                    return self.lines.read_keys(own, m).join(totals, "invoice_id", "left").select("report_id", "total_cents", F.lit(sign).alias("sign"))
+                    return meet(self.lines.read_keys(own, m), totals, "invoice_id", "left", most).select("report_id", "total_cents", F.lit(sign).alias("sign"))
 
                 sums = lines(was, -1).unionAll(lines(now, 1)).groupBy("report_id").agg(F.sum("sign").cast("long").alias("n"), F.coalesce(F.sum(F.col("sign") * F.col("total_cents")), F.lit(0)).alias("total_cents"))
                 out[self.reports.name] = _changes(_merged(self.reports, sums, was), REPORTS)
@@ -81,7 +82,7 @@ def _merged(table: BucketTable, delta: DataFrame, was: Manifest) -> DataFrame:
     def both(c: str) -> Column:
         return (F.coalesce(old[c], F.lit(0)) + F.coalesce(delta[c], F.lit(0))).cast("long").alias(c)
 
-    return delta.join(old, delta[key] == old[key], "left").select(delta[key], *map(both, numbers), F.coalesce(old["n"], F.lit(0)).alias("_old_n"))
+    return meet(delta, old, delta[key] == old[key], "left", delta.count()).select(delta[key], *map(both, numbers), F.coalesce(old["n"], F.lit(0)).alias("_old_n"))
 
 
 def _changes(rows: DataFrame, schema: StructType) -> DataFrame:

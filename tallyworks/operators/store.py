@@ -43,6 +43,19 @@ def tasks(rows: int, schema: StructType) -> int:
     return max(1, math.ceil(rows * leaves(schema) / TASK_VALUES))
 
 
+def meet(rows: DataFrame, side: DataFrame, on: Column | str | list[str], how: str, n: int, parts: int = 0) -> DataFrame:
+    """rows joined with a side of at most n rows, which is sent to every task only if these are few; else both are shuffled, over parts tasks if given.
+
+    Spark would choose by the size of files, which says little of a few narrow columns of wide rows: a side that seems small may fill the driver.
+    """
+    if n <= BROADCAST:
+        return rows.join(F.broadcast(side), on, how)
+    if parts:
+        keys = [on] if isinstance(on, str) else on
+        rows, side = rows.repartition(parts, *keys), side.repartition(parts, *keys)
+    return rows.join(side.hint("merge"), on, how)
+
+
 def upserts(rows: DataFrame, seq: Column | int = 0) -> DataFrame:
     """Rows as changes: inserted, or put in the place of the row with their key."""
     return rows.withColumns({"_op": F.lit("upsert"), "_seq": F.lit(seq).cast("long")})
@@ -126,11 +139,12 @@ class Store:
         for name in list(latest):
             for child, column in self.tables[name].children.items():
                 dead = latest[name].where("_op = 'delete'").select(F.col(self.tables[name].keys[0]).cast(self.tables[child].schema[column].dataType).alias(column))
-                if dead.isEmpty():
+                n = dead.count()
+                if not n:
                     continue
                 lines = self.tables[child].orphans(dead, column, now)
                 if child in latest:  # whatever else was to happen to a line of a row that is gone, it goes
-                    lines = lines.unionByName(latest[child].withColumn("_seq", F.lit(0).cast("long")).join(dead, column, "left_anti"), allowMissingColumns=True)
+                    lines = lines.unionByName(meet(latest[child].withColumn("_seq", F.lit(0).cast("long")), dead, column, "left_anti", n), allowMissingColumns=True)
                 latest[child] = latest_of(child, lines)
         made = Manifest(now.version + 1, {k: dict(v) for k, v in now.buckets.items()}, {**now.last_ids, **(last_ids or {})}, dict(now.batches))
 
@@ -201,12 +215,17 @@ class BucketTable:
 
     def read_keys(self, keys: DataFrame, manifest: Manifest | None = None) -> DataFrame:
         """The rows whose bucket column is among some values; only their buckets are read."""
-        return self.read(self.buckets_of(keys), manifest).join(keys.select(self.bucket_by).distinct(), self.bucket_by, "left_semi")
+        held = self.rows_by_bucket(keys)
+        return meet(self.read(sorted(held), manifest), keys.select(self.bucket_by).distinct(), self.bucket_by, "left_semi", sum(held.values()))
+
+    def rows_by_bucket(self, rows: DataFrame) -> dict[int, int]:
+        """Bucket -> how many of the rows lie in it; at most as many as there are buckets."""
+        own = F.col("bucket") if "bucket" in rows.columns else self.bucket()
+        return dict(tuple(r) for r in rows.groupBy(own.alias("b")).agg(F.count(F.lit(1))).collect())
 
     def buckets_of(self, rows: DataFrame) -> list[int]:
         """At most as many numbers as there are buckets."""
-        own = F.col("bucket") if "bucket" in rows.columns else self.bucket()
-        return sorted(r[0] for r in rows.select(own.alias("b")).distinct().collect())
+        return sorted(self.rows_by_bucket(rows))
 
     def _dealt(self, rows: DataFrame, n: int) -> DataFrame:
         """Rows by bucket and shares of it, over n tasks: neither a bucket nor a hot value of its column lies in one task or one file."""
@@ -236,7 +255,7 @@ class BucketTable:
     def orphans(self, gone: DataFrame, column: str, manifest: Manifest) -> DataFrame:
         """Deletes of the rows that refer to keys that are gone; where rows lie by that column, only its buckets are read."""
         own = self.read(self.buckets_of(gone) if column == self.bucket_by else None, manifest)
-        return deletes(own.join(gone.distinct(), column, "left_semi").select(*self.keys))
+        return deletes(meet(own, gone.distinct(), column, "left_semi", gone.count()).select(*self.keys))
 
     def keep(self, latest: DataFrame, touched: list[int], folder: str, manifest: Manifest) -> None:
         """Adds the rows of touched buckets that no change is about to the commit's folder."""
@@ -244,11 +263,7 @@ class BucketTable:
             return
         own, keys = self.read(touched, manifest), latest.select(*self.keys)
         stored, changed = own.count(), keys.count()
-        if changed <= BROADCAST:
-            kept = own.join(F.broadcast(keys), self.keys, "left_anti")
-        else:
-            n = tasks(stored + changed, self.schema)
-            kept = own.repartition(n, *self.keys).join(keys.repartition(n, *self.keys), self.keys, "left_anti")
+        kept = meet(own, keys, self.keys, "left_anti", changed, tasks(stored + changed, self.schema))
         rows = self._dealt(kept.select(*self.schema.names), tasks(stored, self.schema)).drop("_share")
         rows.withColumn("_op", F.lit("upsert")).write.mode("append").partitionBy("bucket", "_op").parquet(f"{self.store.path}/{self.name}/{folder}")
 
